@@ -108,3 +108,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """df without the rows whose key is in the one column of keys; only possible members are shuffled."""
+    name = keys.columns[0]
+    keys = keys.select(F.col(name).alias("_gone"))
+    marked = KeyFilter(keys, F.col("_gone")).mark(df.withColumn("_key", key), F.col("_key"), "_maybe")
+    maybe = marked.filter("_maybe").join(keys, F.col("_key") == F.col("_gone"), "left_anti")
+    return marked.filter(~F.col("_maybe")).select(df.columns).unionByName(maybe.select(df.columns))

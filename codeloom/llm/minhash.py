@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KeyFilter, components, materialize
+from codeloom.llm.common import KeyFilter, components, materialize, without_keys
 from codeloom.llm.words import joined, mix, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -234,7 +234,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """docs with one row of every near-duplicate group: the smallest id, once."""
     dropped = near_duplicates(docs, id_col, text_col, similarity).filter("not kept").select(F.col(id_col).alias("_id"))
     dropped = materialize(dropped.distinct(), "dropped")
-    kept = docs.join(dropped, F.col(id_col) == F.col("_id"), "left_anti")
+    kept = without_keys(docs, dropped, F.col(id_col).cast("long"))
     if not _repeated(docs.select(F.col(id_col).cast("long").alias("id"))):
         return kept
     lone = kept.filter(F.col(id_col).isNull())
