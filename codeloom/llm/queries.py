@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import contamination, exact_dedup, minhash, substring, token_counts, warc
+from codeloom.llm import contamination, exact_dedup, minhash, pii, substring, token_counts, warc
 from codeloom.llm.common import table
 
 #: Production parameters of the queries.
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_exact_dedup, op6_warc, op8_token_counts, op9_minhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_pii, op5_exact_dedup, op6_warc, op8_token_counts, op9_minhash, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": contamination.ORACLE_SQL,
+        "op3_pii": pii.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op6_warc": warc.ORACLE_SQL,
         "op9_minhash": minhash.ORACLE_SQL,
