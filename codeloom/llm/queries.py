@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import contamination, exact_dedup, minhash, pii, substring, token_counts, warc
+from codeloom.llm import contamination, exact_dedup, minhash, mixing, pii, quality, substring, token_counts, warc
 from codeloom.llm.common import table
 
 #: Production parameters of the queries.
@@ -21,6 +21,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, quality.train(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
@@ -44,13 +53,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_pii, op5_exact_dedup, op6_warc, op8_token_counts, op9_minhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_pii, op4_mixing, op5_exact_dedup, op6_warc, op7_quality, op8_token_counts, op9_minhash, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": contamination.ORACLE_SQL,
         "op3_pii": pii.ORACLE_SQL,
+        "op4_mixing": mixing.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op6_warc": warc.ORACLE_SQL,
         "op9_minhash": minhash.ORACLE_SQL,
