@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import contamination, exact_dedup, minhash, mixing, pii, quality, substring, token_counts, warc
+from codeloom.llm import contamination, exact_dedup, html_extract, minhash, mixing, pii, quality, substring, token_counts, warc
 from codeloom.llm.common import table
 
 #: Production parameters of the queries.
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_pii, op4_mixing, op5_exact_dedup, op6_warc, op7_quality, op8_token_counts, op9_minhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_pii, op4_mixing, op5_exact_dedup, op6_warc, op7_quality, op8_token_counts, op9_minhash, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
