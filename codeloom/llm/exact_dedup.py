@@ -25,7 +25,7 @@ from codeloom.llm.common import KeyFilter, materialize, scratch_dir
 
 COMPARE_ROWS = 512
 MEMTABLES = 4
-_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
+_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
 
 def sha256_digest(text: Column) -> Column:
@@ -82,12 +82,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.sha2("text", 256).alias("text_sha256"))
     # Byte verification: the keeper's text goes to each of the group's salts.
     group = shared.select("digest", F.col("rank").alias("keep_rank"), F.ceil(F.col("n") / COMPARE_ROWS).cast("int").alias("salts"))
-    member = marked.filter("maybe").join(group, "digest", "left")
-    single = member.filter("salts is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.sha2("text", 256).alias("text_sha256"))
-    member = materialize(
-        member.filter("salts is not null")
-        .withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.col("salts")).cast("int")), "hits"
-    )
+    maybe = materialize(marked.filter("maybe").join(group, "digest", "left"), "hits")
+    single = maybe.filter("salts is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.sha2("text", 256).alias("text_sha256"))
+    member = maybe.filter("salts is not null").withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.col("salts")).cast("int"))
     keeper = member.filter("rank <=> keep_rank").groupBy("digest").agg(F.min("text").alias("keeper_text"), F.max("salts").alias("salts"))
     keeper = keeper.select("digest", "keeper_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     checked = materialize(
