@@ -91,7 +91,7 @@ class Archive:
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         self.fs, at = fs.FileSystem.from_uri(self.path)
         self.fs.create_dir(at.rpartition("/")[0], recursive=True)
-        self.file = self.fs.open_output_stream(at)
+        self.file = self.fs.open_output_stream(at, compression=None)
         self.waiting, self.n, self.raw, self.size, self.dictionary, self.compressor = [], 0, 0, 0, b"", None
 
     def add(self, data: bytes) -> None:
@@ -131,7 +131,7 @@ def records_of(path: str) -> Iterator[bytes]:
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as f:
+    with store.open_input_stream(at, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{path} does not start with a dictionary frame")
