@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,13 +91,13 @@ def votes(m: np.ndarray) -> str:
 def estimate(patterns: dict[str, int], rounds: int = 50) -> tuple[float, np.ndarray]:
     """Share of good documents and each labeller's accuracy when it votes, by expectation-maximisation.
 
-    Starts from even classes and labellers right four times in five, and smooths by ten
+    Starts from seven good documents in ten and labellers right four times in five, and smooths by ten
     votes, so the classes keep their meaning and a silent labeller keeps its start.
     """
     names = sorted(patterns)
     count = np.array([patterns[p] for p in names], float)
     vote = np.array([[int(c) for c in p] for p in names]).reshape(len(names), len(LABELLERS))
-    accuracy, prior = np.full(len(LABELLERS), 0.8), 0.5
+    accuracy, prior = np.full(len(LABELLERS), 0.8), 0.7
     for _ in range(rounds):
         p = posterior(vote, prior, accuracy)
         right = np.where(vote == GOOD, p[:, None], 1 - p[:, None]) * (vote != ABSTAIN)
@@ -183,22 +184,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score, weak_score and kept; the model, about 130 kB, goes to each task."""
-    names = [c for c in docs.columns if c not in ("score", "weak_score")]
-    frame = docs.select(*names, F.col(text_col).cast("binary").alias("_text"))
+    """docs with score, weak_score and kept; only texts go to the workers, with the model of about 130 kB."""
     shared = docs.sparkSession.sparkContext.broadcast((model.prior, model.accuracy, model.weights))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("score double, weak_score double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
-        for batch in batches:
-            got = [own.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())], names=[*names, "score", "weak_score"])
+        for texts in batches:
+            yield pd.DataFrame([own.score(t) for t in texts], columns=["score", "weak_score"])
 
-    schema = frame.select(*names, F.lit(0.0).alias("score"), F.lit(0.0).alias("weak_score")).schema
-    return frame.mapInArrow(score, schema).withColumn("kept", F.col("score") >= THRESHOLD)
+    out = docs.withColumn("__codeloom_scores", score(F.col(text_col).cast("binary")))
+    new = {"score": F.col("__codeloom_scores.score"), "weak_score": F.col("__codeloom_scores.weak_score"), "kept": F.col("__codeloom_scores.score") >= THRESHOLD}
+    return out.withColumns(new).drop("__codeloom_scores")
 
 
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects."""
     model = train(docs, id_col, text_col)
-    return scored(docs, model, text_col).filter("kept").select(docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    found = scored(packed, model, f"row.{text_col}")
+    return found.filter("kept").select("row.*")

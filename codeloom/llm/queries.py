@@ -41,7 +41,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.scored(docs, quality.train(docs))
+    return quality.scored(docs, quality.train(docs)).drop("text")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
