@@ -44,6 +44,9 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Columns that an operator adds for a while to a caller's rows start with __codeloom_.
+
+
 class KeyFilter:
     """A bitmap of hashed keys in one or a few MB, broadcast to drop rows before a shuffle.
 
@@ -55,9 +58,9 @@ class KeyFilter:
     def __init__(self, keys: DataFrame, key: Column):
         self.count = keys.count()
         self.bits = min(MAX_FILTER_BITS, max(16, math.ceil(math.log2(8 * (self.count + 1)))))
-        at = keys.select(self._slot(key).alias("_p"))
-        self.words = at.groupBy(F.shiftright("_p", 6).alias("_w")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits")
+        at = keys.select(self._slot(key).alias("__codeloom_p"))
+        self.words = at.groupBy(F.shiftright("__codeloom_p", 6).alias("__codeloom_w")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(__codeloom_p & 63 as int))")).alias("__codeloom_bits")
         )
 
     def _slot(self, key: Column) -> Column:
@@ -65,10 +68,10 @@ class KeyFilter:
 
     def mark(self, df: DataFrame, key: Column, name: str) -> DataFrame:
         """df with a boolean column: false means surely not among the keys."""
-        marked = df.withColumn("_p", self._slot(key)).withColumn("_w", F.shiftright("_p", 6))
-        marked = marked.join(F.broadcast(self.words), "_w", "left")
-        hit = F.coalesce(F.expr("getbit(_bits, cast(_p & 63 as int))"), F.lit(0)) == 1
-        return marked.withColumn(name, hit).drop("_p", "_w", "_bits")
+        marked = df.withColumn("__codeloom_p", self._slot(key)).withColumn("__codeloom_w", F.shiftright("__codeloom_p", 6))
+        marked = marked.join(F.broadcast(self.words), "__codeloom_w", "left")
+        hit = F.coalesce(F.expr("getbit(__codeloom_bits, cast(__codeloom_p & 63 as int))"), F.lit(0)) == 1
+        return marked.withColumn(name, hit).drop("__codeloom_p", "__codeloom_w", "__codeloom_bits")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -113,7 +116,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def without_keys(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     """df without the rows whose key is in the one column of keys; only possible members are shuffled."""
     name = keys.columns[0]
-    keys = keys.select(F.col(name).alias("_gone"))
-    marked = KeyFilter(keys, F.col("_gone")).mark(df.withColumn("_key", key), F.col("_key"), "_maybe")
-    maybe = marked.filter("_maybe").join(keys, F.col("_key") == F.col("_gone"), "left_anti")
-    return marked.filter(~F.col("_maybe")).select(df.columns).unionByName(maybe.select(df.columns))
+    keys = keys.select(F.col(name).alias("__codeloom_gone"))
+    marked = KeyFilter(keys, F.col("__codeloom_gone")).mark(df.withColumn("__codeloom_key", key), F.col("__codeloom_key"), "__codeloom_maybe")
+    maybe = marked.filter("__codeloom_maybe").join(keys, F.col("__codeloom_key") == F.col("__codeloom_gone"), "left_anti")
+    return marked.filter(~F.col("__codeloom_maybe")).select(df.columns).unionByName(maybe.select(df.columns))

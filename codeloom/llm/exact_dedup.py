@@ -108,12 +108,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs without the rows that duplicates() drops; of rows with the same id and text one stays."""
     found = materialize(duplicates(docs, id_col, text_col, keep).filter("group_size > 1"), "copies")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    marked = KeyFilter(found, F.col("text_sha256")).mark(docs.withColumn("_sha", sha), F.col("_sha"), "_maybe")
-    stays = found.groupBy("text_sha256").agg(F.max("keep_id").alias("_keep")).withColumnRenamed("text_sha256", "_sha")
-    maybe = marked.filter("_maybe").join(stays.withColumn("_copied", F.lit(True)), "_sha", "left")
-    lone = maybe.filter("_copied is null")
-    copied = maybe.filter(F.col("_copied") & F.col(id_col).eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
-    return marked.filter(~F.col("_maybe")).select(docs.columns).unionByName(lone.unionByName(copied).select(docs.columns))
+    marked = KeyFilter(found, F.col("text_sha256")).mark(docs.withColumn("__codeloom_sha", sha), F.col("__codeloom_sha"), "__codeloom_maybe")
+    stays = found.groupBy("text_sha256").agg(F.max("keep_id").alias("__codeloom_keep")).withColumnRenamed("text_sha256", "__codeloom_sha")
+    maybe = marked.filter("__codeloom_maybe").join(stays.withColumn("__codeloom_copied", F.lit(True)), "__codeloom_sha", "left")
+    lone = maybe.filter(F.col("__codeloom_copied").isNull())
+    copied = maybe.filter(F.col("__codeloom_copied") & F.col(id_col).eqNullSafe(F.col("__codeloom_keep"))).dropDuplicates(["__codeloom_sha"])
+    return marked.filter(~F.col("__codeloom_maybe")).select(docs.columns).unionByName(lone.unionByName(copied).select(docs.columns))
 
 
 ORACLE_SQL = """

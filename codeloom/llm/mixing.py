@@ -126,13 +126,15 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixture's documents: columns of docs, text cut to the tokens taken, with epoch and take_tokens."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = materialize(mixture(docs, id_col, text_col, **options).select("id", "text_hash", "epoch", "take_tokens", "n_tokens").distinct(), "mixture")
+    names = ("id", "text_hash", "epoch", "take_tokens", "n_tokens")
+    found = mixture(docs, id_col, text_col, **options).select(*(F.col(c).alias(f"__codeloom_{c}") for c in names)).distinct()
+    id_, hash_, epoch, take, size = (F.col(f"__codeloom_{c}") for c in names)
     rest = [c for c in docs.columns if c not in ("epoch", "take_tokens")]
-    hit = docs.select(rest).withColumn("_hash", F.xxhash64(text)).join(found, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")))
+    hit = docs.select(rest).withColumn("__codeloom_hash", F.xxhash64(text)).join(materialize(found, "mixture"), F.col(id_col).eqNullSafe(id_) & (F.col("__codeloom_hash") == hash_))
     prefix = F.regexp_extract(text, r"^[\x20\x09-\x0D]*+", 0)
-    words = F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit(0)), F.lit(1), F.col("take_tokens").cast("int"))
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit(0)), F.lit(1), take.cast("int"))
     cut = F.concat(prefix, F.array_join(words, ""))
-    return hit.withColumn(text_col, F.when(F.col("take_tokens") < F.col("n_tokens"), cut).otherwise(F.col(text_col))).select(*rest, "epoch", "take_tokens")
+    return hit.withColumn(text_col, F.when(take < size, cut).otherwise(F.col(text_col))).select(*rest, epoch.alias("epoch"), take.alias("take_tokens"))
 
 
 def _sql_weight(name: str, weights: dict[str, int]) -> str:

@@ -156,7 +156,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every reported span of the text replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    found = spans(docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))), "_t")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    found = spans(packed, "_t")
 
     def named(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
@@ -168,7 +169,8 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["stop"].alias("at"), F.concat(done["out"], gap, F.lit("<"), s["kind"], F.lit(">")).alias("out")))
 
     out = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda d: F.concat(d["out"], F.substring(F.col("_t"), d["at"] + 1, F.length("_t"))))
-    return found.withColumn(text_col, F.when(F.col(text_col).isNotNull(), out)).select(docs.columns)
+    new = F.when(F.col(f"row.{text_col}").isNotNull(), out)
+    return found.select(*((new if c == text_col else F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def _sql() -> str:

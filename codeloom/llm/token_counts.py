@@ -83,7 +83,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
     every executor can open.
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
-    frame = docs.select(*rest, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))
+    frame = docs.select(*rest, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("__codeloom_text"))
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
