@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.ids import is_blank, scoped
 from codeloom.operators import dedupe, matching, store
 from codeloom.operators.lookup import EDGE_KEY, of_project
+from codeloom.operators.traverse import written
 from codeloom.schema import ENDPOINT, NODE_TYPES, RELATIONSHIP, TABLES, Graph, conform, with_defaults
 
 _KIND = {"packages": "package", "units": "unit", "functions": "function", "endpoints": "endpoint"}
@@ -121,11 +122,12 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
     """(graph after the delta, node events). The delta's tables carry `pos`, its rows' order.
 
     Scope, deduplicate, validate; then deletions, packages, units, functions, endpoints
-    (only new ones), match edges, missing structure edges, missing calls. All of it is one
-    lazy plan except the validation; the caller commits once.
+    (only new ones), match edges, missing structure edges, missing calls. The delta's tables
+    and the edges are written to the shared folder between steps; the caller commits once.
     """
     d = rescoped(delta, project)
     d = d.with_(endpoints=dedupe.first_by_id(d.endpoints), relationships=dedupe.edges(d.relationships))
+    d = Graph(**{name: written(df) for name, df in d.tables().items()})  # read many times below
     p = F.lit(project)
     gone = deleted_nodes.select(scoped(p, F.col("id")).alias("id")) if deleted_nodes is not None else None
     cut = deleted_edges.select(scoped(p, F.col("id")).alias("id")) if deleted_edges is not None else None
@@ -152,7 +154,7 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
     event(fresh, "INSERT", "CodeEndpoint")
     out["endpoints"] = store.upsert(graph.endpoints, conform(fresh, ENDPOINT, "pos"), "pos")
     match = conform(matching.match_edges(d.endpoints, out["endpoints"], project), RELATIONSHIP)
-    edges = store.upsert(graph.relationships, match)
+    edges = written(store.upsert(graph.relationships, match))
     for part in split_by_kind(d.relationships):
-        edges = store.upsert(edges, conform(missing_edges(edges, part, project), RELATIONSHIP))
+        edges = written(store.upsert(edges, written(conform(missing_edges(edges, part, project), RELATIONSHIP))))
     return graph.with_(**out, relationships=edges), reduce(DataFrame.unionByName, events)

@@ -30,15 +30,15 @@ fn AS (SELECT 'tpch::fn:cust.C' || o_custkey || '.order' || o_orderkey || '()' A
     false AS ph, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 10 + 1 AS lo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 10 AS hi FROM orders
   UNION ALL SELECT 'tpch::fn:part.P' || p_partkey || '.use()', 'use', 'part.P' || p_partkey || '.use()', 'part/p' || p_partkey || '.java', 'git@example/parts.git', p_size >= 40, NULL, NULL FROM part),
 si AS (SELECT 'tpch::endpoint:' || direction || ':' || type || ':' || sha1(identity) AS id, * FROM (
-    SELECT CASE WHEN page_id % 2 = 0 THEN 'inbound' ELSE 'outbound' END AS direction, 'HTTP' AS type, 'HTTP:GET:' || path AS identity, path, NULL AS topic, NULL AS file, NULL AS line, page_id AS pos
+    SELECT CASE WHEN page_id % 2 = 0 THEN 'inbound' ELSE 'outbound' END AS direction, 'HTTP' AS type, 'HTTP:GET:' || path AS identity, path, CAST(NULL AS VARCHAR) AS topic, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INT) AS line, page_id AS pos
     FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/[0-9]+', '/{param}', 'g') AS path FROM pages)
     UNION ALL SELECT CASE WHEN user_id % 2 = 0 THEN 'inbound' ELSE 'outbound' END, 'MQ', 'MQ:' || event_type, NULL, event_type, 'cust/c' || user_id || '.java', event_id % 100 + 1, event_id FROM events)),
 ep AS (SELECT id, any_value(direction) AS direction, any_value(type) AS type, any_value(identity) AS identity, any_value(path) AS path, any_value(topic) AS topic, arg_min(coalesce(file, ''), pos) AS file, min(pos) AS pos FROM si GROUP BY id),
 ca AS (SELECT 'tpch::fn:cust.C' || o_custkey || '.order' || o_orderkey || '()' AS f, 'tpch::fn:part.P' || l_partkey || '.use()' AS t, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-e0 AS (SELECT 'tpch::pkg:' || r_name AS f, 'PACKAGE_TO_PACKAGE' AS ty, pid AS t, NULL AS line, 'CONTAINS' AS kind, 'CodePackage' AS ft, 'CodePackage' AS tt FROM np
-  UNION ALL SELECT pid, 'PACKAGE_TO_UNIT', id, NULL, 'CONTAINS', 'CodePackage', 'CodeUnit' FROM un
-  UNION ALL SELECT 'tpch::unit:cust.C' || o_custkey, 'UNIT_TO_FUNCTION', 'tpch::fn:cust.C' || o_custkey || '.order' || o_orderkey || '()', NULL, 'CONTAINS', 'CodeUnit', 'CodeFunction' FROM orders
-  UNION ALL SELECT 'tpch::unit:supp.S' || l_suppkey, 'TPCH_SUPPLIES', 'tpch::fn:part.P' || l_partkey || '.use()', NULL, 'OTHER', 'CodeUnit', 'CodeFunction' FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+e0 AS (SELECT 'tpch::pkg:' || r_name AS f, 'PACKAGE_TO_PACKAGE' AS ty, pid AS t, CAST(NULL AS INT) AS line, 'CONTAINS' AS kind, 'CodePackage' AS ft, 'CodePackage' AS tt FROM np
+  UNION ALL SELECT pid, 'PACKAGE_TO_UNIT', id, CAST(NULL AS INT), 'CONTAINS', 'CodePackage', 'CodeUnit' FROM un
+  UNION ALL SELECT 'tpch::unit:cust.C' || o_custkey, 'UNIT_TO_FUNCTION', 'tpch::fn:cust.C' || o_custkey || '.order' || o_orderkey || '()', CAST(NULL AS INT), 'CONTAINS', 'CodeUnit', 'CodeFunction' FROM orders
+  UNION ALL SELECT 'tpch::unit:supp.S' || l_suppkey, 'TPCH_SUPPLIES', 'tpch::fn:part.P' || l_partkey || '.use()', CAST(NULL AS INT), 'OTHER', 'CodeUnit', 'CodeFunction' FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
   UNION ALL SELECT f, 'CALLS', t, min(line), 'CALL', 'CodeFunction', 'CodeFunction' FROM ca GROUP BY f, t),
 re AS (SELECT 'tpch::rel:' || sha1(f[7:] || '|' || ty || '|' || t[7:]) AS id, * FROM e0),
 vi AS (SELECT id, 'PACKAGE' AS type, name, qualifiedName, NULL AS file, NULL AS repo, NULL AS path, NULL AS method, 0 AS ord FROM pk

@@ -32,7 +32,11 @@ def last_changes(events: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, path: str, files_per_batch: int = 8, watermark: str = "400 days") -> DataFrame:
     """Drains a folder of events as a stream and returns last_changes of all of it."""
     folder = scratch(spark)
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    # A stream reads folders; of a lone file it reads the folder by that file's name.
+    source = reader.option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0]) if single else reader.parquet(path)
     events = change_events(source).withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["eventId"])
 
     def merge(batch: DataFrame, number: int) -> None:
