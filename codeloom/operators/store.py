@@ -48,10 +48,13 @@ def delete_nodes(graph: Graph, project: str, gone: DataFrame) -> Graph:
     Packages stay, and so do other projects' rows and edges.
     """
     g = gone.select("id").distinct().withColumn("projectName", F.lit(project))
-    out = {t: getattr(graph, t).join(g, ["id", "projectName"], "left_anti") for t in ("units", "functions", "endpoints")}
+    own = ("units", "functions", "endpoints")
+    out = {t: getattr(graph, t).join(g, ["id", "projectName"], "left_anti") for t in own}
+    held = [getattr(graph, t).select("id", "projectName").join(g, ["id", "projectName"], "left_semi") for t in own]
+    lost = held[0].unionByName(held[1]).unionByName(held[2]).distinct()  # only nodes that go take their edges along
     rel = graph.relationships.join(g, ["id", "projectName"], "left_anti")
-    rel = rel.join(g.withColumnRenamed("id", "fromNodeId"), ["fromNodeId", "projectName"], "left_anti")
-    rel = rel.join(g.withColumnRenamed("id", "toNodeId"), ["toNodeId", "projectName"], "left_anti")
+    rel = rel.join(lost.withColumnRenamed("id", "fromNodeId"), ["fromNodeId", "projectName"], "left_anti")
+    rel = rel.join(lost.withColumnRenamed("id", "toNodeId"), ["toNodeId", "projectName"], "left_anti")
     return graph.with_(**{t: conform(df, TABLES[t]) for t, df in out.items()}, relationships=conform(rel, TABLES["relationships"]))
 
 
