@@ -36,7 +36,8 @@ from codeloom.llm.words import joined, mix, run_hashes, word_hashes
 SHINGLE = 5
 BANDS, ROWS, BITS = 36, 7, 2
 MARGIN = 0.14
-BLOCK = 512  # representatives of a cluster compared at once with as many others
+BLOCK = 512  # representatives of a cluster compared at once with as many others,
+BLOCK_SHINGLES = 4_000_000  # or fewer, if their sets hold more than this together
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -190,7 +191,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = member.join(shared.select("bucket", "first"), "bucket").select(F.col("first").alias("a"), F.col("id").alias("b"))
     cluster = components(star)
     # Places within a cluster: blocks of about BLOCK, dealt by a hash, so no task ranks a whole cluster.
-    sizes = cluster.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    weight = signed.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("n"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = cluster.join(weight, "node").groupBy("label").agg(blocks.alias("blocks"))
     placed = cluster.join(sizes, "label").select(
         F.col("node").alias("id"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     )

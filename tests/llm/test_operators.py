@@ -121,7 +121,8 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
         for _ in range(r.randint(0, 4)):
             words[r.randrange(200)] = f"x{r.randrange(10**6)}"
         docs.append((i, " ".join(words)))
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1500)
     got = rows_of(minhash.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id", "kept")
     assert got == near_brute(docs, 85, 100)
 
