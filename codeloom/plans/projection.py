@@ -103,12 +103,19 @@ def edge(df: DataFrame, a: Column, kind: str, b: Column, line: Column | None = N
     )
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    return l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _call(lines: DataFrame, *extra: str) -> DataFrame:
+    out = edge(lines, order_function(F.col("o_custkey"), F.col("o_orderkey")), "CALLS", part_function(F.col("l_partkey")), F.col("l_linenumber"), relationshipKind=P("CALL"), callType=P("direct"), **{c: F.col("l_linenumber") for c in extra})
+    return conform(out, RELATIONSHIP, *extra)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw calls with repeats, and pos."""
-    l, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    both = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    out = edge(both, order_function(F.col("o_custkey"), F.col("o_orderkey")), "CALLS", part_function(F.col("l_partkey")), F.col("l_linenumber"), relationshipKind=P("CALL"), callType=P("direct"), pos=F.col("l_linenumber"))
-    return conform(out, RELATIONSHIP, "pos")
+    return _call(_lines(spark, sf_dir), "pos")
 
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +137,9 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeloom.operators.dedupe import first_by
-
-    one = first_by(calls(spark, sf_dir), ["fromNodeId", "toNodeId", "relationshipType"]).drop("pos")
-    return structure(spark, sf_dir).unionByName(one)
+    """Structure edges and each call once, at its first line; calls are reduced by their keys before ids are built."""
+    first = _lines(spark, sf_dir).groupBy("o_custkey", "o_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    return structure(spark, sf_dir).unionByName(_call(first))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
