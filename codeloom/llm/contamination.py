@@ -4,12 +4,14 @@ Texts become template words: numbers, units after a number and capitalised names
 inside a sentence turn into typed placeholders, everything else is lower-cased and
 stripped of punctuation. The hashes of all windows of WINDOW template words of the
 benchmark are joined to those of the documents. Matches of one document and item on
-one diagonal (same shift between their places) form an alignment; it counts if its
-slots are consistent, that is if equal values in the item's slots of a kind stand for
-equal values in the document's and the reverse. So a question with other numbers and
-names is caught, and a text that merely has the same shape but ties its slots
-differently is not. A document is contaminated by an item if one consistent alignment
-has the windows of RUN words, or all windows of a shorter item.
+one diagonal (same shift between their places) form an alignment, whose windows are
+judged one by one. An item's value stands for the document's value that it meets at most
+of its places; a window is consistent if its slots keep to that, and verbatim if they have
+the item's own values. Two values of the item may stand for the same value. A document is
+contaminated by an item if in one alignment the windows of RUN words, or all windows of a
+shorter item, are verbatim, or are consistent and more than half of those that match. So a
+question with other numbers and names is caught, a passage with an edited name as well, and
+a text that merely has the same shape but ties its slots differently is not.
 
 The benchmark's windows are broadcast while there are at most BROADCAST_WINDOWS of
 them, else joined by shuffle. Documents' texts stay where they are read; only matches
@@ -129,12 +131,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ours = open_slots.select("key", "item", "shift", F.inline("slots")).select(
         "key", "item", "shift", (F.col("at") + F.col("shift")).alias("at"), "kind", F.col("value").alias("ours")
     )
-    pairs = materialize(ours.join(theirs, ["key", "at"]).select("key", "item", "shift", "kind", "ours", "theirs").distinct(), "slot-pairs")
-    bad = pairs.groupBy("key", "item", "shift", "kind", "ours").count().filter("count > 1").select("key", "item", "shift").unionByName(
-        pairs.groupBy("key", "item", "shift", "kind", "theirs").count().filter("count > 1").select("key", "item", "shift")
+    pairs = ours.join(theirs, ["key", "at"]).groupBy("key", "item", "shift", "kind", "ours", "theirs").agg(F.collect_set("at").alias("ats"))
+    said = pairs.groupBy("key", "item", "shift", "kind", "ours").agg(F.sum(F.size("ats")).alias("all"), F.collect_list(F.struct("theirs", "ats")).alias("said"))
+
+    def places(keep) -> Column:
+        return F.flatten(F.transform(F.filter("said", keep), lambda v: v["ats"]))
+
+    torn, changed = places(lambda v: F.size(v["ats"]) * 2 <= F.col("all")), places(lambda v: v["theirs"] != F.col("ours"))
+    marks = said.select("key", "item", "shift", torn.alias("torn"), changed.alias("changed")).filter("size(changed) > 0").groupBy("key", "item", "shift")
+    marks = marks.agg(F.flatten(F.collect_list("torn")).alias("torn"), F.flatten(F.collect_list("changed")).alias("changed"))
+    own = F.transform("slots", lambda s: s["at"] + F.col("shift"))
+    judged = found.join(materialize(marks, "slot-pairs"), ["key", "item", "shift"], "left")
+    judged = judged.withColumns({f"_{c}": ~F.coalesce(F.arrays_overlap(own, c), F.lit(False)) for c in ("torn", "changed")})
+    runs = judged.groupBy("key", "item", "shift").agg(
+        F.count("*").alias("all"), F.max("needed").alias("needed"), F.count_if("_torn").alias("consistent"), F.count_if("_changed").alias("verbatim")
     )
-    good = found.join(bad.distinct(), ["key", "item", "shift"], "left_anti")
-    runs = good.groupBy("key", "item", "shift").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).filter("n >= needed")
+    n = F.when(F.expr("consistent >= needed AND consistent * 2 > all"), F.col("consistent")).when(F.expr("verbatim >= needed"), F.col("verbatim"))
+    runs = runs.withColumn("n", n).filter("n IS NOT NULL")
     return runs.groupBy("key", "item").agg(F.max("n").alias("n_windows"))
 
 

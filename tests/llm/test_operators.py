@@ -349,6 +349,18 @@ def test_decontamination_finds_reparameterised_questions(spark):
     assert got[1][1] == "10"
 
 
+def test_decontamination_judges_slots_by_window(spark):
+    """Long copies with one edited name, and values that become equal, are found; see also the torn copy above."""
+    long = ("The river port of Paris has seen many boats carry grain and wine to the sea since the old days when people there built "
+            "a bridge near Paris out of heavy stone and wood and then sold fresh bread at a market beside it every "
+            "week so that all who came to Paris by boat could eat well.")
+    edited = long.replace("near Paris", "near Lyon")
+    other = long.replace("Paris", "Rome").replace("near Rome", "near Lyon")
+    merged = ITEM.replace("Anna", "Greta").replace("Paul", "Greta").replace("12", "31").replace("5", "31")
+    got = verdicts(spark, [(1, f"Some words. {edited} More."), (2, other), (3, merged), (4, "nothing of the kind " * 30)], [(10, ITEM), (20, long)])
+    assert got == {1: (True, "20"), 2: (True, "20"), 3: (True, "10"), 4: (False, "")}
+
+
 def test_decontamination_short_items_and_empty_tables(spark):
     docs = [(1, "say the quick brown fox jumps today"), (2, "the quick brown fox sleeps")]
     assert verdicts(spark, docs, [(1, "the quick brown fox jumps")]) == {1: (True, "1"), 2: (False, "")}
