@@ -10,7 +10,11 @@ from functools import lru_cache
 SLOTS = 1 << 14
 #: Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript template svg iframe object math canvas select".split())
+RAW = frozenset("script style textarea title xmp iframe".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements whose text pages do not show as such.
+HIDDEN = frozenset("svg canvas template select noscript annotation annotation-xml".split())
+EMBEDDED = FOREIGN | HIDDEN | {"object"}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -33,6 +37,26 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _ended(page: str) -> set[int]:
+    """Where the start tags of embedded elements are that have an end tag of their own; others count as empty."""
+    out: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag in EMBEDDED:
+            if not m[1]:
+                if not (tag in FOREIGN and m[3].endswith("/")):
+                    waiting.setdefault(tag, []).append(m.start())
+            elif waiting.get(tag):
+                out.add(waiting[tag].pop())
+        elif tag in RAW and not m[1] and not m[3].endswith("/"):
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
     """(text, path, characters in links) of each leaf block in page order.
 
@@ -41,6 +65,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
     are no blocks. Character references are decoded and white space becomes one space.
     """
     page = page or ""
+    ended: set[int] | None = None
+    hidden = foreign = 0
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -57,6 +83,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
 
     def add(text: str) -> None:
         nonlocal linked, path
+        if hidden:
+            return
         if not parts:
             if not text or text.isspace():
                 return
@@ -65,6 +93,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         if in_link:
             linked += len(text)
 
+    def cut(i: int) -> None:
+        nonlocal hidden, foreign
+        if hidden or foreign:
+            hidden -= sum(tag in HIDDEN for tag, _ in stack[i:])
+            foreign -= sum(tag in FOREIGN for tag, _ in stack[i:])
+        del stack[i:]
+
     at = 0
     find = _TAG.search
     while m := find(page, at):
@@ -78,29 +113,39 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            if tag not in INLINE:
-                close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    cut(i)
                     break
+            if tag not in INLINE and tag not in EMBEDDED and not hidden and not foreign:
+                close()
             continue
         if tag == "br":
             add(" ")
             continue
-        if tag not in INLINE:
+        if (foreign or tag in FOREIGN) and m[3].endswith("/"):
+            continue
+        if tag in EMBEDDED:
+            if ended is None:
+                ended = _ended(page)
+            if m.start() in ended:
+                hidden += tag in HIDDEN
+                foreign += tag in FOREIGN
+                stack.append((tag, _marks(m[3]) if m[3] else ()))
+            continue
+        if tag not in INLINE and not hidden and not foreign:
             close()
             if stack and (closes := CLOSES_ITSELF.get(tag)):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in closes:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in SCOPE[tag]:
                         break
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
