@@ -23,33 +23,32 @@ def first_by_id(df: DataFrame, pos: str = "pos") -> DataFrame:
 def edges(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Keep-first of edges by id or by (from, to, type), in the order of pos.
 
-    An edge is dropped if a kept one before it has its id or its ends and type. Where ids are
-    functions of ends and type (checked by one aggregation) that is one keep-first; otherwise
-    each group of edges that share ids or keys directly or through others is folded in order,
-    one group at a time.
+    An edge is dropped if a kept one before it has its id or its ends and type. Blank ids are
+    no ids: such edges are compared by ends and type alone; null ends and types equal empty
+    ones. Where ids are functions of ends and type (checked by one aggregation) that is one
+    keep-first. Otherwise rounds keep the edges that are first both by id and by ends and
+    type, and drop what shares either with them, until no edge is left; the number of rounds
+    is that of the longest chain of edges that each await the one before.
     """
-    key = ["fromNodeId", "toNodeId", "relationshipType"]
-    keyed = df.withColumn("_k", F.xxhash64(*key))
-    plain = keyed.groupBy("id").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").isEmpty()
-    plain = plain and keyed.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").isEmpty()
+    names, key = df.columns, ["_from", "_to", "_type"]
+    blank_as_empty = {k: F.coalesce(F.col(c), F.lit("")) for k, c in zip(key, ["fromNodeId", "toNodeId", "relationshipType"], strict=True)}
+    keyed = df.withColumns(blank_as_empty).withColumn("_id", F.when(has_text(F.col("id")), F.col("id")))
+    hashed = keyed.withColumn("_k", F.xxhash64(*key))
+    plain = hashed.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").isEmpty()
+    plain = plain and keyed.groupBy(*key).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").isEmpty()
     if plain:
-        return first_by(df, key, pos)
-    from codeloom.operators.traverse import connected
-
-    node = keyed.select(F.xxhash64(F.lit("id"), "id").alias("a"), F.xxhash64(F.lit("key"), "_k").alias("b"))
-    label = connected(node)
-    grouped = keyed.withColumn("a", F.xxhash64(F.lit("id"), "id")).join(label.withColumnRenamed("node", "a"), "a").drop("a", "_k")
-    names = df.columns
-
-    def fold(rows):
-        rows = rows.sort_values(pos, kind="stable")
-        ids, keys, keep = set(), set(), []
-        for i, k in zip(rows["id"], zip(*(rows[c] for c in key), strict=True), strict=True):
-            new = i not in ids and k not in keys
-            keep.append(new)
-            if new:
-                ids.add(i)
-                keys.add(k)
-        return rows[keep][names]
-
-    return grouped.groupBy("label").applyInPandas(fold, df.schema)
+        return first_by(keyed.drop("_id"), key, pos).select(names)
+    from codeloom.operators.traverse import written
+
+    # Rows of equal pos stay apart by a number that is written once.
+    every = written(keyed.withColumn("_o", F.struct(F.col(pos).alias("pos"), F.monotonically_increasing_id().alias("n"))))
+    rest, kept = every.select("_id", *key, "_o"), None
+    while not rest.isEmpty():
+        by_id = rest.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_o").alias("_o")).select("_o")
+        by_key = rest.groupBy(*key).agg(F.min("_o").alias("_o"), F.min_by("_id", "_o").alias("_id"))
+        with_id = by_key.filter("_id IS NOT NULL").join(by_id, "_o", "left_semi")
+        new = written(with_id.unionByName(by_key.filter("_id IS NULL")))
+        kept = new.select("_o") if kept is None else kept.unionByName(new.select("_o"))
+        left = rest.join(new.select(*key), key, "left_anti").join(new.select("_id"), "_id", "left_anti")
+        rest = written(left.select("_id", *key, "_o"))
+    return every.join(kept, "_o", "left_semi").select(names)
