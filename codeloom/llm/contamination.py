@@ -17,8 +17,15 @@ The benchmark's windows are broadcast while there are at most BROADCAST_WINDOWS
 them, else joined by shuffle. Documents' texts stay where they are read; only matches
 and their slots are shuffled.
 
-Defined results: null and empty texts match nothing; items of fewer than SHORTEST words
-or with too few literal words are not searched for; ties do not matter, as every
+What templates cannot tell is looked for by its literal lower-cased words: items with
+fewer than SHORTEST words or with windows that are mostly placeholders, and text in
+scripts without spaces, letter by letter. The first word of an item is looked for in each
+kind that it can have after other words. n_windows counts the windows of the item's own
+template if they suffice, else those of all readings, else verbatim or literal ones.
+
+Defined results: null and empty texts match nothing; an item of one word (or one letter of
+a script without spaces) is only found as a whole document; repeated items count once;
+ties do not matter, as every
 alignment is judged alone and all items that contaminate are named; repeated rows have
 equal results; an empty benchmark or table of documents contaminates nothing; other
 columns of either table are not read.
@@ -34,6 +41,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import KeyFilter, materialize, without_keys
 
 WINDOW, RUN, SHORTEST = 8, 13, 5
+#: Letters of scripts that are written without spaces; each is a literal word. RUN of them are half as many words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 BROADCAST_WINDOWS = 1_000_000
 #: What counts as a unit directly after a number.
 UNITS = "km m cm mm mi ft kg g mg lb lbs oz l ml s sec min h hr hours minutes seconds days weeks months years percent dollars euros usd eur hz khz mhz ghz w kw v j kj cal kcal mph kmh kph".split()
@@ -67,6 +76,24 @@ def template(words: Column) -> Column:
     return F.transform(words, one)
 
 
+def _first_readings(words: Column, kinds: Column) -> Column:
+    """The template, and those that it has after other words: the first word's kind depends on the word before."""
+    x = F.get(words, F.lit(0))
+    may = F.array(F.when(x.rlike(r"^\p{Lu}\p{Ll}"), NAME), F.when(_plain(x).isin(UNITS), UNIT))
+    may = F.when(_number(x), F.array().cast("array<string>")).otherwise(F.filter(may, lambda k: k.isNotNull()))
+    other = F.transform(may, lambda k: F.struct(F.concat(F.array(k), F.slice(kinds, 2, F.greatest(F.size(kinds) - 1, F.lit(0)))).alias("t"), F.lit(False).alias("base")))
+    return F.concat(F.array(F.struct(kinds.alias("t"), F.lit(True).alias("base"))), other)
+
+
+def _dense(seen: Column) -> Column:
+    return F.size(F.filter(seen, lambda k: k.isin(NUM, UNIT, NAME))) * 2 > F.size(seen)
+
+
+def literals(text: Column) -> Column:
+    """All words lower-cased, without kinds; letters of UNSPACED scripts one by one."""
+    return F.transform(tokens(F.regexp_replace(F.coalesce(text, F.lit("")), f"({UNSPACED})", " $1 ")), _plain)
+
+
 def _with_windows(df: DataFrame, size: int) -> DataFrame:
     """Adds _w: hashes of all windows of `size` template words of the column t."""
     out, have = df.withColumn("_w", F.transform("t", lambda x: F.xxhash64(x))), 1
@@ -85,23 +112,70 @@ def _slots(words: Column, kinds: Column) -> Column:
     return F.filter(all_words, lambda s: s["kind"].isin(NUM, UNIT, NAME))
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
+    items = items.withColumn("words", tokens(F.col("text"))).withColumn("t", template(F.col("words")))
+    return items.withColumn("readings", _first_readings(F.col("words"), F.col("t"))).withColumn("n", F.size("t"))
+
+
+def literal_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(item, size, place, hash, needed) of the literal words of items that templates cannot tell.
+
+    These are the items with fewer than SHORTEST words, with a window that has too many
+    placeholders, or with letters of UNSPACED scripts.
+    """
+    items = _items(benchmark, item_col, text_col)
+    size = F.least("n", F.lit(window))
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))
+    dense = F.exists("readings", lambda r: F.exists(starts, lambda i: _dense(F.slice(r["t"], i, size))))
+    unspaced = F.col("text").rlike(UNSPACED)
+    items = items.filter((F.col("n") < SHORTEST) | dense | unspaced).select("item", literals(F.col("text")).alias("t"), unspaced.alias("unspaced"))
+    items = materialize(items.filter(F.exists("t", lambda x: x != "")), "literals").withColumn("size", F.least(F.size("t"), F.lit(window)))
+    parts = []
+    for size in range(1, window + 1):
+        part = _with_windows(items.filter(F.col("size") == size), size)
+        most = F.when(F.col("unspaced"), 2 * RUN).otherwise(RUN) - window + 1
+        parts.append(part.select("item", "size", F.least(F.size("_w"), most).alias("needed"), F.posexplode("_w").alias("place", "hash")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def literal_contamination(rows: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(key, item, n) of the literal copies; a single word has to be all of a document."""
+    look = materialize(literal_windows(benchmark, item_col, text_col, window), "literal-windows")
+    sizes = [r["size"] for r in look.select("size").distinct().orderBy("size").collect()]  # at most window
+    small = look.count() <= BROADCAST_WINDOWS
+    words = rows.select("key", literals(F.col("text")).alias("t"))
+    hits = []
+    for size in sizes:
+        own = look.filter(F.col("size") == size)
+        texts = words.filter(F.size("t") == 1) if size == 1 else words
+        windows = _with_windows(texts, size).select("key", F.posexplode_outer("_w").alias("at", "hash"))
+        hits.append(windows.join(F.broadcast(own) if small else own, "hash").select("key", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "needed"))
+    if not hits:
+        return rows.select("key", F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("n")).limit(0)
+    runs = reduce(DataFrame.unionByName, hits).distinct().groupBy("key", "item", "shift").agg(F.count("*").alias("n"), F.max("needed").alias("needed"))
+    return runs.filter("n >= needed").groupBy("key", "item").agg(F.max("n").alias("n"))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, size, place, hash, needed, slots): every window to look for; short items are one window."""
-    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("words"))
-    items = materialize(items.withColumn("t", template(F.col("words"))), "templates").withColumn("n", F.size("t"))
+    """(item, size, place, base, hash, needed, slots): every window to look for; short items are one window.
+
+    Windows at place 0 are there in each reading of their first word; base: that of the item itself.
+    """
+    items = materialize(_items(benchmark, item_col, text_col).drop("text"), "templates")
     items = items.withColumn("size", F.least("n", F.lit(window))).filter(F.col("n") >= SHORTEST)
+    items = items.select("item", "size", "n", "words", F.inline("readings"))
     parts = []
     for size in range(SHORTEST, window + 1):
         part = _with_windows(items.filter(F.col("size") == size), size)
-        parts.append(part.select("item", "size", "n", "t", "words", F.posexplode_outer("_w").alias("place", "hash")))
+        parts.append(part.select("item", "size", "n", "t", "base", "words", F.posexplode_outer("_w").alias("place", "hash")))
     found = reduce(DataFrame.unionByName, parts)
     seen = F.slice("t", F.col("place") + 1, F.col("size"))
-    placeholders = F.size(F.filter(seen, lambda k: k.isin(NUM, UNIT, NAME)))
-    found = found.filter(placeholders * 2 <= F.col("size"))
+    found = found.filter((F.col("base") | (F.col("place") == 0)) & ~_dense(seen))
     slots = F.filter(_slots(F.col("words"), F.col("t")), lambda s: (s["at"] >= F.col("place")) & (s["at"] < F.col("place") + F.col("size")))
-    usable = found.groupBy("item").agg(F.count("*").alias("usable"))
-    needed = F.least("usable", F.lit(RUN - window + 1))
-    return found.join(usable, "item").select("item", "size", "place", "hash", needed.alias("needed"), slots.alias("slots"))
+    usable = found.groupBy("item").agg(F.count_if("base").alias("usable"))
+    needed = F.greatest(F.least("usable", F.lit(RUN - window + 1)), F.lit(1))
+    return found.join(usable, "item").select("item", "size", "place", "base", "hash", needed.alias("needed"), slots.alias("slots"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -117,9 +191,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         # Outer, as the filter that Spark infers for a plain explode would compute the arrays once more.
         windows = _with_windows(texts, size).select("key", F.posexplode_outer("_w").alias("at", "hash"))
         hits.append(windows.join(F.broadcast(own) if small else own, "hash"))
+    literal = literal_contamination(rows, benchmark, item_col, text_col, window)
     if not hits:
-        return rows.select("key", F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("n_windows")).limit(0)
-    found = reduce(DataFrame.unionByName, hits).select("key", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "needed", "slots")
+        return literal.withColumnRenamed("n", "n_windows")
+    found = reduce(DataFrame.unionByName, hits).select("key", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "base", "needed", "slots")
     found = materialize(found.distinct(), "matches")
 
     # Slots of the documents that have matches with slots, by place.
@@ -144,11 +219,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     judged = found.join(materialize(marks, "slot-pairs"), ["key", "item", "shift"], "left")
     judged = judged.withColumns({f"_{c}": ~F.coalesce(F.arrays_overlap(own, c), F.lit(False)) for c in ("torn", "changed")})
     runs = judged.groupBy("key", "item", "shift").agg(
-        F.count("*").alias("all"), F.max("needed").alias("needed"), F.count_if("_torn").alias("consistent"), F.count_if("_changed").alias("verbatim")
+        F.count("*").alias("all"), F.max("needed").alias("needed"), F.count_if("_torn").alias("consistent"), F.count_if("_changed").alias("verbatim"),
+        F.count_if("base").alias("base"), F.count_if(F.col("base") & F.col("_torn")).alias("base_consistent"),
     )
-    n = F.when(F.expr("consistent >= needed AND consistent * 2 > all"), F.col("consistent")).when(F.expr("verbatim >= needed"), F.col("verbatim"))
+    n = F.when(F.expr("base_consistent >= needed AND base_consistent * 2 > base"), F.col("base_consistent"))
+    n = n.when(F.expr("consistent >= needed AND consistent * 2 > all"), F.col("consistent")).when(F.expr("verbatim >= needed"), F.col("verbatim"))
     runs = runs.withColumn("n", n).filter("n IS NOT NULL")
-    return runs.groupBy("key", "item").agg(F.max("n").alias("n_windows"))
+    both = runs.select("key", "item", "n", F.lit(None).cast("long").alias("exact")).unionByName(literal.select("key", "item", F.lit(None).cast("long").alias("n"), F.col("n").alias("exact")))
+    return both.groupBy("key", "item").agg(F.coalesce(F.max("n"), F.max("exact")).alias("n_windows"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
