@@ -8,7 +8,9 @@ from a score of REPORT per cent: an IBAN that passes its check does by itself, a
 number shaped like a national identifier only with a fitting word nearby.
 
 A pattern's matches are leftmost and do not overlap; a match that fails is dropped
-without another try inside it. Positions are code points, end exclusive.
+without another try inside it. Only IBANs get one: where no confirmed match lies, a part
+that starts at a word's start, ends at a group's end, has its country's length and passes
+its check is one. Positions are code points, end exclusive.
 
 The patterns for the JVM use possessive loops and a guard before the first character,
 which change no match but keep long runs of digits or letters linear and off the stack.
@@ -44,6 +46,13 @@ JVM = {
     "iban": PATTERN["iban"],
     "national_id": PATTERN["national_id"],
 }
+IBAN_INSIDE = rf"(?=(?<![A-Za-z0-9])({PATTERN['iban']}))"
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
+    "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 "
+    "SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 #: Texts that lack this cannot match; cheaper than the pattern.
 HINT = {"email": "@", "phone": "+", "national_id": "-", "ip": "."}
 #: Scores in per cent without and with a fitting word nearby.
@@ -115,6 +124,29 @@ def _proposals(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(HINT[kind])), found).otherwise(empty) if kind in HINT else found
 
 
+def _ibans(text: Column, found: Column) -> Column:
+    """(start, match) of the matches that pass and, where there is none, of parts that pass."""
+    passed = F.filter(found, lambda p: _valid("iban", p["match"]))
+    matches = F.regexp_extract_all(text, F.lit(IBAN_INSIDE), F.lit(1))
+    # A first character, as split ignores an empty match at the start.
+    between = F.split(F.concat(F.lit(" "), text), IBAN_INSIDE, -1)
+    lengths = F.create_map(*(F.lit(x) for kv in IBAN_LENGTH.items() for x in kv))
+    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+
+    def part(match: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(-1), lambda n, b: n + F.length(b))
+        groups = F.split(match, " ")
+        ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+        whole = F.filter(ends, lambda x: F.length(compact(x)) == F.try_element_at(lengths, F.substring(match, 1, 2)))
+        return F.struct(start.alias("start"), F.get(whole, F.lit(0)).alias("match"))
+
+    def apart(p: Column, q: Column) -> Column:
+        return (p["start"] >= q["start"] + F.length(q["match"])) | (q["start"] >= p["start"] + F.length(p["match"]))
+
+    parts = F.filter(F.transform(matches, part), lambda p: F.coalesce(_valid("iban", p["match"]), F.lit(False)))
+    return F.array_sort(F.aggregate(parts, passed, lambda done, p: F.when(F.forall(done, lambda q: apart(p, q)), F.concat(done, F.array(p))).otherwise(done)))
+
+
 def _confirmed(kind: str) -> Column:
     """Of the proposals in _kind, those that pass, with scores from the words before them."""
     low, high = SCORE[kind]
@@ -132,6 +164,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a column for each kind: array of (start, stop, score) in per cent, by start."""
     out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns({f"_{kind}": _proposals(F.col("_text"), kind) for kind in KINDS})
+    out = out.withColumn("_iban", F.when(F.size("_iban") > 0, _ibans(F.col("_text"), F.col("_iban"))).otherwise(F.col("_iban")))
     return out.withColumns({kind: _confirmed(kind) for kind in KINDS}).drop("_text", *(f"_{k}" for k in KINDS))
 
 
