@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -36,8 +37,8 @@ def direction_of(name: str | None) -> str:
     return "FORWARD" if n in ("FORWARD", "OUT", "OUTGOING") else "BACKWARD" if n in ("BACKWARD", "IN", "INCOMING") else "BOTH"
 
 
-def distances(edges: DataFrame, starts: DataFrame, direction: str = "BOTH", max_depth: int = 2) -> DataFrame:
-    """(node, depth) of all nodes within max_depth of the start nodes; stops at an empty frontier.
+def distances(edges: DataFrame, starts: DataFrame, direction: str = "BOTH", max_depth: int | None = 2) -> DataFrame:
+    """(node, depth) of all nodes within max_depth of the start nodes, or of all that are reached if it is None; stops at an empty frontier.
 
     Every level joins the frontier with the edges and drops what was visited. The frontier
     is distinct before it is joined; whether it is broadcast is left to its size.
@@ -49,7 +50,7 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "BOTH", max_
         steps.append(edges.select(F.col("toNodeId").alias("node"), F.col("fromNodeId").alias("next")))
     step = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
     seen = frontier = written(starts.select("node", F.lit(0).alias("depth")).distinct())
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = step.join(frontier.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
         frontier = written(ahead.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
@@ -82,7 +83,7 @@ def traverse(relationships: DataFrame, start: str | None, max_depth: int | None
     return found, first_by(walked, ["fromNodeId", "toNodeId", "relationshipType"], "id")
 
 
-def ranks(relationships: DataFrame, nodes: DataFrame, start: str, types: list[str] | None = None, max_depth: int = 64) -> DataFrame:
+def ranks(relationships: DataFrame, nodes: DataFrame, start: str, types: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """(id, rank): forward distance from the start; nodes that cannot be reached come one after the last rank."""
     usable = relationships.filter(F.col("relationshipType").isin(types)) if types else relationships
     starts = relationships.sparkSession.createDataFrame([(start,)], "node string")
