@@ -2,7 +2,8 @@
 
 Batches of documents become memtables. Flushing a memtable aggregates it to one row a
 digest and appends a run: sorted by digest within digest ranges, with Parquet's own
-Bloom filter on the digest column, so point lookups open few row groups. Compaction
+Bloom filter on the digest column, for point lookups from outside: nothing here looks
+keys up in it, hits come from a bitmap of shared digests and a join. Compaction
 merges runs and keeps the smallest rank of a digest (rank: the id, or its negation
 when the largest id stays). Lookups join on the digest; every hit's bytes are then
 compared with those of the row that stays. Rows that share a digest but not the text
