@@ -20,13 +20,27 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 LANDMARKS = frozenset("article main nav aside header footer form section dialog".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+# Every alternative ends at its mark or at the end of the page and never gives back what
+# it took, so reading a page is linear whatever it holds. A quote only opens a value after
+# an equals sign; without its partner it is an ordinary character.
+_TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_SOURCE = re.compile(r"(?:^|\s)src\s*=", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: References to numbers that are no characters; Python refuses to read very long ones.
+_ZEROS = re.compile(r"(&#[xX]?)0{4,}+(?=[0-9a-fA-F])")
+_NO_CHARACTER = re.compile(r"&#(?:0*+[1-9][0-9]{7,}+|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,}+);?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+#: A block's path has its outermost and innermost open elements, so many of each at most.
+OUTER, INNER = 32, 32
 
 
-@lru_cache(maxsize=20_000)
-def _marks(attributes: str) -> tuple[str, ...]:
+def _read_marks(attributes: str) -> tuple[str, ...]:
     """Words of the attributes that tell what an element is for."""
     out = []
     for name, *values in _ATTR.findall(attributes):
@@ -37,11 +51,81 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+_cached_marks = lru_cache(maxsize=20_000)(_read_marks)
+
+
+def _marks(attributes: str) -> tuple[str, ...]:
+    return _cached_marks(attributes) if len(attributes) < 300 else _read_marks(attributes)
+
+
+class _Ends:
+    """Finds where raw elements end; looks for a mark that a page lacks only once."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, tag: str, at: int) -> re.Match | None:
+        if tag in self.missing:
+            return None
+        end = (_HEAD_END if tag == "head" else _RAW_END[tag]).search(self.page, at)
+        if not end:
+            self.missing.add(tag)
+        return end
+
+    def after(self, tag: str, attributes: str, at: int) -> int:
+        """Where reading goes on after the start tag of a raw element.
+
+        Without an end tag a script or style of its own text reaches to the page's end, as
+        in a page that breaks off; anything else is empty and hides nothing.
+        """
+        if end := self.find(tag, at):
+            return end.end()
+        own = tag in ("script", "style") and not attributes.endswith("/") and not _SOURCE.search(attributes)
+        return len(self.page) if own else at
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no step walks through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.hidden = self.foreign = 0
+
+    def push(self, tag: str, marks: tuple[str, ...]) -> None:
+        i = len(self.stack)
+        self.stack.append((tag, marks))
+        self.at.setdefault(tag, []).append(i)
+        if tag not in INLINE:
+            self.blocks.append(i)
+        self.hidden += tag in HIDDEN
+        self.foreign += tag in FOREIGN
+
+    def cut(self, i: int) -> None:
+        """Closes the element at place i and all that are open inside it."""
+        while len(self.stack) > i:
+            tag, _ = self.stack.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.hidden -= tag in HIDDEN
+            self.foreign -= tag in FOREIGN
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, -1 without any."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def path(self) -> tuple:
+        s = self.stack
+        return tuple(s) if len(s) <= OUTER + INNER else (*s[:OUTER], *s[-INNER:])
+
+
 def _ended(page: str) -> set[int]:
     """Where the start tags of embedded elements are that have an end tag of their own; others count as empty."""
     out: set[int] = set()
     waiting: dict[str, list[int]] = {}
-    at = 0
+    ends, at = _Ends(page), 0
     while m := _TAG.search(page, at):
         at = m.end()
         tag = (m[2] or "").lower()
@@ -52,8 +136,7 @@ def _ended(page: str) -> set[int]:
             elif waiting.get(tag):
                 out.add(waiting[tag].pop())
         elif tag in RAW and not m[1] and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = ends.after(tag, m[3], at)
     return out
 
 
@@ -61,14 +144,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
     """(text, path, characters in links) of each leaf block in page order.
 
     A block is the text between two block-level tags; its path is the open elements with
-    their marks. Scripts, styles, titles, comments and other text that pages do not show
-    are no blocks. Character references are decoded and white space becomes one space.
+    their marks, the OUTER outermost and INNER innermost ones if there are more. Scripts,
+    styles, titles, comments and other text that pages do not show are no blocks, nor is a
+    tag that the page's end cuts off. Character references are decoded and white space
+    becomes one space. Time and memory are linear in the page, whatever its nesting.
     """
     page = page or ""
     ended: set[int] | None = None
-    hidden = foreign = 0
+    ends, opened = _Ends(page), _Open()
     out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, path = 0, 0, ()
 
@@ -76,30 +160,25 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         nonlocal parts, linked
         if parts:
             text = "".join(parts)
-            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            if "&" in text:
+                text = html.unescape(_NO_CHARACTER.sub("�", _ZEROS.sub(r"\1", text)))
+            text = " ".join(text.split())
             if text:
                 out.append((text, path, linked))
             parts, linked = [], 0
 
     def add(text: str) -> None:
         nonlocal linked, path
-        if hidden:
+        if opened.hidden:
             return
         if not parts:
             if not text or text.isspace():
                 return
-            path = tuple(stack)
+            path = opened.path()
         parts.append(text)
         if in_link:
             linked += len(text)
 
-    def cut(i: int) -> None:
-        nonlocal hidden, foreign
-        if hidden or foreign:
-            hidden -= sum(tag in HIDDEN for tag, _ in stack[i:])
-            foreign -= sum(tag in FOREIGN for tag, _ in stack[i:])
-        del stack[i:]
-
     at = 0
     find = _TAG.search
     while m := find(page, at):
@@ -113,56 +192,42 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    cut(i)
-                    break
-            if tag not in INLINE and tag not in EMBEDDED and not hidden and not foreign:
+            if opened.at.get(tag):
+                opened.cut(opened.at[tag][-1])
+            if tag not in INLINE and tag not in EMBEDDED and not opened.hidden and not opened.foreign:
                 close()
             continue
         if tag == "br":
             add(" ")
             continue
-        if (foreign or tag in FOREIGN) and m[3].endswith("/"):
+        if (opened.foreign or tag in FOREIGN) and m[3].endswith("/"):
             continue
         if tag in EMBEDDED:
             if ended is None:
                 ended = _ended(page)
             if m.start() in ended:
-                hidden += tag in HIDDEN
-                foreign += tag in FOREIGN
-                stack.append((tag, _marks(m[3]) if m[3] else ()))
-            continue
-        if tag not in INLINE and not hidden and not foreign:
-            close()
-            if stack and (closes := CLOSES_ITSELF.get(tag)):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closes:
-                        cut(i)
-                        break
-                    if stack[i][0] in SCOPE[tag]:
-                        break
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        cut(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-        if tag in VOID or m[3].endswith("/") and tag not in RAW and ":" in tag:
+                opened.push(tag, _marks(m[3]) if m[3] else ())
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = ends.after(tag, m[3], at)
+            continue
+        if tag not in INLINE and not opened.hidden and not opened.foreign:
+            close()
+            if opened.stack and (closes := CLOSES_ITSELF.get(tag)):
+                i = opened.last(closes)
+                if i > opened.last(SCOPE[tag]):
+                    opened.cut(i)
+            elif opened.blocks and opened.stack[opened.blocks[-1]][0] == "p":
+                opened.cut(opened.blocks[-1])
+        if tag in VOID or m[3].endswith("/") and ":" in tag:
             continue
         if tag == "head":
-            end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-            if end:
+            if end := ends.find("head", at):
                 at = end.end() if end[0][1] == "/" else end.start()
             continue
         if tag == "a":
             in_link = 1
-        stack.append((tag, _marks(m[3]) if m[3] else ()))
+        opened.push(tag, _marks(m[3]) if m[3] else ())
     if at < len(page):
         add(page[at:])
     close()

@@ -27,6 +27,7 @@ from codeloom.llm.html_training import training_pages
 TRAIN_PAGES = 1200
 ROUNDS = 150
 PENALTY = 1e-5
+HELD_CHARACTERS = 4 << 20  # of texts before they are sent on
 
 
 class Crf:
@@ -111,10 +112,14 @@ def extracted(pages: DataFrame, crf: Crf | None = None, html_col: str = "html",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Crf(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(own, page) for page in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
+            begin, held, texts = 0, 0, []
+            for i, page in enumerate(batch.column(len(keep))):
+                texts.append(main_text(own, page.as_py()))
+                held += len(texts[-1])
+                if held >= HELD_CHARACTERS or i + 1 == batch.num_rows:
+                    part = batch.slice(begin, len(texts))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
+                    begin, held, texts = i + 1, 0, []
 
     schema = frame.select(*keep, F.lit("").alias("text")).schema
     return frame.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
