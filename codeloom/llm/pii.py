@@ -2,15 +2,16 @@
 
 Regular expressions propose spans, validators confirm them (part ranges for IP
 addresses, Luhn for cards, digit counts for phone numbers, modulo 97 for IBANs) and
-words within CONTEXT characters before a span raise its score. Base kinds (email, ip,
-card, phone) that pass their validator are always reported. Further kinds are reported
+words in the CONTEXT characters before a span, back to the kind's last proposal at most,
+raise its score. Base kinds (email, ip, card, phone) that pass their validator are always
+reported. Further kinds are reported
 from a score of REPORT per cent: an IBAN that passes its check does by itself, a
 number shaped like a national identifier only with a fitting word nearby.
 
 A pattern's matches are leftmost and do not overlap; a match that fails is dropped
-without another try inside it. Only IBANs get one: where no confirmed match lies, a part
-that starts at a word's start, ends at a group's end, has its country's length and passes
-its check is one. Positions are code points, end exclusive.
+without another try inside it. An IBAN has its country's length, in groups that end where
+a word ends. Positions are code points, end exclusive. Work is linear in a text and its
+matches: starts are sums over blocks of BLOCK matches and blocks of those.
 
 The patterns for the JVM use possessive loops and a guard before the first character,
 which change no match but keep long runs of digits or letters linear and off the stack.
@@ -35,7 +36,6 @@ PATTERN = {
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}",
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 JVM = {
@@ -43,16 +43,27 @@ JVM = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": PATTERN["phone"],
-    "iban": PATTERN["iban"],
     "national_id": PATTERN["national_id"],
 }
-IBAN_INSIDE = rf"(?=(?<![A-Za-z0-9])({PATTERN['iban']}))"
 #: Characters of an IBAN by country.
 IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
     "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 "
     "SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 ).split()}
+
+def _iban(before: str, after: str) -> str:
+    """Country, check digits and the rest of its length; a space may stand before each character but the first four."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTH.items():
+        by_length.setdefault(n, []).append(country)
+    kinds = "|".join(rf"(?:{'|'.join(c)})[0-9][0-9](?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    return rf"{before}(?:{kinds}){after}"
+
+
+PATTERN["iban"] = _iban(r"\b", r"\b")
+JVM["iban"] = _iban("(?=[A-Z][A-Z][0-9][0-9])(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])")
+BLOCK, MASKED = 32, 256
 #: Texts that lack this cannot match; cheaper than the pattern.
 HINT = {"email": "@", "phone": "+", "national_id": "-", "ip": "."}
 #: Scores in per cent without and with a fitting word nearby.
@@ -107,44 +118,52 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _proposals(text: Column, kind: str) -> Column:
-    """(start, match) of every match, from the matches and the stretches between them."""
-    matches = F.regexp_extract_all(text, F.lit(JVM[kind]), F.lit(0))
-    between = F.split(text, JVM[kind], -1)
-    empty = F.array().cast("array<struct<start:int,match:string>>")
-
-    def place(done: Column, i: Column) -> Column:
-        start = done["at"] + F.length(F.get(between, i))
-        match = F.get(matches, i)
-        return F.struct((start + F.length(match)).alias("at"), F.concat(done["found"], F.array(F.struct(start.alias("start"), match.alias("match")))).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    n = F.size(matches)
-    found = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), start, place, lambda d: d["found"])).otherwise(empty)
-    return F.when(F.contains(text, F.lit(HINT[kind])), found).otherwise(empty) if kind in HINT else found
+def _with(value: Column, body) -> Column:
+    """body(value) with value computed once: lambdas compute all that they refer to at every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(x: Column) -> Column:
+    """Sums of each BLOCK elements of an array of ints."""
+    at = F.sequence(F.lit(0), F.ceil(F.size(x) / BLOCK).cast("int") - 1)
+    return F.when(F.size(x) > 0, F.transform(at, lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, BLOCK), F.lit(0), lambda n, y: n + y))).otherwise(F.array().cast("array<int>"))
+
+
+def _until(x: Column, i: Column) -> Column:
+    """Sum of the elements of i's block that stand before place i."""
+    return F.aggregate(F.slice(x, F.floor(i / BLOCK).cast("int") * BLOCK + 1, (i % BLOCK).cast("int")), F.lit(0), lambda n, y: n + y)
+
 
+def before_each(steps: Column) -> Column:
+    """For each element of an array of ints, the sum of those before it."""
 
-def _ibans(text: Column, found: Column) -> Column:
-    """(start, match) of the matches that pass and, where there is none, of parts that pass."""
-    passed = F.filter(found, lambda p: _valid("iban", p["match"]))
-    matches = F.regexp_extract_all(text, F.lit(IBAN_INSIDE), F.lit(1))
-    # A first character, as split ignores an empty match at the start.
-    between = F.split(F.concat(F.lit(" "), text), IBAN_INSIDE, -1)
-    lengths = F.create_map(*(F.lit(x) for kv in IBAN_LENGTH.items() for x in kv))
-    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    def whole(x: Column) -> Column:
+        first = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, first, lambda d, y: F.struct((d["n"] + y).alias("n"), F.concat(d["out"], F.array(d["n"])).alias("out")), lambda d: d["out"])
 
-    def part(match: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(-1), lambda n, b: n + F.length(b))
-        groups = F.split(match, " ")
-        ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
-        whole = F.filter(ends, lambda x: F.length(compact(x)) == F.try_element_at(lengths, F.substring(match, 1, 2)))
-        return F.struct(start.alias("start"), F.get(whole, F.lit(0)).alias("match"))
+    def place(s: Column, i: Column) -> Column:
+        at = F.floor(i / BLOCK).cast("int")
+        return F.get(s["c"], F.floor(at / BLOCK).cast("int")) + _until(s["b"], at) + _until(s["a"], i)
 
-    def apart(p: Column, q: Column) -> Column:
-        return (p["start"] >= q["start"] + F.length(q["match"])) | (q["start"] >= p["start"] + F.length(p["match"]))
+    levels = _with(steps, lambda a: _with(_sums(a), lambda b: _with(whole(_sums(b)), lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))))
+    return _with(levels, lambda s: F.transform(F.sequence(F.lit(0), F.size(s["a"]) - 1), lambda i: place(s, i)))
 
-    parts = F.filter(F.transform(matches, part), lambda p: F.coalesce(_valid("iban", p["match"]), F.lit(False)))
-    return F.array_sort(F.aggregate(parts, passed, lambda done, p: F.when(F.forall(done, lambda q: apart(p, q)), F.concat(done, F.array(p))).otherwise(done)))
+
+def _proposals(text: Column, kind: str) -> Column:
+    """(start, match, before) of every match, from the matches and the stretches between them."""
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(JVM[kind]), F.lit(0)).alias("m"), F.split(text, JVM[kind], -1).alias("b"))
+    empty = F.array().cast("array<struct<start:int,match:string,before:string>>")
+
+    def place(p: Column) -> Column:
+        gaps = F.slice(p["b"], 1, F.size(p["m"]))
+        starts = before_each(F.zip_with(p["m"], gaps, lambda m, b: F.length(m) + F.length(b)))
+        found = F.zip_with(p["m"], gaps, lambda m, b: F.struct(F.length(b).alias("start"), m.alias("match"), F.right(b, F.lit(CONTEXT)).alias("before")))
+        both = F.zip_with(found, starts, lambda f, n: F.struct((f["start"] + n).cast("int").alias("start"), f["match"].alias("match"), f["before"].alias("before")))
+        return F.when(F.size(p["m"]) > 0, both).otherwise(empty)
+
+    found = _with(parts, place)
+    return F.when(F.contains(text, F.lit(HINT[kind])), found).otherwise(empty) if kind in HINT else found
 
 
 def _confirmed(kind: str) -> Column:
@@ -152,8 +171,7 @@ def _confirmed(kind: str) -> Column:
     low, high = SCORE[kind]
 
     def score(p: Column) -> Column:
-        before = F.lower(F.substring(F.col("_text"), F.greatest(p["start"] - CONTEXT, F.lit(0)) + 1, F.least(p["start"], F.lit(CONTEXT))))
-        points = F.when(before.rlike(rf"(?:^|[^a-z])(?:{WORDS[kind]})(?:[^a-z]|$)"), high).otherwise(low)
+        points = F.when(F.lower(p["before"]).rlike(rf"(?:^|[^a-z])(?:{WORDS[kind]})(?:[^a-z]|$)"), high).otherwise(low)
         return F.struct(p["start"].alias("start"), (p["start"] + F.length(p["match"])).alias("stop"), points.alias("score"))
 
     passed = F.transform(F.filter(F.col(f"_{kind}"), lambda p: _valid(kind, p["match"])), score)
@@ -164,7 +182,6 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a column for each kind: array of (start, stop, score) in per cent, by start."""
     out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns({f"_{kind}": _proposals(F.col("_text"), kind) for kind in KINDS})
-    out = out.withColumn("_iban", F.when(F.size("_iban") > 0, _ibans(F.col("_text"), F.col("_iban"))).otherwise(F.col("_iban")))
     return out.withColumns({kind: _confirmed(kind) for kind in KINDS}).drop("_text", *(f"_{k}" for k in KINDS))
 
 
@@ -197,11 +214,27 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     every = F.array_sort(F.concat(*map(named, KINDS)))
 
-    def put(done: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_t"), done["at"] + 1, s["start"] - done["at"])
-        return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["stop"].alias("at"), F.concat(done["out"], gap, F.lit("<"), s["kind"], F.lit(">")).alias("out")))
+    def put(part: Column):
+        def one(done: Column, s: Column) -> Column:
+            gap = F.substring(part["text"], done["at"] - part["base"] + 1, s["start"] - done["at"])
+            return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["stop"].alias("at"), F.concat(done["out"], gap, F.lit("<"), s["kind"], F.lit(">")).alias("out")))
+
+        return F.aggregate(part["some"], F.struct(part["base"].alias("at"), F.lit("").alias("out")), one)
+
+    def masks(found: Column) -> Column:
+        """By blocks of spans, each cut from the text and written once."""
+
+        def block(done: Column, b: Column) -> Column:
+            some = F.slice(found, b * MASKED + 1, MASKED)
+            stop = F.greatest(F.array_max(F.transform(some, lambda s: s["stop"])), done["at"])
+            part = F.struct(some.alias("some"), F.substring(F.col("_t"), done["at"] + 1, stop - done["at"]).alias("text"), done["at"].alias("base"))
+            return _with(_with(part, put), lambda new: F.struct(new["at"].alias("at"), F.concat(done["out"], new["out"]).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(found) / MASKED).cast("int") - 1)
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(blocks, start, block, lambda d: F.concat(d["out"], F.substring(F.col("_t"), d["at"] + 1, F.length("_t"))))
 
-    out = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda d: F.concat(d["out"], F.substring(F.col("_t"), d["at"] + 1, F.length("_t"))))
+    out = F.when(F.size(every) > 0, _with(every, masks)).otherwise(F.col("_t"))
     new = F.when(F.col(f"row.{text_col}").isNotNull(), out)
     return found.select(*((new if c == text_col else F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
@@ -219,10 +252,10 @@ def _sql() -> str:
             "national_id": "true",
         }.get(k, "true")
         low, high = SCORE[k]
-        score = f"CASE WHEN regexp_matches(lower(substr(text, greatest(s - {CONTEXT}, 0) + 1, least(s, {CONTEXT}))), '(?:^|[^a-z])(?:{WORDS[k]})(?:[^a-z]|$)') THEN {high} ELSE {low} END"
+        score = f"CASE WHEN regexp_matches(lower(right(b, {CONTEXT})), '(?:^|[^a-z])(?:{WORDS[k]})(?:[^a-z]|$)') THEN {high} ELSE {low} END"
         confirmed.append(
             f"SELECT doc_id, '{k}' AS kind, {KINDS.index(k)} AS o, s, s + length(m) AS e, {score} AS score, ({valid}) AS ok FROM "
-            f"(SELECT doc_id, text, unnest(m_{k}) AS m, unnest(list_transform(range(1, len(m_{k}) + 1), lambda i: CAST(length(array_to_string(b_{k}[:i], '')) + length(array_to_string(m_{k}[:i - 1], '')) AS BIGINT))) AS s FROM x)"
+            f"(SELECT doc_id, unnest(m_{k}) AS m, unnest(b_{k}[:len(m_{k})]) AS b, unnest(list_transform(range(1, len(m_{k}) + 1), lambda i: CAST(length(array_to_string(b_{k}[:i], '')) + length(array_to_string(m_{k}[:i - 1], '')) AS BIGINT))) AS s FROM x)"
         )
     return f"""
 WITH x AS (SELECT doc_id, text, {", ".join(proposals)} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
