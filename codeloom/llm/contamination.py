@@ -1,232 +1,251 @@
-"""Benchmark decontamination by template windows; DataFrame operations only.
-
-Texts become template words: numbers, units after a number and capitalised names
-inside a sentence turn into typed placeholders, everything else is lower-cased and
-stripped of punctuation. The hashes of all windows of WINDOW template words of the
-benchmark are joined to those of the documents. Matches of one document and item on
-one diagonal (same shift between their places) form an alignment, whose windows are
-judged one by one. An item's value stands for the document's value that it meets at most
-of its places; a window is consistent if its slots keep to that, and verbatim if they have
-the item's own values. Two values of the item may stand for the same value. A document is
-contaminated by an item if in one alignment the windows of RUN words, or all windows of a
-shorter item, are verbatim, or are consistent and more than half of those that match. So a
-question with other numbers and names is caught, a passage with an edited name as well, and
-a text that merely has the same shape but ties its slots differently is not.
-
-The benchmark's windows are broadcast while there are at most BROADCAST_WINDOWS of
-them, else joined by shuffle. Documents' texts stay where they are read; only matches
-and their slots are shuffled.
+r"""Benchmark decontamination by template windows; DataFrame operations only.
+
+Texts become template words: numbers, numbers with their unit, and names (runs of
+capitalised words other than common function words, wherever they stand) turn into typed
+placeholders, everything else is lower-cased, punctuation only separates. The hashes of
+all windows of WINDOW template words of the benchmark are joined to those of the
+documents. An item is looked for as it is written and, where it has names, in lower case.
+
+Matches of one document, item and reading on one diagonal (same shift between their
+places) form an alignment, whose windows are judged one by one. An item's value stands for
+the document's value that it meets at most of its places; a window is consistent if its
+slots keep to that, and verbatim if they have the item's own values. Two values of the
+item may stand for the same value. A document is contaminated by an item if in one
+alignment a run of windows over RUN words, or over all of a shorter item, is verbatim, or
+is consistent while more than half of the alignment is. So a question with other numbers
+and names is caught, a passage with an edited name as well, and a text that merely has the
+same shape but ties its slots differently is not.
 
 What templates cannot tell is looked for by its literal lower-cased words: items with
-fewer than SHORTEST words or with windows that are mostly placeholders, and text in
-scripts without spaces, letter by letter. The first word of an item is looked for in each
-kind that it can have after other words. n_windows counts the windows of the item's own
-template if they suffice, else those of all readings, else verbatim or literal ones.
+fewer than SHORTEST template words or with windows that are mostly placeholders, and text
+in scripts without spaces, letter by letter.
+
+All window sizes of both kinds come from one pass over the documents. The benchmark's
+windows are broadcast while they take at most BROADCAST_BYTES, else joined by shuffle
+over SALTS salts, after a bitmap has dropped the windows that no item has. Documents'
+texts stay where they are read; only matches and their slots are shuffled.
 
 Defined results: null and empty texts match nothing; an item of one word (or one letter of
 a script without spaces) is only found as a whole document; repeated items count once;
-ties do not matter, as every
-alignment is judged alone and all items that contaminate are named; repeated rows have
-equal results; an empty benchmark or table of documents contaminates nothing; other
-columns of either table are not read.
+ties do not matter, as every alignment is judged alone and all items that contaminate are
+named; repeated rows have equal results; an empty benchmark or table of documents
+contaminates nothing; other columns of either table are not read. A name at an item's end
+is no slot, as the document's may go on. n_windows: the longest run, in windows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import KeyFilter, materialize, without_keys
 
 WINDOW, RUN, SHORTEST = 8, 13, 5
+BROADCAST_BYTES = 64 << 20
+SALTS = 16
 #: Letters of scripts that are written without spaces; each is a literal word. RUN of them are half as many words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-BROADCAST_WINDOWS = 1_000_000
 #: What counts as a unit directly after a number.
 UNITS = "km m cm mm mi ft kg g mg lb lbs oz l ml s sec min h hr hours minutes seconds days weeks months years percent dollars euros usd eur hz khz mhz ghz w kw v j kj cal kcal mph kmh kph".split()
-NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+#: Words that begin sentences and are no names.
+FUNCTION_WORDS = (
+    "about after all also although an and any are as at be because before both but by can consider could describe did do does during each every explain "
+    "find for from give given had has have he her here his how if in into is it its let list many may more most must my no not of on one or our she should "
+    "since so some such suppose than that the their then there these they this those to two under until was we were what when where which while who whom "
+    "whose why will with would write you your"
+).split()
+NUM, QUANTITY, NAME = "<num>", "<quantity>", "<name>"
+#: A number, with its unit if it has one, or a run of letters and digits; for the JVM with loops that give nothing back.
+_UNIT = "|".join(UNITS)
+TOKEN = rf"[0-9]+(?:[.,][0-9]+)*(?:[ -]?(?i:{_UNIT})\b)?|[\p{{L}}\p{{N}}\p{{M}}]+"
+JVM_TOKEN = rf"[0-9]++(?:[.,][0-9]++)*+(?:[ -]?(?i:{_UNIT})(?![\p{{L}}\p{{N}}_]))?|[\p{{L}}\p{{N}}\p{{M}}]++"
+CAPITALISED = r"^\p{Lu}\p{Ll}"
+#: How an item is read: as written, in lower case, word by word.
+WRITTEN, LOWERED, LITERAL = 0, 1, 2
+ALIGNMENT = ["key", "item", "reading", "shift"]
+_SLOTS = "array<struct<at:int,kind:string,value:string>>"
 
 
-def _number(x: Column) -> Column:
-    return F.ascii(x).between(48, 57)
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(JVM_TOKEN), F.lit(0))
 
 
-def _plain(x: Column) -> Column:
-    return F.lower(F.translate(x, ".!?", ""))
+def _value(word: Column) -> Column:
+    return F.lower(F.translate(word, " -", ""))
 
 
-def tokens(text: Column) -> Column:
-    """Words with sentence marks; all other punctuation is white space."""
-    return F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.!?]+", " ")), " ")
+def _placeholder(kind: Column) -> Column:
+    return kind.isin(NUM, QUANTITY, NAME)
 
 
-def template(words: Column) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        before = F.get(words, i - 1)
-        inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?")
+def kinds(words: Column) -> Column:
+    """Template words before runs of names become one."""
+
+    def one(x: Column) -> Column:
         return (
-            F.when(_number(x), NUM)
-            .when(_number(before) & _plain(x).isin(UNITS), UNIT)
-            .when(x.rlike(r"^\p{Lu}\p{Ll}") & inside, NAME)
-            .otherwise(_plain(x))
+            F.when(F.ascii(x).between(48, 57), F.when(F.ascii(F.right(x, F.lit(1))) > 57, QUANTITY).otherwise(NUM))
+            .when(x == F.lower(x), x)
+            .when(x.rlike(CAPITALISED) & ~F.lower(x).isin(FUNCTION_WORDS), NAME)
+            .otherwise(F.lower(x))
         )
 
     return F.transform(words, one)
 
 
-def _first_readings(words: Column, kinds: Column) -> Column:
-    """The template, and those that it has after other words: the first word's kind depends on the word before."""
-    x = F.get(words, F.lit(0))
-    may = F.array(F.when(x.rlike(r"^\p{Lu}\p{Ll}"), NAME), F.when(_plain(x).isin(UNITS), UNIT))
-    may = F.when(_number(x), F.array().cast("array<string>")).otherwise(F.filter(may, lambda k: k.isNotNull()))
-    other = F.transform(may, lambda k: F.struct(F.concat(F.array(k), F.slice(kinds, 2, F.greatest(F.size(kinds) - 1, F.lit(0)))).alias("t"), F.lit(False).alias("base")))
-    return F.concat(F.array(F.struct(kinds.alias("t"), F.lit(True).alias("base"))), other)
+def _last_of_run(all_kinds: Column, kind: Column, i: Column) -> Column:
+    return (kind != NAME) | (F.coalesce(F.get(all_kinds, i + 1), F.lit("")) != NAME)
 
 
-def _dense(seen: Column) -> Column:
-    return F.size(F.filter(seen, lambda k: k.isin(NUM, UNIT, NAME))) * 2 > F.size(seen)
+def templates(df: DataFrame, text: Column, values: bool = False) -> DataFrame:
+    """df with t, the template words of a text; values: and v, the value of each, a name's last word."""
+    out = df.withColumn("_words", tokens(text)).withColumn("_kinds", kinds(F.col("_words")))
+    if values:
+        out = out.withColumn("v", F.filter(F.transform("_words", _value), lambda x, i: _last_of_run(F.col("_kinds"), F.get("_kinds", i), i)))
+    return out.withColumn("t", F.filter("_kinds", lambda k, i: _last_of_run(F.col("_kinds"), k, i))).drop("_words", "_kinds")
 
 
 def literals(text: Column) -> Column:
     """All words lower-cased, without kinds; letters of UNSPACED scripts one by one."""
-    return F.transform(tokens(F.regexp_replace(F.coalesce(text, F.lit("")), f"({UNSPACED})", " $1 ")), _plain)
-
+    return F.transform(tokens(F.regexp_replace(F.coalesce(text, F.lit("")), f"({UNSPACED})", " $1 ")), _value)
 
-def _with_windows(df: DataFrame, size: int) -> DataFrame:
-    """Adds _w: hashes of all windows of `size` template words of the column t."""
-    out, have = df.withColumn("_w", F.transform("t", lambda x: F.xxhash64(x))), 1
-    while have < size:
-        step = min(have, size - have)
-        n = F.size("_w") - step
-        ahead = F.slice("_w", step + 1, F.greatest(n, F.lit(0)))
-        out = out.withColumn("_w", F.zip_with(F.slice("_w", 1, F.greatest(n, F.lit(0))), ahead, lambda a, b: F.xxhash64(a, b)))
-        have += step
-    return out
 
+def _windows(df: DataFrame, words: str, sizes: list[int], name: str) -> DataFrame:
+    """df with columns {name}{size}: hashes of all windows of each size, built from windows of 1, 2, 4 and 8 words."""
 
-def _slots(words: Column, kinds: Column) -> Column:
-    """(at, kind, value) of every placeholder of a text."""
-    all_words = F.transform(kinds, lambda k, i: F.struct(i.alias("at"), k.alias("kind"), _plain(F.get(words, i)).alias("value")))
-    return F.filter(all_words, lambda s: s["kind"].isin(NUM, UNIT, NAME))
+    def both(a: Column, b: Column, ahead: int) -> Column:
+        n = F.greatest(F.size(b) - ahead, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, ahead + 1, n), lambda x, y: F.xxhash64(x, y))
 
+    out, temporary = df.withColumn("_h1", F.transform(words, lambda x: F.xxhash64(x))), ["_h1"]
+    power = 1
+    while 2 * power <= max(sizes):
+        out = out.withColumn(f"_h{2 * power}", both(F.col(f"_h{power}"), F.col(f"_h{power}"), power))
+        power *= 2
+        temporary.append(f"_h{power}")
+    for size in sizes:
+        parts = [p for p in (8, 4, 2, 1) if size & p]
+        have, column = parts[0], F.col(f"_h{parts[0]}")
+        for i, p in enumerate(parts[1:]):
+            out = out.withColumn(f"_p{i}", both(column, F.col(f"_h{p}"), have))
+            have, column = have + p, F.col(f"_p{i}")
+        out = out.withColumn(f"{name}{size}", column).drop("_p0", "_p1", "_p2")
+    return out.drop(*temporary)
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
-    items = items.withColumn("words", tokens(F.col("text"))).withColumn("t", template(F.col("words")))
-    return items.withColumn("readings", _first_readings(F.col("words"), F.col("t"))).withColumn("n", F.size("t"))
 
+def _dense(seen: Column) -> Column:
+    return F.size(F.filter(seen, _placeholder)) * 2 > F.size(seen)
 
-def literal_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, size, place, hash, needed) of the literal words of items that templates cannot tell.
 
-    These are the items with fewer than SHORTEST words, with a window that has too many
-    placeholders, or with letters of UNSPACED scripts.
-    """
-    items = _items(benchmark, item_col, text_col)
-    size = F.least("n", F.lit(window))
-    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))
-    dense = F.exists("readings", lambda r: F.exists(starts, lambda i: _dense(F.slice(r["t"], i, size))))
-    unspaced = F.col("text").rlike(UNSPACED)
-    items = items.filter((F.col("n") < SHORTEST) | dense | unspaced).select("item", literals(F.col("text")).alias("t"), unspaced.alias("unspaced"))
-    items = materialize(items.filter(F.exists("t", lambda x: x != "")), "literals").withColumn("size", F.least(F.size("t"), F.lit(window)))
+def _exploded(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(columns, size, place, hash) of the windows of each row, whose size is in the column size."""
     parts = []
-    for size in range(1, window + 1):
-        part = _with_windows(items.filter(F.col("size") == size), size)
-        most = F.when(F.col("unspaced"), 2 * RUN).otherwise(RUN) - window + 1
-        parts.append(part.select("item", "size", F.least(F.size("_w"), most).alias("needed"), F.posexplode("_w").alias("place", "hash")))
+    for size in range(1, WINDOW + 1):
+        own = _windows(df.filter(F.col("size") == size), name, [size], "_w")
+        parts.append(own.select(*columns, "size", F.posexplode(f"_w{size}").alias("place", "hash")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def literal_contamination(rows: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(key, item, n) of the literal copies; a single word has to be all of a document."""
-    look = materialize(literal_windows(benchmark, item_col, text_col, window), "literal-windows")
-    sizes = [r["size"] for r in look.select("size").distinct().orderBy("size").collect()]  # at most window
-    small = look.count() <= BROADCAST_WINDOWS
-    words = rows.select("key", literals(F.col("text")).alias("t"))
-    hits = []
-    for size in sizes:
-        own = look.filter(F.col("size") == size)
-        texts = words.filter(F.size("t") == 1) if size == 1 else words
-        windows = _with_windows(texts, size).select("key", F.posexplode_outer("_w").alias("at", "hash"))
-        hits.append(windows.join(F.broadcast(own) if small else own, "hash").select("key", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "needed"))
-    if not hits:
-        return rows.select("key", F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("n")).limit(0)
-    runs = reduce(DataFrame.unionByName, hits).distinct().groupBy("key", "item", "shift").agg(F.count("*").alias("n"), F.max("needed").alias("needed"))
-    return runs.filter("n >= needed").groupBy("key", "item").agg(F.max("n").alias("n"))
-
-
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, size, place, base, hash, needed, slots): every window to look for; short items are one window.
-
-    Windows at place 0 are there in each reading of their first word; base: that of the item itself.
-    """
-    items = materialize(_items(benchmark, item_col, text_col).drop("text"), "templates")
-    items = items.withColumn("size", F.least("n", F.lit(window))).filter(F.col("n") >= SHORTEST)
-    items = items.select("item", "size", "n", "words", F.inline("readings"))
-    parts = []
-    for size in range(SHORTEST, window + 1):
-        part = _with_windows(items.filter(F.col("size") == size), size)
-        parts.append(part.select("item", "size", "n", "t", "base", "words", F.posexplode_outer("_w").alias("place", "hash")))
-    found = reduce(DataFrame.unionByName, parts)
-    seen = F.slice("t", F.col("place") + 1, F.col("size"))
-    found = found.filter((F.col("base") | (F.col("place") == 0)) & ~_dense(seen))
-    slots = F.filter(_slots(F.col("words"), F.col("t")), lambda s: (s["at"] >= F.col("place")) & (s["at"] < F.col("place") + F.col("size")))
-    usable = found.groupBy("item").agg(F.count_if("base").alias("usable"))
-    needed = F.greatest(F.least("usable", F.lit(RUN - window + 1)), F.lit(1))
-    return found.join(usable, "item").select("item", "size", "place", "base", "hash", needed.alias("needed"), slots.alias("slots"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """(key, item, n_windows) of every consistent alignment that contaminates; key: see keyed()."""
-    look = materialize(benchmark_windows(benchmark, item_col, text_col, window), "benchmark-windows")
-    sizes = [r["size"] for r in look.select("size").distinct().orderBy("size").collect()]  # at most window - SHORTEST + 1
-    rows = keyed(docs, id_col, text_col)
-    texts = rows.select("key", tokens(F.col("text")).alias("words")).withColumn("t", template(F.col("words"))).select("key", "t")
-    small = look.count() <= BROADCAST_WINDOWS
-    hits = []
-    for size in sizes:
-        own = look.filter(F.col("size") == size)
-        # Outer, as the filter that Spark infers for a plain explode would compute the arrays once more.
-        windows = _with_windows(texts, size).select("key", F.posexplode_outer("_w").alias("at", "hash"))
-        hits.append(windows.join(F.broadcast(own) if small else own, "hash"))
-    literal = literal_contamination(rows, benchmark, item_col, text_col, window)
-    if not hits:
-        return literal.withColumnRenamed("n", "n_windows")
-    found = reduce(DataFrame.unionByName, hits).select("key", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "base", "needed", "slots")
-    found = materialize(found.distinct(), "matches")
-
-    # Slots of the documents that have matches with slots, by place.
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, reading, size, place, ord, hash, needed, slots): every window to look for; ord counts an item's usable windows."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
+    written = templates(items.withColumn("reading", F.lit(WRITTEN)), F.col("text"), values=True)
+    named = written.filter(F.array_contains("t", NAME)).select("item", "text", F.lit(LOWERED).alias("reading"))
+    read = materialize(written.unionByName(templates(named, F.lower("text"), values=True)), "templates").withColumn("n", F.size("t")).withColumn("size", F.least("n", F.lit(WINDOW)))
+
+    found = _exploded(read.filter(F.col("n") >= SHORTEST), ["item", "reading", "t", "v", "n"], "t")
+    found = found.filter(~_dense(F.slice("t", F.col("place") + 1, F.col("size"))))
+    inside = lambda at: (at >= F.col("place")) & (at < F.col("place") + F.col("size"))
+    slots = F.zip_with("t", "v", lambda k, v: F.struct(k.alias("kind"), v.alias("value")))
+    slots = F.filter(F.transform(slots, lambda s, i: F.struct(i.alias("at"), s["kind"].alias("kind"), s["value"].alias("value"))), lambda s: inside(s["at"]) & _placeholder(s["kind"]) & ((s["kind"] != NAME) | (s["at"] < F.col("n") - 1)))
+    found = found.select("item", "reading", "size", "place", "hash", slots.cast(_SLOTS).alias("slots"), F.lit(RUN - WINDOW + 1).alias("most"))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - F.col("size") + 1, F.lit(1)))
+    unspaced = F.col("text").rlike(UNSPACED)
+    hard = (F.col("n") < SHORTEST) | F.exists(starts, lambda i: _dense(F.slice("t", i, F.col("size")))) | unspaced
+    plain = read.filter((F.col("reading") == WRITTEN) & hard).select("item", F.lit(LITERAL).alias("reading"), literals(F.col("text")).alias("l"), F.when(unspaced, 2 * RUN).otherwise(RUN).alias("run"))
+    plain = materialize(plain.filter(F.size("l") > 0), "literals").withColumn("size", F.least(F.size("l"), F.lit(WINDOW)))
+    plain = _exploded(plain, ["item", "reading", "run"], "l")
+    plain = plain.select("item", "reading", "size", "place", "hash", F.array().cast(_SLOTS).alias("slots"), (F.col("run") - WINDOW + 1).alias("most"))
+
+    item = Window.partitionBy("item", "reading")
+    every = found.unionByName(plain).withColumn("ord", F.row_number().over(item.orderBy("place")))
+    return every.withColumn("needed", F.greatest(F.least(F.count("*").over(item), F.col("most")), F.lit(1))).drop("most")
+
+
+def _matches(rows: DataFrame, look: DataFrame) -> DataFrame:
+    """(alignment, ord, needed, slots) of every window of the rows that an item has; one pass over the texts."""
+    literal = F.col("reading") == LITERAL
+    segments = sorted((bool(r["literal"]), r["size"]) for r in look.select(literal.alias("literal"), "size").distinct().collect())  # 2 * WINDOW at most
+    sizes = {kind: [n for k, n in segments if k == kind] for kind in (False, True)}
+    texts = rows.select("key", "text")
+    if sizes[False]:
+        texts = _windows(templates(texts, F.col("text")), "t", sizes[False], "_t")
+    if sizes[True]:
+        texts = _windows(texts.withColumn("l", literals(F.col("text"))), "l", sizes[True], "_l")
+    names = [f"_{'l' if k else 't'}{n}" for k, n in segments]
+    counted = texts.select("key", *(F.size(c).alias(f"n{i}") for i, c in enumerate(names)), F.concat(*names).alias("_all"))
+    # Outer, as the filter that Spark infers for a plain explode would compute the arrays once more.
+    windows = counted.select("key", *(f"n{i}" for i in range(len(names))), F.posexplode_outer("_all").alias("pos", "hash"))
+
+    weight = look.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("slots")), F.lit(0)).alias("slots")).first()
+    if 100 * weight["rows"] + 80 * weight["slots"] <= BROADCAST_BYTES:
+        hits = windows.join(F.broadcast(look), "hash")
+    else:
+        windows = KeyFilter(look, F.col("hash")).mark(windows, F.col("hash"), "maybe").filter("maybe").drop("maybe")
+        windows = windows.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
+        hits = windows.join(look.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["hash", "salt"])
+    # Where a window stands within the arrays of its own kind and size.
+    at, count = F, F
+    for i, (kind, size) in enumerate(segments):
+        here = (literal == F.lit(kind)) & (F.col("size") == size)
+        before = reduce(lambda a, b: a + b, (F.col(f"n{j}") for j in range(i)), F.lit(0))
+        at, count = at.when(here, F.col("pos") - before), count.when(here, F.col(f"n{i}"))
+    hits = hits.select("*", at.alias("at"), count.alias("own")).filter("at >= 0 AND at < own AND (size > 1 OR own = 1)")
+    return hits.select("key", "item", "reading", (F.col("at") - F.col("place")).alias("shift"), "ord", "needed", "slots").distinct()
+
+
+def _slot_marks(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(alignment, torn, changed): places in the document whose value is not what the item's value stands for, or not the item's."""
     open_slots = found.filter(F.size("slots") > 0)
     wanted = materialize(open_slots.select("key").distinct(), "with-slots")
     source = KeyFilter(wanted, F.col("key")).mark(rows, F.col("key"), "maybe").filter("maybe").join(wanted, "key", "left_semi")
-    source = source.select("key", tokens(F.col("text")).alias("words")).withColumn("t", template(F.col("words")))
-    theirs = source.select("key", F.inline_outer(_slots(F.col("words"), F.col("t")))).select("key", "at", F.col("value").alias("theirs")).distinct()
-    ours = open_slots.select("key", "item", "shift", F.inline("slots")).select(
-        "key", "item", "shift", (F.col("at") + F.col("shift")).alias("at"), "kind", F.col("value").alias("ours")
-    )
-    pairs = ours.join(theirs, ["key", "at"]).groupBy("key", "item", "shift", "kind", "ours", "theirs").agg(F.collect_set("at").alias("ats"))
-    said = pairs.groupBy("key", "item", "shift", "kind", "ours").agg(F.sum(F.size("ats")).alias("all"), F.collect_list(F.struct("theirs", "ats")).alias("said"))
+    source = templates(source.select("key", "text"), F.col("text"), values=True)
+    placed = F.transform(F.arrays_zip("t", "v"), lambda s, i: F.struct(i.alias("at"), s["t"].alias("kind"), s["v"].alias("theirs")))
+    theirs = source.select("key", F.inline(F.filter(placed, lambda s: _placeholder(s["kind"])))).select("key", "at", "theirs").distinct()
+    ours = open_slots.select(*ALIGNMENT, F.inline("slots")).select(*ALIGNMENT, (F.col("at") + F.col("shift")).alias("at"), "kind", F.col("value").alias("ours"))
+    pairs = ours.join(theirs, ["key", "at"]).groupBy(*ALIGNMENT, "kind", "ours", "theirs").agg(F.collect_set("at").alias("ats"))
+    said = pairs.groupBy(*ALIGNMENT, "kind", "ours").agg(F.sum(F.size("ats")).alias("all"), F.collect_list(F.struct("theirs", "ats")).alias("said"))
 
     def places(keep) -> Column:
         return F.flatten(F.transform(F.filter("said", keep), lambda v: v["ats"]))
 
     torn, changed = places(lambda v: F.size(v["ats"]) * 2 <= F.col("all")), places(lambda v: v["theirs"] != F.col("ours"))
-    marks = said.select("key", "item", "shift", torn.alias("torn"), changed.alias("changed")).filter("size(changed) > 0").groupBy("key", "item", "shift")
-    marks = marks.agg(F.flatten(F.collect_list("torn")).alias("torn"), F.flatten(F.collect_list("changed")).alias("changed"))
+    marks = said.select(*ALIGNMENT, torn.alias("torn"), changed.alias("changed")).filter("size(changed) > 0").groupBy(*ALIGNMENT)
+    return marks.agg(F.flatten(F.collect_list("torn")).alias("torn"), F.flatten(F.collect_list("changed")).alias("changed"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(key, item, n_windows) of every item that contaminates; key: see keyed()."""
+    rows = keyed(docs, id_col, text_col)
+    look = materialize(benchmark_windows(benchmark, item_col, text_col), "benchmark-windows")
+    if look.isEmpty():
+        return rows.select("key", F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    found = materialize(_matches(rows, look), "matches")
+
     own = F.transform("slots", lambda s: s["at"] + F.col("shift"))
-    judged = found.join(materialize(marks, "slot-pairs"), ["key", "item", "shift"], "left")
-    judged = judged.withColumns({f"_{c}": ~F.coalesce(F.arrays_overlap(own, c), F.lit(False)) for c in ("torn", "changed")})
-    runs = judged.groupBy("key", "item", "shift").agg(
-        F.count("*").alias("all"), F.max("needed").alias("needed"), F.count_if("_torn").alias("consistent"), F.count_if("_changed").alias("verbatim"),
-        F.count_if("base").alias("base"), F.count_if(F.col("base") & F.col("_torn")).alias("base_consistent"),
-    )
-    n = F.when(F.expr("base_consistent >= needed AND base_consistent * 2 > base"), F.col("base_consistent"))
-    n = n.when(F.expr("consistent >= needed AND consistent * 2 > all"), F.col("consistent")).when(F.expr("verbatim >= needed"), F.col("verbatim"))
-    runs = runs.withColumn("n", n).filter("n IS NOT NULL")
-    both = runs.select("key", "item", "n", F.lit(None).cast("long").alias("exact")).unionByName(literal.select("key", "item", F.lit(None).cast("long").alias("n"), F.col("n").alias("exact")))
-    return both.groupBy("key", "item").agg(F.coalesce(F.max("n"), F.max("exact")).alias("n_windows"))
+    judged = found.join(materialize(_slot_marks(found, rows), "slot-pairs"), ALIGNMENT, "left")
+    keeps = lambda places: ~F.coalesce(F.arrays_overlap(own, places), F.lit(False))
+    judged = judged.select(*ALIGNMENT, "ord", "needed", keeps("torn").alias("consistent"), keeps("changed").alias("verbatim"))
+    # An alignment has as many windows as its item at most.
+    whole = Window.partitionBy(*ALIGNMENT)
+    judged = judged.withColumn("mostly", F.count_if("consistent").over(whole) * 2 > F.count("*").over(whole))
+    how = F.filter(F.array(F.when(F.col("consistent") & F.col("mostly"), "consistent"), F.when(F.col("verbatim"), "verbatim")), lambda h: h.isNotNull())
+    runs = judged.select(*ALIGNMENT, "ord", "needed", F.explode(how).alias("how"))
+    run = F.col("ord") - F.row_number().over(Window.partitionBy(*ALIGNMENT, "how").orderBy("ord"))
+    runs = runs.withColumn("run", run).groupBy(*ALIGNMENT, "how", "run").agg(F.count("*").alias("n"), F.max("needed").alias("needed"))
+    return runs.filter("n >= needed").groupBy("key", "item").agg(F.max("n").alias("n_windows"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,33 +267,60 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return without_keys(docs, gone, F.xxhash64(F.col(id_col), F.col(text_col)))
 
 
-def _sql_template(table: str, key: str) -> str:
-    units = ", ".join(f"'{u}'" for u in UNITS)
+def _listed(words: list[str] | tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_SQL_UNSPACED = UNSPACED.replace("{Is", "{")
+
+
+def _sql_template(rows: str) -> str:
+    """(columns of rows, t, v) from rows with a text."""
     return f"""
-  SELECT {key}, words, list_transform(words, lambda x, i: CASE
-      WHEN x[1] BETWEEN '0' AND '9' THEN '{NUM}'
-      WHEN i > 1 AND words[i - 1][1] BETWEEN '0' AND '9' AND lower(translate(x, '.!?', '')) IN ({units}) THEN '{UNIT}'
-      WHEN i > 1 AND regexp_matches(x, '^\\p{{Lu}}\\p{{Ll}}') AND right(words[i - 1], 1) NOT IN ('.', '!', '?') THEN '{NAME}'
-      ELSE lower(translate(x, '.!?', '')) END) AS t
-  FROM (SELECT {key}, string_split(trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}.!?]+', ' ', 'g')), ' ') AS words FROM {table})"""
+  SELECT * EXCLUDE (words, kinds, ix), list_transform(ix, lambda i: kinds[i]) AS t, list_transform(ix, lambda i: lower(translate(words[i], ' -', ''))) AS v
+  FROM (SELECT *, list_filter(range(1, len(kinds) + 1), lambda i: kinds[i] <> '{NAME}' OR coalesce(kinds[i + 1], '') <> '{NAME}') AS ix
+    FROM (SELECT *, list_transform(words, lambda x: CASE
+        WHEN x[1] BETWEEN '0' AND '9' THEN CASE WHEN x[-1] BETWEEN '0' AND '9' THEN '{NUM}' ELSE '{QUANTITY}' END
+        WHEN regexp_matches(x, '{CAPITALISED}') AND lower(x) NOT IN ({_listed(FUNCTION_WORDS)}) THEN '{NAME}'
+        ELSE lower(x) END) AS kinds
+      FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS words FROM {rows})))"""
 
 
+_SQL_PLACEHOLDERS = _listed((NUM, QUANTITY, NAME))
 ORACLE_SQL = f"""
-WITH b AS ({_sql_template("benchmark", "item_id")}),
-d AS ({_sql_template("documents", "doc_id")}),
-bw AS (SELECT item_id, least(len(t), {WINDOW}) AS size, words, t, unnest(range(1, len(t) - least(len(t), {WINDOW}) + 2)) AS i FROM b WHERE len(t) >= {SHORTEST}),
-bx AS (SELECT *, t[i:i + size - 1] AS s FROM bw),
-bz AS (SELECT *, least(count(*) OVER (PARTITION BY item_id), {RUN - WINDOW + 1}) AS needed FROM bx WHERE 2 * len(list_filter(s, lambda k: k IN ('{NUM}', '{UNIT}', '{NAME}'))) <= size),
-z AS (SELECT DISTINCT size FROM bz),
-dw AS (SELECT doc_id, words, size, unnest(range(1, len(t) - size + 2)) AS j, t FROM d, z WHERE len(t) >= size),
-m AS (SELECT doc_id, item_id, j - i AS shift, i, needed, bz.size, s, dw.words[j:j + bz.size - 1] AS theirs, bz.words[i:i + bz.size - 1] AS ours FROM dw JOIN bz ON bz.size = dw.size AND bz.s = dw.t[j:j + dw.size - 1]),
-p AS (SELECT DISTINCT doc_id, item_id, shift, kind, lower(translate(o, '.!?', '')) AS o, lower(translate(h, '.!?', '')) AS h
-      FROM (SELECT doc_id, item_id, shift, unnest(s) AS kind, unnest(ours) AS o, unnest(theirs) AS h FROM m) WHERE kind IN ('{NUM}', '{UNIT}', '{NAME}')),
-x AS (SELECT doc_id, item_id, shift FROM p GROUP BY doc_id, item_id, shift, kind, o HAVING count(*) > 1
-      UNION SELECT doc_id, item_id, shift FROM p GROUP BY doc_id, item_id, shift, kind, h HAVING count(*) > 1),
-r AS (SELECT doc_id, item_id, count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = m.doc_id AND x.item_id = m.item_id AND x.shift = m.shift)
-      GROUP BY doc_id, item_id, shift HAVING count(*) >= max(needed)),
-v AS (SELECT doc_id, max(n) AS n_windows, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM r GROUP BY doc_id)
+WITH items AS (SELECT DISTINCT item_id, text FROM benchmark),
+b0 AS ({_sql_template(f"(SELECT item_id, {WRITTEN} AS reading, text FROM items)")}),
+b1 AS ({_sql_template(f"(SELECT item_id, {LOWERED} AS reading, lower(text) AS text FROM b0 WHERE list_contains(t, '{NAME}'))")}),
+b AS (SELECT *, len(t) AS n, least(len(t), {WINDOW}) AS size FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1)),
+bw AS (SELECT *, unnest(range(1, n - size + 2)) AS i FROM b),
+bx AS (SELECT *, t[i:i + size - 1] AS s, 2 * len(list_filter(t[i:i + size - 1], lambda k: k IN ({_SQL_PLACEHOLDERS}))) > size AS dense FROM bw),
+hard AS (SELECT item_id, text FROM b0 WHERE len(t) < {SHORTEST} OR regexp_matches(text, '{_SQL_UNSPACED}') OR item_id IN (SELECT item_id FROM bx WHERE reading = {WRITTEN} AND dense)),
+l AS (SELECT item_id, CASE WHEN regexp_matches(text, '{_SQL_UNSPACED}') THEN {2 * RUN} ELSE {RUN} END AS run,
+      list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '({_SQL_UNSPACED})', ' \\1 ', 'g'), '{TOKEN}'), lambda x: lower(translate(x, ' -', ''))) AS t FROM hard),
+lw AS (SELECT *, least(len(t), {WINDOW}) AS size, unnest(range(1, len(t) - least(len(t), {WINDOW}) + 2)) AS i FROM l WHERE len(t) > 0),
+look AS (SELECT *, row_number() OVER (PARTITION BY item_id, reading ORDER BY i) AS ord, greatest(least(count(*) OVER (PARTITION BY item_id, reading), most), 1) AS needed FROM (
+    SELECT item_id, reading, size, i, s, v[i:i + size - 1] AS ours, n, {RUN - WINDOW + 1} AS most FROM bx WHERE n >= {SHORTEST} AND NOT dense
+    UNION ALL SELECT item_id, {LITERAL}, size, i, t[i:i + size - 1], t[i:i + size - 1], len(t), run - {WINDOW - 1} FROM lw)),
+z AS (SELECT DISTINCT reading = {LITERAL} AS literal, size FROM look),
+d AS (SELECT doc_id, false AS literal, t, v FROM ({_sql_template("documents")})
+      UNION ALL SELECT doc_id, true, t, t FROM (SELECT doc_id,
+        list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '({_SQL_UNSPACED})', ' \\1 ', 'g'), '{TOKEN}'), lambda x: lower(translate(x, ' -', ''))) AS t FROM documents)
+      WHERE EXISTS (SELECT 1 FROM z WHERE z.literal)),
+dw AS (SELECT d.doc_id, d.literal, size, t, v, unnest(range(1, len(t) - size + 2)) AS j FROM d JOIN z ON z.literal = d.literal WHERE len(t) >= size AND (size > 1 OR len(t) = 1)),
+m AS (SELECT doc_id, item_id, reading, j - i AS shift, i, ord, needed, n, look.size, s, ours, v[j:j + look.size - 1] AS theirs
+      FROM dw JOIN look ON look.size = dw.size AND (look.reading = {LITERAL}) = dw.literal AND look.s = dw.t[j:j + dw.size - 1]),
+p AS (SELECT DISTINCT doc_id, item_id, reading, shift, y, kind, o, h
+      FROM (SELECT doc_id, item_id, reading, shift, n, unnest(range(i, i + size)) AS y, unnest(s) AS kind, unnest(ours) AS o, unnest(theirs) AS h FROM m WHERE reading <> {LITERAL})
+      WHERE kind IN ({_SQL_PLACEHOLDERS}) AND (kind <> '{NAME}' OR y < n)),
+q AS (SELECT *, o <> h AS changed, 2 * count(*) OVER (PARTITION BY doc_id, item_id, reading, shift, kind, o, h) <= count(*) OVER (PARTITION BY doc_id, item_id, reading, shift, kind, o) AS torn FROM p),
+j AS (SELECT m.doc_id, m.item_id, m.reading, m.shift, m.ord, m.needed, NOT coalesce(bool_or(q.torn), false) AS consistent, NOT coalesce(bool_or(q.changed), false) AS verbatim
+      FROM m LEFT JOIN q ON q.doc_id = m.doc_id AND q.item_id = m.item_id AND q.reading = m.reading AND q.shift = m.shift AND q.y BETWEEN m.i AND m.i + m.size - 1
+      GROUP BY ALL),
+k AS (SELECT *, 2 * count_if(consistent) OVER a > count(*) OVER a AS mostly FROM j WINDOW a AS (PARTITION BY doc_id, item_id, reading, shift)),
+r AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id, item_id, reading, shift, how ORDER BY ord) AS run FROM (
+      SELECT *, 'consistent' AS how FROM k WHERE consistent AND mostly UNION ALL SELECT *, 'verbatim' FROM k WHERE verbatim)),
+f AS (SELECT doc_id, item_id, count(*) AS n FROM r GROUP BY doc_id, item_id, reading, shift, how, run HAVING count(*) >= max(needed)),
+v AS (SELECT doc_id, max(n) AS n_windows, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM f GROUP BY doc_id)
 SELECT documents.doc_id, v.items IS NOT NULL AS contaminated, coalesce(v.n_windows, 0) AS n_windows, coalesce(v.items, '') AS items
 FROM documents LEFT JOIN v ON v.doc_id = documents.doc_id
 """

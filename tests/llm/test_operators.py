@@ -373,7 +373,7 @@ def test_decontamination_short_items_and_empty_tables(spark):
 
 
 def test_decontamination_joins_by_shuffle_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(contamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", 0)
     assert verdicts(spark, [(1, ITEM), (2, "clean")], [(4, ITEM)]) == {1: (True, "4"), 2: (False, "")}
 
 
