@@ -141,7 +141,8 @@ def _dense(seen: Column) -> Column:
 def _exploded(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """(columns, size, place, hash) of the windows of each row, whose size is in the column size."""
     parts = []
-    for size in range(1, WINDOW + 1):
+    sizes = sorted(r["size"] for r in df.select("size").distinct().collect())  # WINDOW at most
+    for size in sizes or [WINDOW]:
         own = _windows(df.filter(F.col("size") == size), name, [size], "_w")
         parts.append(own.select(*columns, "size", F.posexplode(f"_w{size}").alias("place", "hash")))
     return reduce(DataFrame.unionByName, parts)
