@@ -270,7 +270,7 @@ def test_archive_starts_with_its_dictionary(tmp_path, monkeypatch):
 
     monkeypatch.setattr(warc, "SAMPLE_BYTES", 4000)
     a = warc.Archive(f"file://{tmp_path}")
-    records = [warc.record(i, "u", b"<p>page %d</p>" % i * 20, 10, "d", "response", None) for i in range(30)]
+    records = [warc.record(i, "u", b"<p>page %d</p>" % i * 20, 10, "d", None, None, "2024-01-01T00:00:00Z") for i in range(30)]
     for x in records:
         a.add(x)
     path, n, size, dictionary = a.close()
