@@ -1,33 +1,39 @@
-"""Removal of repeated word windows through compacted De Bruijn paths.
-
-A document's words form a path of k-mers: edges over (k-1)-mer nodes. Edges are dealt
-by their minimizer, the smallest hash among the SEED-word runs inside the window of k
-words; consecutive edges with the same minimizer occurrence are compacted to one
-nonbranching piece of path, identified by a digest of its words at its source
-coordinates. Spark joins then tell which pieces repeat:
-
-* a minimizer seen once: its piece cannot repeat anywhere;
-* a minimizer with a single digest, seen twice or more: the path does not branch here,
-  every edge of every occurrence repeats;
-* a minimizer with several digests: the path branches. Digests seen twice or more
-  repeat whole; of the others, and of one occurrence of each repeated one, every edge
-  is digested from its source coordinates and counted.
-
-Equal windows have equal minimizers and equal places in them, so no repeat is missed,
-and every verdict compares digests of the words themselves (64 bits of BLAKE2 for a
-piece, beside the 64-bit minimizer; 128 bits for an edge). Copies and frequent passages
-are aggregated before they are shuffled; no task holds the occurrences of a key.
+"""Removal of repeated word windows by compaction of a De Bruijn graph.
+
+The windows of k words are the edges of a graph whose nodes are runs of k-1 words. A
+document is a path of edges. Only repeated edges matter, so unique ones are left out
+before the graph is built:
+
+1. An Arrow function cuts each document's path at changes of its windows' minimizers (the
+   smallest hash among a window's SEED-word runs). A piece is known by 128 bits of BLAKE2
+   of its words at its source coordinates and has the two nodes at its ends. Equal windows
+   have equal minimizers, so a piece whose minimizer is seen once holds no repeated edge.
+2. Pieces seen twice repeat whole. Where a minimizer has pieces that were seen once, the
+   edges of one occurrence of each of its pieces are digested from the source and counted.
+   Repeated pieces and repeated single edges are the graph's edges, each once.
+3. Degrees: a node with one edge in and one out joins them. Pointer doubling over these
+   joins compacts every nonbranching path: each edge gets its path and its place there.
+4. Occurrences of edges are put together to spans by document, path and diagonal; their
+   source coordinates say which words go. An edge that repeats covers its k words, so the
+   union of spans is the union of repeated windows.
+
+Counts are partial before they are shuffled. A minimizer or edge with more than a
+HOT_KEYS-th of all pieces (at least HOT_ROWS) is looked up in a broadcast list, of at most
+HOT_KEYS rows, instead of a shuffle, so no task gets the occurrences of a frequent one.
 
 Defined results: a null or empty text has no words and nothing is removed; a text of
 fewer words than a window is kept whole; repeated rows repeat each other and go whole
 (if they reach a window); texts of any length are processed whole; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. Paths that close to a circle stay single edges.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,7 @@ from codeloom.llm.words import joined, run_hashes, word_hashes
 
 WINDOW = 35
 SEED = 5
+HOT_KEYS, HOT_ROWS = 50_000, 1000
 #: A piece's place: its first word and its number of edges in one long.
 _EDGES = 16  # low bits for the number of edges
 
@@ -52,78 +59,90 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def paths(text: bytes | None, window: int = WINDOW) -> tuple[list, list, list]:
-    """Compacted pieces of a text's path: minimizers, digests, places."""
+def _digest(words: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.blake2b(words, digest_size=16).digest())
+
+
+def paths(text: bytes | None, window: int = WINDOW) -> list[list]:
+    """Pieces of a text's path: minimizers, both halves of digests, first and last nodes, places."""
     norm, start, end = joined(text or b"")
     n = len(start)
     if n < window:
-        return [], [], []
+        return [[], [], [], [], [], []]
     seed = min(SEED, window)
-    h = run_hashes(word_hashes(norm, start, end), seed)
+    words = word_hashes(norm, start, end)
+    h = run_hashes(words, seed)
     order = np.argsort(h, kind="stable")
     rank = np.empty(len(h), np.int64)
     rank[order] = np.arange(len(h))
     at = order[_sliding_min(rank, window - seed + 1)]
     first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
     edges = np.diff(np.append(first, n - window + 1))
+    nodes = run_hashes(words, window - 1).view(np.int64)
     lo, hi = start[first].tolist(), end[first + edges + window - 2].tolist()
-    digest = [int.from_bytes(hashlib.blake2b(norm[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(lo, hi, strict=True)]
-    return h[at[first]].view(np.int64).tolist(), digest, ((first << _EDGES) | edges).tolist()
+    digest = [_digest(norm[a:b]) for a, b in zip(lo, hi, strict=True)]
+    return [h[at[first]].view(np.int64).tolist(), [d[0] for d in digest], [d[1] for d in digest], nodes[first].tolist(), nodes[first + edges].tolist(), ((first << _EDGES) | edges).tolist()]
+
+
+_PIECE = ["mz", "a1", "a2", "head", "tail", "place", "key"]
 
 
 def _pieces(window: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, held = [[] for _ in _PIECE], 0
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=_PIECE)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, cols = [], ([], [], [])
-                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    got = paths(text, window)
-                    keys += [key] * len(got[0])
-                    for c, x in zip(cols, got, strict=True):
-                        c += x
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*cols, keys)], names=["mz", "piece", "place", "key"])
+            for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                got = paths(text.as_py(), window)
+                for c, x in zip(cols, [*got, [key.as_py()] * len(got[0])], strict=True):
+                    c += x
+                held += len(got[0])
+                if held > 50_000:
+                    yield batch_of()
+                    cols, held = [[] for _ in _PIECE], 0
+        yield batch_of()
 
     return pieces
 
 
+_EDGE = ["a1", "a2", "head", "tail", "place", "key", "n"]
+
+
 def _edges(window: int):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every edge of the wanted pieces (place, n) of a text, digested from its words."""
+        rows = []
         for batch in batches:
-            out = {"key": [], "word": [], "edge": [], "n": []}
-            for key, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "wanted")), strict=True):
-                norm, start, end = joined(text)
-                for w in wanted:
-                    first, count = w["place"] >> _EDGES, w["place"] & ((1 << _EDGES) - 1)
-                    for i in range(first, first + count):
-                        out["key"].append(key)
-                        out["word"].append(i)
-                        out["edge"].append(hashlib.blake2b(norm[start[i] : end[i + window - 1]], digest_size=16).digest())
-                        out["n"].append(w["n"])
-                if len(out["key"]) > 50_000:
-                    yield _edge_batch(out)
-                    out = {c: [] for c in out}
-            yield _edge_batch(out)
+            for key, text, wanted in zip(*(batch.column(c) for c in ("key", "text", "wanted")), strict=True):
+                norm, start, end = joined(text.as_py() or b"")
+                nodes = run_hashes(word_hashes(norm, start, end), window - 1).view(np.int64).tolist()
+                for w in wanted.as_py():
+                    first = w["place"] >> _EDGES
+                    for i in range(first, first + (w["place"] & ((1 << _EDGES) - 1))):
+                        rows.append((*_digest(norm[start[i] : end[i + window - 1]]), nodes[i], nodes[i + 1], (i << _EDGES) | 1, key.as_py(), w["n"]))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=_EDGE)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=_EDGE)
 
     return edges
 
 
-def _edge_batch(out: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["word"], pa.int64()), pa.array(out["edge"], pa.binary()), pa.array(out["n"], pa.int64())], names=["key", "word", "edge", "n"])
-
-
 def _kept(window: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 total, gone, texts = [], [], []
-                spans = part.column("places").to_pylist() if "places" in part.schema.names else [None] * part.num_rows
-                for text, places in zip(part.column("text").to_pylist(), spans, strict=True):
-                    words = (text or b"").split()
-                    if places:
-                        p = np.array(places, np.int64)
-                        first, count = p >> _EDGES, p & ((1 << _EDGES) - 1)
+                spans = part.column("spans").to_pylist() if "spans" in part.schema.names else [None] * part.num_rows
+                for text, found in zip(part.column("text"), spans, strict=True):
+                    words = (text.as_py() or b"").split()
+                    if found:
+                        first, count = np.array([(x["first"], x["edges"]) for x in found], np.int64).T
                         step = np.zeros(len(words) + 1, np.int64)
                         np.add.at(step, first, 1)
                         np.add.at(step, first + count + window - 1, -1)
@@ -139,41 +158,95 @@ def _kept(window: int):
     return kept
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) of each row: words covered by a window that starts anywhere else are removed."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    # Work is keyed by the id where it identifies the row, else by a hash of id and text;
-    # rows that are equal in both have equal results.
-    unique = rows.groupBy("id").count().filter("count > 1 or id is null").isEmpty()
-    rows = rows.withColumn("key", F.col("id") if unique else F.xxhash64("id", "text"))
+def _looked_up(rows: DataFrame, known: DataFrame, on: list[str], limit: int) -> DataFrame:
+    """Inner join of rows with known (unique by `on`, n: its rows); frequent keys are broadcast, not shuffled."""
+    hot = F.broadcast(known.filter(F.col("n") > limit))
+    cold = known.filter(F.col("n") <= limit)
+    rest = rows.join(hot.select(on), on, "left_anti")
+    maybe = KeyFilter(cold, F.struct(*on)).mark(rest, F.struct(*on), "__codeloom_maybe").filter("__codeloom_maybe").drop("__codeloom_maybe")
+    return rows.join(hot, on).unionByName(maybe.join(cold, on))
+
+
+def compacted(atoms: DataFrame) -> DataFrame:
+    """(a1, a2, u1, u2, pos) for atoms (a1, a2, head, tail, edges): the nonbranching path of each and its place there.
+
+    An atom follows the one before it if no other ends and no other starts at the node
+    between them. Pointers to predecessors double their reach in every round, and each
+    round is written; atoms whose pointer arrives at a path's start leave the work. What
+    is left after log2 of the atoms' number goes round in circles.
+    """
+    atom = F.struct("a1", "a2")
+    ends = atoms.select(F.col("head").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"), atom.alias("next"), F.lit(None).alias("last"))
+    ends = ends.unionByName(atoms.select(F.col("tail").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"), F.lit(None).alias("next"), F.struct("a1", "a2", "edges").alias("last")))
+    joints = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.first("next", True).alias("next"), F.first("last", True).alias("last"))
+    joints = joints.filter("out = 1 AND in = 1").select(F.col("next.a1").alias("a1"), F.col("next.a2").alias("a2"), F.col("last.a1").alias("u1"), F.col("last.a2").alias("u2"), F.col("last.edges").cast("long").alias("pos"))
+    moving = materialize(joints.filter("NOT (a1 = u1 AND a2 = u2)"), "joints")
+    rounds, fixed, n = 0, [], moving.count()
+    starts = materialize(atoms.select("a1", "a2").join(moving.select("a1", "a2"), ["a1", "a2"], "left_anti"), "path-starts")
+    while n and rounds <= math.log2(n) + 1:
+        every = reduce(DataFrame.unionByName, [moving, *fixed]).select(F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.col("u1").alias("v1"), F.col("u2").alias("v2"), F.col("pos").alias("more"))
+        step = materialize(moving.join(every, ["u1", "u2"], "left"), "pointers")
+        fixed.append(step.filter("v1 IS NULL").select("a1", "a2", "u1", "u2", "pos"))
+        moving = step.filter("v1 IS NOT NULL").select("a1", "a2", F.col("v1").alias("u1"), F.col("v2").alias("u2"), (F.col("pos") + F.col("more")).alias("pos"))
+        rounds, left = rounds + 1, moving.count()
+        if not left:
+            break
+    own = lambda df: df.select("a1", "a2", F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.lit(0).cast("long").alias("pos"))
+    return reduce(DataFrame.unionByName, [own(starts), own(moving), *fixed])
+
+
+def repeated_spans(rows: DataFrame, window: int = WINDOW, unique: bool = True) -> DataFrame:
+    """(key, u1, u2, first, edges) of rows (key, text): where a document runs along a compacted path of repeated edges."""
+    pieces = materialize(rows.select("key", "text").mapInArrow(_pieces(window), ", ".join(f"{c} long" for c in _PIECE)), "pieces")
+    limit = max(HOT_ROWS, pieces.count() // HOT_KEYS)
+    seen = materialize(pieces.groupBy("mz").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-minimizers")
+    again = materialize(_looked_up(pieces, seen, ["mz"], limit).drop("n"), "candidates")
 
-    pieces = materialize(rows.select("key", "text").mapInArrow(_pieces(window), "mz long, piece long, place long, key long"), "pieces")
-    seen = pieces.groupBy("mz").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("n > 1")
-    again = materialize(pieces.join(seen.select("mz", (F.col("lo") < F.col("hi")).alias("branches")), "mz"), "repeated-minimizers")
-
-    straight = again.filter("not branches").select("key", "place")
-    branching = again.filter("branches")
     # Any occurrence may stand for a piece: all firsts of one aggregate come from the same row.
-    kinds = branching.groupBy("mz", "piece").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("place").alias("place"))
+    kinds = again.groupBy("mz", "a1", "a2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("key", "place", "head", "tail")))
     kinds = materialize(kinds, "kinds")
-    whole = branching.join(kinds.filter("n > 1").select("mz", "piece"), ["mz", "piece"], "left_semi").select("key", "place")
-    open_ends = kinds.filter("n = 1").select("mz").distinct()
-    wanted = kinds.join(open_ends, "mz", "left_semi").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("wanted"))
-    wanted = materialize(wanted, "wanted")
+    least = materialize(kinds.groupBy("mz").agg(F.count("*").alias("n"), F.min("n").alias("least")).filter("n > 1 AND least = 1").drop("least"), "open-minimizers")
+    opened = _looked_up(kinds.withColumnRenamed("n", "seen"), least, ["mz"], limit)
+    wanted = materialize(opened.groupBy("key").agg(F.collect_list(F.struct("place", F.col("seen").alias("n"))).alias("wanted")), "wanted")
     source = KeyFilter(wanted, F.col("key")).mark(rows.select("key", "text"), F.col("key"), "maybe").filter("maybe")
     if not unique:
         source = source.dropDuplicates(["key"])
-    edges = source.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_edges(window), "key long, word long, edge binary, n long")
+    edges = source.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_edges(window), ", ".join(f"{c} long" for c in _EDGE))
     edges = materialize(edges, "edges")
-    twice = edges.groupBy("edge").agg(F.sum("n").alias("n")).filter("n > 1").select("edge")
-    parts = edges.filter("n = 1").join(twice, "edge", "left_semi").select("key", (F.shiftleft("word", _EDGES) + 1).alias("place"))
+    twice = edges.groupBy("a1", "a2").agg(F.sum("n").alias("n")).filter("n > 1")
+    parts = materialize(_looked_up(edges.filter("n = 1").drop("n"), materialize(twice, "repeated-edges"), ["a1", "a2"], limit), "repeated-parts")
+
+    size = F.col("place").bitwiseAND((1 << _EDGES) - 1).alias("edges")
+    whole = kinds.filter("n > 1").select("a1", "a2", "head", "tail", size, "n")
+    single = parts.groupBy("a1", "a2").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.lit(1).cast("long").alias("edges"), F.count("*").alias("n"))
+    atoms = materialize(whole.unionByName(single).groupBy("a1", "a2").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.max("edges").alias("edges"), F.sum("n").alias("n")), "atoms")
+    units = materialize(compacted(atoms).join(atoms.select("a1", "a2", "n"), ["a1", "a2"]), "paths")
 
-    places = straight.unionByName(whole).unionByName(parts).groupBy("key").agg(F.collect_list("place").alias("places"))
-    places = materialize(places, "places")
-    marked = KeyFilter(places, F.col("key")).mark(rows, F.col("key"), "maybe")
+    found = again.select("a1", "a2", "key", "place").unionByName(parts.select("a1", "a2", "key", "place"))
+    placed = _looked_up(found, units, ["a1", "a2"], limit).select("key", "u1", "u2", "pos", F.shiftright("place", _EDGES).alias("first"), size)
+    line = placed.groupBy("key", "u1", "u2", (F.col("first") - F.col("pos")).alias("diagonal"))
+    line = line.agg(F.min("first").alias("from"), F.max(F.col("first") + F.col("edges")).alias("to"), F.sum("edges").alias("total"), F.collect_set(F.struct("first", "edges")).alias("parts"))
+    # A line without gaps is one span; otherwise its edges stay apart.
+    one = F.array(F.struct(F.col("from").alias("first"), (F.col("to") - F.col("from")).alias("edges")))
+    return line.select("key", "u1", "u2", F.inline(F.when(F.col("total") == F.col("to") - F.col("from"), one).otherwise(F.col("parts"))))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, n_words, n_removed, kept_text) of each row: words covered by a window that starts anywhere else are removed.
+
+    window: two words at least.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    # Work is keyed by the id where it identifies the row, else by a hash of id and text;
+    # rows that are equal in both have equal results.
+    unique = rows.groupBy("id").count().filter("count > 1 or id is null").isEmpty()
+    rows = rows.withColumn("key", F.col("id") if unique else F.xxhash64("id", "text"))
+    spans = repeated_spans(rows, window, unique).groupBy("key").agg(F.collect_list(F.struct("first", "edges")).alias("spans"))
+    spans = materialize(spans, "spans")
+    marked = KeyFilter(spans, F.col("key")).mark(rows, F.col("key"), "maybe")
     schema = "id long, n_words long, n_removed long, kept_text string"
     clean = marked.filter("not maybe").select("id", "text").mapInArrow(_kept(window), schema)
-    cut = marked.filter("maybe").join(places, "key", "left").select("id", "text", "places").mapInArrow(_kept(window), schema)
+    cut = marked.filter("maybe").join(spans, "key", "left").select("id", "text", "spans").mapInArrow(_kept(window), schema)
     return clean.unionByName(cut).withColumnRenamed("id", id_col)
 
 
