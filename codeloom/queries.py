@@ -47,7 +47,7 @@ vi AS (SELECT id, 'PACKAGE' AS type, name, qualifiedName, NULL AS file, NULL AS
 """
 
 
-class _Query:
+class Queries:
     def __init__(self):
         self.run: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
@@ -64,7 +64,7 @@ class _Query:
         return put
 
 
-Q = _Query()
+Q = Queries()
 
 
 def _filled(spark, d):
@@ -419,8 +419,12 @@ def apply_delta(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q.run)
+    from codeloom import source_queries
+
+    return {**Q.run, **source_queries.Q.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(Q.sql)
+    from codeloom import source_queries
+
+    return {**Q.sql, **source_queries.Q.sql}

@@ -1,98 +1,269 @@
-"""A set-based scan of Java sources: packages, top-level types, methods and their edges.
-
-Sources are read whole, one row a file; declarations are found with regular expressions
-in built-in functions and exploded to rows. It covers declarations (package, import,
-class, interface, enum, annotation type; methods and constructors with modifiers and
-parameter types; extends and implements) and, by simple name and number of arguments,
-calls between methods of one scan. It resolves no overloads or inherited members: for
-bindings of that kind, import deltas from a compiler front end (sources.process).
+"""A set-based scan of Java sources: packages, types, methods, calls and their edges.
+
+Sources are read whole, one row a file. Comments and literals are blanked in one pass,
+then a file becomes a table of its headers, calls and brackets in order; windows over a
+file give each its line, its bracket depth, the bracket it lies in and where that closes.
+All further steps are joins.
+
+It covers package and import declarations; classes, interfaces, enums, records and
+annotation types, nested ones included; methods and constructors with modifiers,
+parameter types and lines; extends and implements; overrides along all supertypes of the
+scan; and calls by simple name and number of arguments: of the caller's own type or the next
+around it that has such a method, else of the one method of the project that fits, else none. A simple type
+name means a type of the same file, else package, else an imported one, else none. Local
+and anonymous classes are no units; calls inside them belong to the method around them. It
+resolves no overloads by type: for bindings of that kind, import deltas from a compiler
+front end (sources.process).
+
+Defined results: a null or empty source gives no rows; brackets that do not close reach to
+the file's end and have no end line; repeated declarations are kept once by later keep-first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import ids
 from codeloom.operators.dedupe import first_by
+from codeloom.operators.traverse import written
 from codeloom.schema import ENDPOINT, FUNCTION, PACKAGE, RELATIONSHIP, UNIT, Graph, conform
 
-_MODIFIER = r"(?:public|protected|private|static|final|abstract|default|synchronized|native|strictfp|sealed)"
-TYPE = rf"(?m)^(?:@\w+(?:\([^)]*\))?\s+)*((?:{_MODIFIER}\s+)*)(@?interface|class|enum|record)\s+(\w+)(?:<[^{{]*?>)?(?:\s+extends\s+([\w.<>, ]+?))?(?:\s+implements\s+([\w.<>, ]+?))?\s*(?:\([^)]*\)\s*)?\{{"
-METHOD = rf"(?m)^[ \t]+((?:{_MODIFIER}\s+)*)(?:<[^>]+>\s+)?(?:([\w.\[\]<>?, ]+?)\s+)?(\w+)\s*\(([^()]*)\)\s*(?:throws [\w., ]+)?\s*[{{;]"
-#: Words before a parenthesis that are no methods.
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized", "try", "throw", "else", "do", "assert", "super", "this")
+#: Fixed values of the language: modifiers, and words before a parenthesis or a name that declare nothing.
+MODIFIERS = "public protected private static final abstract default synchronized native strictfp sealed transient volatile".split()
+CONTROL = "if for while switch catch synchronized try super this return assert".split()
+NO_TYPES = "return new throw else case assert yield instanceof do if for while switch catch try synchronized import package extends implements".split()
+_LITERAL = r'"""(?s:.*?)"""|"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\'|/\*(?s:.*?)\*/|//[^\n]*+'
+_MODS = rf"((?:(?:{'|'.join(MODIFIERS)}|non-sealed)\s+)*+)"
+# Type arguments, three deep.
+_ARGUMENTS = reduce(lambda inside, _: rf"<(?:[^<>(){{}};=]++|{inside})*+>", range(2), r"<[^<>(){};=]*+>")
+_GENERIC = rf"(?:{_ARGUMENTS})?"
+_PARAMS = r"((?:[^(){};]|\([^(){};]*\))*)"
+TYPE = rf"(?<![\w.]){_MODS}(@interface|interface|class|enum|record)\s+(\w+)\s*{_GENERIC}\s*(?:\([^){{}};]*\)\s*)?([^{{}};()]*)\{{"
+METHOD = rf"(?<![\w.]){_MODS}(?:{_ARGUMENTS}\s*)?(?!(?:{'|'.join(NO_TYPES)})\b)([\w.]+{_GENERIC}(?:\s*\[\])*)\s+(\w+)\s*\({_PARAMS}\)\s*(?:throws\s+[\w.,\s]+?|default\s[^;{{}}]*)?\s*([{{;])"
+CONSTRUCTOR = rf"(?<![\w.])(?<!new\s){_MODS}(?!(?:{'|'.join(NO_TYPES)}|super|this)\b)(\w+)\s*\({_PARAMS}\)\s*(?:throws\s+[\w.,\s]+?)?\s*\{{"
+CALL = rf"(?<!\w)(?:new\s+)?(?:[\w.]+\.)?(\w+)\s*{_GENERIC}\s*\("
+_TOKEN = "|".join((TYPE, METHOD, CONSTRUCTOR, CALL, r"[(){}\[\],]"))
+_FILE = ["projectName", "file"]
 
 
 def read(spark: SparkSession, path: str, project: str, root: str = "") -> DataFrame:
-    """(file, source, projectName) of all .java files below path; comments and strings blanked."""
+    """(file, source, projectName) of all .java files below path."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").text(path, wholetext=True)
     at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    return blanked(rows.select(ids.project_file_path(F.lit(None).cast("string"), F.lit(root), at).alias("file"), F.col("value").alias("source"), F.lit(project).alias("projectName")))
+    return rows.select(ids.project_file_path(F.lit(None).cast("string"), F.lit(root), at).alias("file"), F.col("value").alias("source"), F.lit(project).alias("projectName"))
+
+
+def blanked(source: Column) -> Column:
+    """The source with comments as a space and literals as two quotes; line ends stay."""
+    found = F.transform(F.regexp_extract_all(source, F.lit(_LITERAL), F.lit(0)), lambda m: F.concat(F.when(F.startswith(m, F.lit("/")), " ").otherwise('""'), F.regexp_replace(m, r"[^\n]+", "")))
+    return F.array_join(F.zip_with(F.split(source, _LITERAL, -1), found, lambda between, m: F.concat(between, F.coalesce(m, F.lit("")))), "")
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\n]+", ""))
+
+
+def tokens(rows: DataFrame) -> DataFrame:
+    """(project, file, i, token, line, level, opens, owner, close, end_line, bare) of each header, call, bracket and comma.
+
+    level: open brackets before it; owner: i of the bracket it lies in; close and end_line:
+    where the bracket that it opens closes; bare: nothing stands between it and the token before.
+    """
+    text = rows.select(*_FILE, blanked(F.col("source")).alias("source"))
+    text = text.select(*_FILE, F.regexp_extract_all("source", F.lit(_TOKEN), F.lit(0)).alias("t"), F.split("source", _TOKEN, -1).alias("g"))
+    each = text.select(*_FILE, F.posexplode(F.arrays_zip("t", F.slice("g", 1, F.greatest(F.size("t"), F.lit(1))).alias("g"))).alias("i", "x")).select(*_FILE, "i", F.col("x.t").alias("token"), F.col("x.g").alias("gap"))
+    each = each.filter("token IS NOT NULL")
+    last = F.right("token", F.lit(1))
+    each = each.withColumn("step", F.when(last.isin("(", "{", "["), 1).when(last.isin(")", "}", "]"), -1).otherwise(0))
+    file = Window.partitionBy(*_FILE).orderBy("i")
+    before = file.rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("level", F.coalesce(F.sum("step").over(before), F.lit(0)))
+    each = each.withColumn("line", 1 + F.coalesce(F.sum(_newlines(F.col("gap")) + _newlines(F.col("token"))).over(before), F.lit(0)) + _newlines(F.col("gap")))
+    # Each bracket stands once more inside itself, where it meets what it holds and its end.
+    inside = each.filter("step = 1").select(*_FILE, "i", (F.col("level") + 1).alias("level"), F.lit(True).alias("bracket"), F.col("i").alias("open"))
+    both = each.withColumns({"bracket": F.lit(False), "open": F.lit(None).cast("int")}).unionByName(inside, allowMissingColumns=True)
+    level = Window.partitionBy(*_FILE, "level").orderBy("i")
+    closes = F.when(F.col("step") == -1, F.struct("i", "line"))
+    both = both.withColumn("owner", F.last("open", True).over(level.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("end", F.first(closes, True).over(level.rowsBetween(1, Window.unboundedFollowing)))
+    ends = both.filter("bracket").select(*_FILE, "i", F.col("end.i").alias("close"), F.col("end.line").alias("end_line"))
+    return both.filter("NOT bracket").drop("bracket", "open", "end").withColumn("bare", ids.is_blank(F.col("gap"))).join(ends, [*_FILE, "i"], "left")
+
 
+@dataclass(frozen=True)
+class Scan:
+    """types, methods, calls and imports of the scanned files."""
 
-def blanked(rows: DataFrame) -> DataFrame:
-    no_comments = F.regexp_replace(F.regexp_replace("source", r"/\*(?s:.*?)\*/", " "), r"//[^\n]*", "")
-    return rows.withColumn("raw", F.col("source")).withColumn("source", F.regexp_replace(no_comments, r'"(?:[^"\\\n]|\\.)*"', '""'))
+    types: DataFrame
+    methods: DataFrame
+    calls: DataFrame
+    imports: DataFrame
 
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    """Array of structs g1..gn of all matches."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(1, n + 1)]
-    return F.arrays_zip(*(p.alias(f"g{i}") for i, p in enumerate(parts, 1)))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
 
 
-def _simple(t: Column) -> Column:
-    return F.regexp_replace(F.trim(t), "<.*>", "")
+def _listed(text: Column) -> Column:
+    """The simple names of a list of types, without type arguments."""
+    flat = reduce(lambda t, _: F.regexp_replace(t, r"<[^<>]*>", ""), range(4), text)
+    return F.filter(F.transform(F.split(flat, ","), lambda x: F.element_at(F.split(F.trim(x), r"\."), -1)), lambda x: x != "")
 
 
-def types(rows: DataFrame) -> DataFrame:
-    """One row for each top-level type: project, file, package, name, qualified, unitType, modifiers, supers."""
-    pkg = F.regexp_extract("source", r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
-    found = rows.select("projectName", "file", "source", pkg.alias("package"), F.posexplode(_groups(F.col("source"), TYPE, 5)).alias("n", "t"))
-    found = found.select("projectName", "file", "source", "package", "n", "t.*")
-    found = found.toDF("projectName", "file", "source", "package", "n", "modifiers", "word", "name", "extends", "implements")
-    q = F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "name")
+def _arguments(parameters: Column) -> Column:
+    """Parameter types, without annotations, modifiers, names and type arguments."""
+    flat = reduce(lambda t, _: F.regexp_replace(t, r"<[^<>]*>", ""), range(4), parameters)
+    one = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(p), r"^(?:final\s+|@[\w.]+(?:\([^)]*\))?\s+)+", ""), r"\s+(\w+)((?:\[\])*)$", "$2"), r"\s", "")
+    return F.transform(F.filter(F.split(flat, ","), lambda x: F.trim(x) != ""), one)
+
+
+def scan(rows: DataFrame) -> Scan:
+    """Declarations and calls of (projectName, file, source)."""
+    rows = rows.select(*_FILE, F.coalesce("source", F.lit("")).alias("source"))
+    every = written(tokens(rows))
+    plain = rows.select(*_FILE, blanked(F.col("source")).alias("source"))
+    heads = plain.select(*_FILE, F.regexp_extract("source", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all("source", F.lit(r"(?m)^\s*import\s+([\w.]+)\s*;"), F.lit(1)).alias("imports"))
+    heads = written(heads)
+
+    part = lambda pattern, n: F.regexp_extract("token", f"^{pattern}$", n)
+    t = every.filter(F.col("token").rlike(f"^{TYPE}$"))
+    t = t.select(*_FILE, "i", "level", "owner", "close", F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), _words(part(TYPE, 1)).alias("modifiers"), part(TYPE, 2).alias("word"), part(TYPE, 3).alias("name"), part(TYPE, 4).alias("bases"))
+    t = written(t.join(heads.select(*_FILE, "package"), _FILE))
+    deepest = t.agg(F.max("level")).first()[0] or 0
+    named = t.filter("owner IS NULL").withColumn("qualified", F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "name"))
+    around = named
+    for _ in range(deepest):  # nesting of types, a few levels
+        outer = around.select(*_FILE, F.col("i").alias("owner"), F.col("qualified").alias("outer"))
+        around = written(t.join(outer, [*_FILE, "owner"]).withColumn("qualified", F.concat_ws(".", "outer", "name")).select(named.columns))
+        if around.isEmpty():
+            break
+        named = named.unionByName(around)
     unit = F.when(F.col("word") == "enum", "enum").when(F.col("word") == "@interface", "annotation").when(F.col("word") == "interface", "interface").otherwise("class")
-    names = lambda c: F.filter(F.transform(F.split(F.regexp_replace(c, "<[^>]*>", ""), ","), F.trim), lambda x: x != "")
-    return found.select("projectName", "file", "source", "package", "n", "name", q.alias("qualified"), unit.alias("unitType"), F.filter(F.split(F.trim("modifiers"), r"\s+"), lambda x: x != "").alias("modifiers"), names("extends").alias("extends"), names("implements").alias("implements"))
+    after = lambda word: F.regexp_extract("bases", rf"\b{word}\s+((?:(?!\b(?:extends|implements|permits)\b)[\s\S])*)", 1)
+    types = written(named.select(*_FILE, "i", "close", "package", "name", "qualified", unit.alias("unitType"), "modifiers", _listed(after("extends")).alias("extends"), _listed(after("implements")).alias("implements"), F.col("startLine").cast("int").alias("startLine"), F.col("endLine").cast("int").alias("endLine")))
+
+    owner = types.select(*_FILE, F.col("i").alias("owner"), "qualified", F.col("name").alias("unit"), "unitType")
+    m = every.join(owner, [*_FILE, "owner"])
+    is_ctor = F.col("token").rlike(f"^{CONSTRUCTOR}$") & (part(CONSTRUCTOR, 2) == F.col("unit"))
+    is_method = F.col("token").rlike(f"^{METHOD}$") & ~is_ctor
+    m = m.withColumn("isConstructor", is_ctor).filter(is_ctor | is_method)
+    pick = lambda method, ctor: F.when(F.col("isConstructor"), part(CONSTRUCTOR, ctor)).otherwise(part(METHOD, method))
+    args = _arguments(pick(4, 3))
+    m = m.select(*_FILE, "i", "close", "qualified", "unitType", "isConstructor", pick(3, 2).alias("name"), F.when(~F.col("isConstructor"), F.regexp_replace(part(METHOD, 2), r"\s", "")).alias("returnType"), _words(pick(1, 1)).alias("modifiers"), args.alias("args"), F.regexp_extract(pick(4, 3), r"(\w+)\s*$", 1).alias("last_parameter"), F.col("line").cast("int").alias("startLine"), F.when(F.endswith("token", F.lit(";")), F.col("line")).otherwise(F.col("end_line")).cast("int").alias("endLine"))
+    signature = F.concat("name", F.lit("("), F.array_join("args", ","), F.lit(")"))
+    # The text of a body without brackets or calls: what stands before the next token, if that closes it.
+    bodies = every.filter("step = -1").select(*_FILE, F.col("i").alias("close"), F.col("gap").alias("body"))
+    m = m.join(bodies, [*_FILE, "close"], "left").withColumn("body", F.when(F.col("close") == F.col("i") + 1, F.trim("body")))
+    methods = written(m.withColumn("signature", signature).withColumn("full", F.concat_ws(".", "qualified", "signature")).withColumn("n_args", F.size("args")))
+
+    # A call's arguments: one more than the commas right inside its bracket, none if that is empty.
+    content = F.max(~F.col("bare") | ~F.col("token").isin(")", "]", "}"))
+    held = every.filter("owner IS NOT NULL").groupBy(*_FILE, F.col("owner").alias("i")).agg(F.count_if(F.col("token") == ",").alias("commas"), content.alias("content"))
+    body = methods.filter("close IS NOT NULL").select(*_FILE, "i", F.struct("full", "qualified", "close").alias("method"))
+    c = every.filter("step = 1 AND right(token, 1) = '('").filter(F.col("token") != "(").select(*_FILE, "i", "line", "token")
+    c = c.unionByName(body, allowMissingColumns=True)
+    c = c.withColumn("method", F.last("method", True).over(Window.partitionBy(*_FILE).orderBy("i"))).filter("token IS NOT NULL AND method.close > i")
+    c = c.join(held, [*_FILE, "i"], "left").select(*_FILE, F.col("method.full").alias("full"), F.col("method.qualified").alias("qualified"), F.col("line").cast("int").alias("line"), part(CALL, 1).alias("name"), F.col("token").rlike(r"^new\s").alias("creates"), F.when(F.coalesce("content", F.lit(False)), F.col("commas") + 1).otherwise(0).cast("int").alias("n_args"))
+    calls = written(c.filter(~F.col("name").isin(CONTROL) & (F.col("name") != "")))
+    imports = heads.select(*_FILE, "package", F.explode("imports").alias("import"))
+    return Scan(types, methods, calls, imports)
+
 
+def resolved(found: Scan, wanted: DataFrame) -> DataFrame:
+    """wanted (project, file, package, x: a simple type name) with target: the qualified name it means; others go."""
+    t = found.types.select("projectName", F.col("file").alias("in_file"), F.col("package").alias("in_package"), F.col("name").alias("x"), F.col("qualified").alias("target"))
+    imported = found.imports.select("projectName", "file", F.col("import").alias("target"), F.lit(True).alias("imported")).distinct()
+    near = wanted.join(t, ["projectName", "x"]).join(imported, ["projectName", "file", "target"], "left")
+    rank = F.when(F.col("in_file") == F.col("file"), 0).when(F.col("in_package") == F.col("package"), 1).when(F.col("imported"), 2)
+    near = near.withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    return near.groupBy(*wanted.columns).agg(F.min_by("target", F.struct("_rank", "target")).alias("target"))
 
-def methods(found: DataFrame) -> DataFrame:
-    """One row for each method of a file with one top-level type, or of its first type."""
-    first = found.filter("n = 0")
-    m = first.select("projectName", "file", "qualified", F.col("name").alias("unit"), F.explode(_groups(F.col("source"), METHOD, 4)).alias("m")).select("projectName", "file", "qualified", "unit", "m.*")
-    m = m.toDF("projectName", "file", "qualified", "unit", "modifiers", "returns", "name", "parameters")
-    ctor = F.col("name") == F.col("unit")
-    m = m.filter(~F.col("name").isin(*KEYWORDS) & (ctor | (F.trim("returns") != "")) & ~F.trim("returns").isin("return", "new", "throw", "else"))
-    arg = lambda p: _simple(F.regexp_replace(F.regexp_replace(F.trim(p), r"^(?:final\s+|@\w+(?:\([^)]*\))?\s+)+", ""), r"\s+\w+$", ""))
-    args = F.transform(F.filter(F.split("parameters", r",(?![^<]*>)"), lambda x: F.trim(x) != ""), arg)
-    signature = F.concat("name", F.lit("("), F.array_join(args, ","), F.lit(")"))
-    return m.select("projectName", "file", "qualified", "name", F.size(args).alias("n_args"), signature.alias("signature"), F.trim("returns").alias("returnType"), F.filter(F.split(F.trim("modifiers"), r"\s+"), lambda x: x != "").alias("modifiers"), ctor.alias("isConstructor"), F.concat_ws(".", "qualified", signature).alias("full"))
+
+def supertypes(found: Scan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(extends, implements, all): edges (project, qualified, target) between types of the scan; all is transitive."""
+    def edges(column: str) -> DataFrame:
+        wanted = found.types.select("projectName", "file", "package", "qualified", F.explode(column).alias("x"))
+        return written(resolved(found, wanted).select("projectName", "qualified", "target").filter("qualified <> target").distinct())
+
+    up, like = edges("extends"), edges("implements")
+    direct = written(up.unionByName(like).distinct())
+    every = step = direct
+    while True:
+        ahead = step.join(direct.select("projectName", F.col("qualified").alias("target"), F.col("target").alias("next")), ["projectName", "target"]).select("projectName", "qualified", F.col("next").alias("target")).distinct()
+        step = written(ahead.join(every, ["projectName", "qualified", "target"], "left_anti"))
+        if step.isEmpty():
+            return up, like, every
+        every = every.unionByName(step)
+
+
+def call_targets(found: Scan) -> DataFrame:
+    """(project, full, callee, line) of the calls whose target is told by name and number of arguments; first line of each pair."""
+    m = found.methods.filter("NOT isConstructor").select("projectName", "name", "n_args", F.col("qualified").alias("of"), F.col("full").alias("callee"))
+    made = found.methods.filter("isConstructor").select("projectName", "name", "n_args", F.col("qualified").alias("of"), F.col("full").alias("callee"))
+    key = ["projectName", "name", "n_args"]
+    only = lambda df, by: df.groupBy(*by).agg(F.min("callee").alias("callee"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    plain = found.calls.filter("NOT creates")
+    # The caller's own type and those around it, innermost first.
+    parts = F.split("qualified", r"\.")
+    around = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    near = plain.select("*", F.posexplode(around).alias("far", "of")).join(m.groupBy(*key, "of").agg(F.min("callee").alias("callee"), F.count("*").alias("n")), [*key, "of"])
+    near = near.groupBy(*plain.columns).agg(F.min_by(F.struct("callee", "n"), "far").alias("best"))
+    own = near.filter("best.n = 1").withColumn("callee", F.col("best.callee"))
+    rest = plain.join(near.select(*key, "qualified").distinct(), [*key, "qualified"], "left_anti")
+    other = rest.join(only(m, key), key)
+    new = found.calls.filter("creates").join(only(made, key), key)
+    columns = ["projectName", "file", "full", "callee", "line"]
+    every = own.select(columns).unionByName(other.select(columns)).unionByName(new.select(columns))
+    return every.groupBy("projectName", "file", "full", "callee").agg(F.min("line").alias("line"))
 
 
 def graph(rows: DataFrame, git_url: str | None = None, branch: str | None = None) -> Graph:
     """The scanned files as graph tables with pos, unscoped ids as a delta has them."""
-    t, node = types(rows), {"language": F.lit("java"), "gitRepoUrl": F.lit(git_url).cast("string"), "gitBranch": F.lit(branch).cast("string"), "pos": F.col("_pos")}
-    t = t.withColumn("_pos", F.xxhash64("file", "qualified"))
-    m = methods(t.drop("_pos")).withColumn("_pos", F.xxhash64("file", "full"))
-    pkg = first_by(t.filter("package <> ''").select("package", "projectName", "file", "_pos"), ["package", "projectName"], "_pos")
-    packages = pkg.select(ids.package_id(F.col("package")).alias("id"), F.element_at(F.split("package", r"\."), -1).alias("name"), F.col("package").alias("qualifiedName"), "projectName", ids.parent_directory(F.col("file")).alias("projectFilePath"), ids.package_path(F.col("package")).alias("packagePath"), *(c.alias(k) for k, c in node.items()))
-    units = t.select(ids.unit_id(F.col("qualified")).alias("id"), "name", F.col("qualified").alias("qualifiedName"), "projectName", F.col("file").alias("projectFilePath"), "unitType", "modifiers", F.array_contains("modifiers", "abstract").alias("isAbstract"), F.when(F.col("package") != "", ids.package_id(F.col("package"))).alias("packageId"), *(c.alias(k) for k, c in node.items()))
-    functions = m.select(ids.function_id(F.col("full")).alias("id"), "name", F.col("full").alias("qualifiedName"), "projectName", F.col("file").alias("projectFilePath"), "signature", "returnType", "modifiers", F.array_contains("modifiers", "static").alias("isStatic"), "isConstructor", F.lit(False).alias("isPlaceholder"), *(c.alias(k) for k, c in node.items()))
-    known = t.select(F.col("name").alias("s"), F.col("qualified").alias("target"), F.col("unitType").alias("tt"), F.col("projectName").alias("tp")).dropDuplicates(["s", "tp"])
-
-    def edges(df: DataFrame, a: Column, kind: str, b: Column, label: str | None = None, ends: tuple[str, str] = ("CodeUnit", "CodeUnit")) -> DataFrame:
-        return df.select(ids.relationship_id(a, F.lit(kind), b).alias("id"), a.alias("fromNodeId"), b.alias("toNodeId"), F.lit(kind).alias("relationshipType"), F.lit(label).cast("string").alias("relationshipKind"), F.lit(ends[0]).alias("fromNodeType"), F.lit(ends[1]).alias("toNodeType"), "projectName", F.lit("java").alias("language"), F.xxhash64(a, b).alias("pos"))
+    found = scan(rows)
+    node = {"language": F.lit("java"), "gitRepoUrl": F.lit(git_url).cast("string"), "gitBranch": F.lit(branch).cast("string")}
+    t = found.types.withColumn("pos", F.xxhash64("file", "qualified"))
+    m = found.methods.withColumn("pos", F.xxhash64("file", "full"))
+    file = F.col("file").alias("projectFilePath")
+    pkg = first_by(t.filter("package <> ''").select("package", "projectName", "file", "pos"), ["package", "projectName"], "pos")
+    packages = pkg.select(
+        ids.package_id(F.col("package")).alias("id"), F.element_at(F.split("package", r"\."), -1).alias("name"), F.col("package").alias("qualifiedName"), "projectName",
+        ids.parent_directory(F.col("file")).alias("projectFilePath"), ids.package_path(F.col("package")).alias("packagePath"), "pos",
+    )
+    units = t.select(
+        ids.unit_id(F.col("qualified")).alias("id"), "name", F.col("qualified").alias("qualifiedName"), "projectName", file, "startLine", "endLine", "unitType", "modifiers",
+        F.array_contains("modifiers", "abstract").alias("isAbstract"), F.when(F.col("package") != "", ids.package_id(F.col("package"))).alias("packageId"), "pos",
+    )
+    functions = m.select(
+        ids.function_id(F.col("full")).alias("id"), "name", F.col("full").alias("qualifiedName"), "projectName", file, "startLine", "endLine", "signature", "returnType", "modifiers",
+        F.array_contains("modifiers", "static").alias("isStatic"), "isConstructor", F.lit(False).alias("isPlaceholder"), "pos",
+    )
+
+    def edges(df: DataFrame, a: Column, kind: str, b: Column, label: str, ends: tuple[str, str], line: Column | None = None) -> DataFrame:
+        return df.select(
+            ids.relationship_id(a, F.lit(kind), b).alias("id"), a.alias("fromNodeId"), b.alias("toNodeId"), F.lit(kind).alias("relationshipType"), F.lit(label).alias("relationshipKind"),
+            F.lit(ends[0]).alias("fromNodeType"), F.lit(ends[1]).alias("toNodeType"), (F.lit(None) if line is None else line).cast("int").alias("lineNumber"),
+            (F.lit("direct") if kind == "CALLS" else F.lit(None)).cast("string").alias("callType"), "projectName", F.lit("java").alias("language"), F.xxhash64(a, b).alias("pos"),
+        )
 
     unit, fn = ids.unit_id(F.col("qualified")), ids.function_id(F.col("full"))
-    has = edges(t.filter("package <> ''"), ids.package_id(F.col("package")), "PACKAGE_TO_UNIT", unit, "CONTAINS", ("CodePackage", "CodeUnit")).unionByName(edges(m, unit, "UNIT_TO_FUNCTION", fn, "CONTAINS", ("CodeUnit", "CodeFunction")))
-    sup = t.select("projectName", "qualified", F.explode("extends").alias("x")).join(known, (F.col("x") == F.col("s")) & (F.col("projectName") == F.col("tp")))
-    imp = t.filter("unitType <> 'interface'").select("projectName", "qualified", F.explode("implements").alias("x")).join(known, (F.col("x") == F.col("s")) & (F.col("projectName") == F.col("tp")))
-    types_edges = edges(sup, unit, "JAVA_EXTENDS", ids.unit_id(F.col("target")), "SPECIALIZES").unionByName(edges(imp, unit, "JAVA_IMPLEMENTS", ids.unit_id(F.col("target")), "CONFORMS"))
-    direct = sup.select("projectName", "qualified", "target").unionByName(imp.select("projectName", "qualified", "target")).distinct()
-    over = direct.join(m.select("projectName", "qualified", "signature", "full"), ["projectName", "qualified"]).join(m.select("projectName", F.col("qualified").alias("target"), "signature", F.col("full").alias("up")), ["projectName", "target", "signature"])
-    overrides = edges(over, fn, "JAVA_OVERRIDES", ids.function_id(F.col("up")), "REFINES", ("CodeFunction", "CodeFunction"))
-    spark = rows.sparkSession
-    rel = has.unionByName(types_edges).unionByName(overrides)
-    return Graph(conform(packages, PACKAGE, "pos"), conform(units, UNIT, "pos"), conform(functions, FUNCTION, "pos"), conform(spark.createDataFrame([], ENDPOINT), ENDPOINT).withColumn("pos", F.lit(0).cast("long")), conform(rel, RELATIONSHIP, "pos"))
+    both, whole = ("CodeFunction", "CodeFunction"), ("CodeUnit", "CodeUnit")
+    up, like, every = supertypes(found)
+    named = m.filter("NOT isConstructor AND NOT array_contains(modifiers, 'static') AND NOT array_contains(modifiers, 'private')").select("projectName", "qualified", "signature", "full").distinct()
+    over = every.join(named, ["projectName", "qualified"]).join(named.select("projectName", F.col("qualified").alias("target"), "signature", F.col("full").alias("up")), ["projectName", "target", "signature"])
+    faces = found.types.filter("unitType = 'interface'").select("projectName", "qualified")
+    parts = [
+        edges(t.filter("package <> ''"), ids.package_id(F.col("package")), "PACKAGE_TO_UNIT", unit, "CONTAINS", ("CodePackage", "CodeUnit")),
+        edges(m, unit, "UNIT_TO_FUNCTION", fn, "CONTAINS", ("CodeUnit", "CodeFunction")),
+        edges(up, unit, "JAVA_EXTENDS", ids.unit_id(F.col("target")), "SPECIALIZES", whole),
+        edges(like.join(faces, ["projectName", "qualified"], "left_anti"), unit, "JAVA_IMPLEMENTS", ids.unit_id(F.col("target")), "CONFORMS", whole),
+        edges(over, fn, "JAVA_OVERRIDES", ids.function_id(F.col("up")), "REFINES", both),
+        edges(call_targets(found), fn, "CALLS", ids.function_id(F.col("callee")), "CALL", both, F.col("line")),
+    ]
+    rel = reduce(DataFrame.unionByName, parts)
+    none = rows.sparkSession.createDataFrame([], ENDPOINT).withColumn("pos", F.lit(0).cast("long"))
+    more = lambda df, schema: conform(df.withColumns(node), schema, "pos")
+    return Graph(more(packages, PACKAGE), more(units, UNIT), more(functions, FUNCTION), none, conform(rel, RELATIONSHIP, "pos"))
