@@ -44,7 +44,7 @@ from codeloom.llm.common import KeyFilter, materialize
 from codeloom.llm.words import joined, run_hashes, word_hashes
 
 WINDOW = 35
-SEED = 5
+SEED = 10
 HOT_KEYS, HOT_ROWS = 50_000, 1000
 #: A piece's place: its first word and its number of edges in one long.
 _EDGES = 16  # low bits for the number of edges
