@@ -24,6 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         base = sc.getCheckpointDir()
     return f"{base}/codeloom-{uuid.uuid4().hex}"

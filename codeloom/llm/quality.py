@@ -30,6 +30,7 @@ from codeloom.llm.common import materialize
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 TRAIN_ROWS = 4000
+TRAIN_BYTES = 64 << 20  # of the sample's texts together; a sixteenth of it for one
 MIN_TRAIN_ROWS = 50
 FEATURES = 1 << 14
 THRESHOLD = 0.5
@@ -171,10 +172,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     counted = docs.select(text).mapInArrow(_vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     patterns = {r["pattern"]: r["n"] for r in counted.collect()}  # at most 3**len(LABELLERS) rows
     prior, accuracy = estimate(patterns) if patterns else estimate({str(ABSTAIN) * len(LABELLERS): 0})
-    # The sample: the smallest hashes, found without reading texts.
+    # The sample: the smallest hashes, of texts that are not too long, up to a number of rows and bytes.
     order = F.xxhash64(id_col)
-    bound = docs.select(order.alias("h")).orderBy("h").limit(train_rows).agg(F.max("h").alias("h")).collect()[0]["h"]
-    sample = docs.filter(order <= (bound if bound is not None else 0)).select(order.alias("h"), text).orderBy("h", "text").limit(train_rows)
+    short = docs.filter(F.octet_length(text_col) <= TRAIN_BYTES // 16).select(order.alias("h"), F.octet_length(text_col).alias("n"), text)
+    first = short.select("h", "n").orderBy("h", "n").limit(train_rows).collect()
+    total, bound = 0, None
+    for r in first:
+        total += r["n"]
+        if total > TRAIN_BYTES:
+            break
+        bound = r["h"]
+    sample = short.filter(F.col("h") <= (bound if bound is not None else 0)).select("h", "text").orderBy("h", "text").limit(len(first) if bound is not None else 0)
     texts = [r["text"] for r in sample.collect() if r["text"] and r["text"].strip()]
     measured = [measure(t) for t in texts]
     target = posterior(np.array([[int(c) for c in votes(m)] for m in measured]).reshape(-1, len(LABELLERS)), prior, accuracy)
