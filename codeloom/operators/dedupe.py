@@ -33,13 +33,14 @@ def edges(df: DataFrame, pos: str = "pos") -> DataFrame:
     names, key = df.columns, ["_from", "_to", "_type"]
     blank_as_empty = {k: F.coalesce(F.col(c), F.lit("")) for k, c in zip(key, ["fromNodeId", "toNodeId", "relationshipType"], strict=True)}
     keyed = df.withColumns(blank_as_empty).withColumn("_id", F.when(has_text(F.col("id")), F.col("id")))
+    from codeloom.operators.traverse import written
+
+    keyed = written(keyed)  # read by the two checks and by what follows
     hashed = keyed.withColumn("_k", F.xxhash64(*key))
     plain = hashed.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").isEmpty()
     plain = plain and keyed.groupBy(*key).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").isEmpty()
     if plain:
         return first_by(keyed.drop("_id"), key, pos).select(names)
-    from codeloom.operators.traverse import written
-
     # Rows of equal pos stay apart by a number that is written once.
     every = written(keyed.withColumn("_o", F.struct(F.col(pos).alias("pos"), F.monotonically_increasing_id().alias("n"))))
     rest, kept = every.select("_id", *key, "_o"), None

@@ -39,7 +39,7 @@ def diagnostics(delta: Graph, deleted_nodes: DataFrame | None = None, deleted_ed
     """(code, message, projectFilePath, lineNumber): one row for each error of a delta with `pos` in its tables.
 
     Repeats are told by aggregates over ids and keys, types by one map of ids to the
-    first table that uses them.
+    first table that uses them. Codes and messages are fixed values that callers match.
     """
     parts: list[DataFrame] = []
     where = lambda df: F.col("projectFilePath") if "projectFilePath" in df.columns else F.lit(None).cast("string")

@@ -70,10 +70,16 @@ def delete_file_calls(relationships: DataFrame, functions: DataFrame, project: s
     return relationships.join(caller, ["fromNodeId", "projectName", "relationshipKind"], "left_anti").select(relationships.columns)
 
 
+class Conflict(RuntimeError):
+    """Another writer committed the version that this one meant to."""
+
+
 class SnapshotStore:
-    """A graph on shared storage: each commit writes the tables to a new folder, then appends a row to the log.
+    """A graph on shared storage: each commit writes the tables to a new folder, then claims its version by a file.
 
-    A reader takes the last row of the log, so it sees all of a commit or nothing of it.
+    The file names the folder and is made only if it does not exist, so of two writers that
+    start from one version the later fails and may load and try again. A reader takes the
+    last version, so it sees all of a commit or nothing of it.
     """
 
     LOG = "version long, folder string"
@@ -81,10 +87,16 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _log(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        exists = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log") if exists else self.spark.createDataFrame([], self.LOG)
+        path, fs = self._hadoop("versions")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], self.LOG)
+        files = self.spark.read.text(f"{self.path}/versions", wholetext=True)
+        return files.filter("value <> ''").select(F.col("_metadata.file_name").cast("long").alias("version"), F.col("value").alias("folder"))
 
     def version(self) -> int:
         return self._log().agg(F.max("version")).first()[0] or 0
@@ -98,11 +110,18 @@ class SnapshotStore:
             return empty_graph(self.spark)
         return Graph(**{t: self.spark.read.schema(s).parquet(f"{row['folder']}/{t}").select([f.name for f in s.fields]) for t, s in TABLES.items()})
 
-    def commit(self, graph: Graph) -> int:
-        version, folder = self.version() + 1, f"{self.path}/graph-{uuid.uuid4().hex}"
+    def commit(self, graph: Graph, after: int | None = None) -> int:
+        """Writes the graph as the version that follows `after` (the one it was loaded from; default: the last)."""
+        version, folder = (self.version() if after is None else after) + 1, f"{self.path}/graph-{uuid.uuid4().hex}"
         for name, df in graph.tables().items():
             conform(df, TABLES[name]).write.partitionBy("projectName").parquet(f"{folder}/{name}")
-        self.spark.createDataFrame([(version, folder)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        path, fs = self._hadoop(f"versions/{version:012d}")
+        try:
+            claim = fs.create(path, False)
+        except Exception as e:
+            raise Conflict(f"version {version} of {self.path} is taken") from e
+        claim.write(bytearray(folder.encode()))
+        claim.close()
         return version
 
     def clear(self) -> int:

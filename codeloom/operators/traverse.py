@@ -20,6 +20,8 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         base = sc.getCheckpointDir()
     return f"{base}/codeloom-{uuid.uuid4().hex}"
@@ -72,6 +74,8 @@ def traverse(relationships: DataFrame, start: str | None, max_depth: int | None
     usable = relationships.filter(has_text(F.col("fromNodeId")) & has_text(F.col("toNodeId")))
     if types:
         usable = usable.filter(F.col("relationshipType").isin(list(types)))
+    # Every level reads the edges, so they are built once.
+    usable = written(usable.select("id", "fromNodeId", "toNodeId", "relationshipType", "lineNumber"))
     spark = relationships.sparkSession
     starts = spark.createDataFrame([(start,)] if start and start.strip() else [], "node string")
     found = distances(usable, starts, way, depth)
@@ -79,13 +83,13 @@ def traverse(relationships: DataFrame, start: str | None, max_depth: int | None
     out = usable.join(inner.withColumnRenamed("node", "fromNodeId"), "fromNodeId", "left_semi")
     back = usable.join(inner.withColumnRenamed("node", "toNodeId"), "toNodeId", "left_semi")
     walked = {"FORWARD": out, "BACKWARD": back}.get(way) or out.unionByName(back)
-    walked = walked.select("id", "fromNodeId", "toNodeId", "relationshipType", "lineNumber")
-    return found, first_by(walked, ["fromNodeId", "toNodeId", "relationshipType"], "id")
+    return found, first_by(walked.select(usable.columns), ["fromNodeId", "toNodeId", "relationshipType"], "id")
 
 
 def ranks(relationships: DataFrame, nodes: DataFrame, start: str, types: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """(id, rank): forward distance from the start; nodes that cannot be reached come one after the last rank."""
     usable = relationships.filter(F.col("relationshipType").isin(types)) if types else relationships
+    usable = written(usable.select("fromNodeId", "toNodeId"))
     starts = relationships.sparkSession.createDataFrame([(start,)], "node string")
     found = distances(usable, starts, "FORWARD", max_depth)
     last = found.agg(F.greatest(F.max("depth"), F.lit(1)).alias("last"))

@@ -1,8 +1,9 @@
 """A stream of change events kept as one row for each file: its last event.
 
-Events are deduplicated by id within a watermark, then each micro-batch is reduced to
-the last event of a file (by time, then id) and merged into the state on shared
-storage. Batches carry their number, so one that is replayed changes nothing.
+Each micro-batch drops events whose id an earlier batch has, is reduced to the last event
+of a file (by time, then id) and written with the ids it took. Ids are told apart exactly
+in these tables, however late a repeat comes; no watermark drops events. Batches carry
+their number, so one that is replayed changes nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def last_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("file").agg(F.max_by("eventId", order).alias("eventId"), F.max_by("changeType", order).alias("changeType"), F.max("timestamp").alias("timestamp"), F.count("*").alias("n"))
 
 
-def run_stream(spark: SparkSession, path: str, files_per_batch: int = 8, watermark: str = "400 days") -> DataFrame:
+def run_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     """Drains a folder of events as a stream and returns last_changes of all of it."""
     folder = scratch(spark)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,14 +38,20 @@ def run_stream(spark: SparkSession, path: str, files_per_batch: int = 8, waterma
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     # A stream reads folders; of a lone file it reads the folder by that file's name.
     source = reader.option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0]) if single else reader.parquet(path)
-    events = change_events(source).withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["eventId"])
+    events = change_events(source)
 
     def merge(batch: DataFrame, number: int) -> None:
-        last_changes(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+        new = batch.dropDuplicates(["eventId"])
+        if number > 0:
+            earlier = spark.read.schema("eventId long, batch long").parquet(f"{folder}/ids").filter(F.col("batch") < number)
+            new = new.join(earlier.select("eventId"), "eventId", "left_anti").select(batch.columns)
+        new = written(new)  # of repeated ids in a batch any row may stay, but one
+        new.select("eventId").write.mode("overwrite").parquet(f"{folder}/ids/batch={number}")
+        last_changes(new).withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
 
     query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    parts = spark.read.schema("file string, eventId long, changeType string, timestamp timestamp, n long, batch long").parquet(f"{folder}/batches")
+    parts = spark.read.schema("file string, eventId long, changeType string, timestamp timestamp, n long").parquet(f"{folder}/batches")
     total = parts.groupBy("file").agg(F.sum("n").alias("n"))
     last = first_by(parts.withColumn("_o", -F.unix_micros("timestamp")).withColumn("_e", -F.col("eventId")).withColumn("_pos", F.struct("_o", "_e")), ["file"], "_pos")
     return last.select("file", "eventId", "changeType").join(total, "file")
