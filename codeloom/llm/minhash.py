@@ -5,12 +5,16 @@
    minimum only BITS mixed low bits are kept, packed into one short binary signature.
 2. Documents with equal sets form a class, represented by its smallest id. All later
    work is on representatives, so thousands of copies cost one row.
-3. Representatives that share a bucket are candidates. Candidate clusters are cut
-   into blocks; a task gets two blocks with their signatures and sets, estimates all
-   its pairs' similarity from the bits (corrected for chance collisions), and computes
-   the exact similarity of those within MARGIN of the threshold. It returns a spanning
-   forest of the links it confirmed, at most as many as its documents.
-4. Components over the confirmed links give the groups.
+3. Representatives that share a bucket are candidates. A bucket is known by its smallest
+   member, its star, so a pair that shares several buckets is met once or a few times, and
+   buckets do not run together. First every member is compared with its star: similarity is
+   estimated from the bits (corrected for chance collisions), and exact sets decide within
+   MARGIN of the threshold. Components over these links settle most buckets.
+4. Where a bucket's members are still in several components, the members outside the
+   star's component are compared with all members of other components. Both are dealt in
+   blocks; a task gets two blocks and returns a spanning forest of the links it confirmed,
+   at most as many as its documents.
+5. Components over all confirmed links give the groups.
 
 A pair of similarity 0.85 shares none of the 36 bands with probability 9e-7, and its
 estimate falls below the threshold by MARGIN, five standard deviations, with 3e-7.
@@ -23,6 +27,7 @@ table gives no rows; other columns are ignored by `near_duplicates`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,7 @@ from codeloom.llm.words import joined, mix, run_hashes, word_hashes
 SHINGLE = 5
 BANDS, ROWS, BITS = 36, 7, 2
 MARGIN = 0.14
-BLOCK = 512  # representatives of a cluster compared at once with as many others,
+BLOCK = 512  # members of a bucket compared at once with as many others,
 BLOCK_SHINGLES = 4_000_000  # or fewer, if their sets hold more than this together
 
 _rng = np.random.default_rng(20240229)
@@ -80,8 +85,6 @@ _SIGNED = "id long, n_shingles long, digest binary, sig binary, bands array<long
 
 def _sign(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -89,7 +92,7 @@ def _sign(k: int):
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text, k)
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digest.append(_digest(s))
                     best = minima(s) if len(s) else None
                     sig.append(signature(best) if len(s) else None)
                     bands.append(band_keys(best) if len(s) else None)
@@ -110,12 +113,43 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / k - chance) / (1 - chance)
 
 
-def _links(ids: list[int], side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], num: int, den: int, both: bool) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs with den * intersection >= num * union; both: pairs across the two sides only."""
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    width = -(-BANDS * ROWS * BITS // 64) * 8
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in packed), ">u8").reshape(len(packed), -1).astype(np.uint64)
+
+
+def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return den * shared >= num * (len(a) + len(b) - shared)
+
+
+def _star(num: int, den: int):
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by star and block, each block's star first; holds that star and one member."""
+        key, own, sig = None, None, None
+        for batch in batches:
+            found = []
+            for cluster, block, node, packed, shingles in zip(*(batch.column(c) for c in ("cluster", "block", "id", "sig", "shingles")), strict=True):
+                cluster, block, node, packed = cluster.as_py(), block.as_py(), node.as_py(), packed.as_py()
+                these = np.frombuffer(shingles.as_py(), np.uint64)
+                if (cluster, block) != key:
+                    if node != cluster:
+                        raise ValueError("a block without its star")
+                    key, own, sig = (cluster, block), these, _unpacked([packed])
+                elif den * min(len(own), len(these)) >= num * max(len(own), len(these)) and estimates(sig, _unpacked([packed]))[0, 0] >= num / den - MARGIN and _similar(own, these, num, den):
+                    found.append((cluster, node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return star
+
+
+def _links(ids: list[int], labels: list[int], side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs across the sides with den * intersection >= num * union; equal labels are linked already."""
     size = np.array([len(s) for s in sets])
-    first = np.arange(len(ids)) if not both else np.flatnonzero(side == 0)
-    second = first if not both else np.flatnonzero(side == 1)
-    up = list(range(len(ids)))
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    head: dict[int, int] = {}
+    up = [head.setdefault(label, i) for i, label in enumerate(labels)]
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -128,17 +162,11 @@ def _links(ids: list[int], side: np.ndarray, sigs: np.ndarray, sets: list[np.nda
         rows = first[i : i + 64]
         like = estimates(sigs[rows], sigs[second])
         ratio = den * np.minimum(size[rows][:, None], size[second][None, :]) >= num * np.maximum(size[rows][:, None], size[second][None, :])
-        good = (like >= num / den - MARGIN) & ratio
-        if not both:
-            good &= rows[:, None] < second[None, :]
-        x, y = np.nonzero(good)
+        x, y = np.nonzero((like >= num / den - MARGIN) & ratio)
         for p in np.argsort(-like[x, y], kind="stable"):  # likely links first: fewer pairs stay to be confirmed
             u, v = int(rows[x[p]]), int(second[y[p]])
             ru, rv = root(u), root(v)
-            if ru == rv:
-                continue
-            shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-            if den * shared >= num * (len(sets[u]) + len(sets[v]) - shared):
+            if ru != rv and _similar(sets[u], sets[v], num, den):
                 up[max(ru, rv)] = min(ru, rv)
                 out.append((ids[u], ids[v]))
     return out
@@ -150,16 +178,14 @@ def _compare(num: int, den: int):
         held, key = [], None
 
         def links():
-            both = key[1] != key[2]
-            width = -(-BANDS * ROWS * BITS // 64) * 8
-            sigs = np.frombuffer(b"".join(r[2].ljust(width, b"\0") for r in held), ">u8").reshape(len(held), -1).astype(np.uint64)
-            sets = [np.frombuffer(r[3], np.uint64) for r in held]
-            found = _links([r[0] for r in held], np.array([r[1] for r in held]), sigs, sets, num, den, both)
+            sets = [np.frombuffer(r[4], np.uint64) for r in held]
+            found = _links([r[0] for r in held], [r[1] for r in held], np.array([r[2] for r in held]), _unpacked([r[3] for r in held]), sets, num, den)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "block_a", "block_b", "id", "side", "sig", "shingles")]
-            for cluster, x, y, *row in zip(*cols, strict=True):
+            cols = [batch.column(c) for c in ("cluster", "block_a", "block_b", "id", "label", "side", "sig", "shingles")]
+            for row in zip(*cols, strict=True):
+                cluster, x, y, *row = (v.as_py() for v in row)
                 if (cluster, x, y) != key:
                     if len(held) > 1:
                         yield links()
@@ -171,6 +197,21 @@ def _compare(num: int, den: int):
     return compare
 
 
+def stars(reps: DataFrame) -> DataFrame:
+    """(cluster, id): the stars of the buckets that a representative (id, bands) shares with others; a star has its own row."""
+    member = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.min("id").alias("cluster"), F.max("id").alias("last")).filter("cluster < last")
+    return member.join(shared.select("bucket", "cluster"), "bucket").select("cluster", "id").distinct()
+
+
+def _blocks(count, shingles):
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _block(blocks: str):
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (85, 100), shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; links have den * intersection >= num * union.
 
@@ -185,29 +226,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     reps = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
 
-    # Candidates: representatives in buckets of two or more; each joins its bucket's smallest.
-    member = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    star = member.join(shared.select("bucket", "first"), "bucket").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    cluster = components(star)
-    # Places within a cluster: blocks of about BLOCK, dealt by a hash, so no task ranks a whole cluster.
-    weight = signed.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("n"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = cluster.join(weight, "node").groupBy("label").agg(blocks.alias("blocks"))
-    placed = cluster.join(sizes, "label").select(
-        F.col("node").alias("id"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    )
-    placed = materialize(placed, "placed")
-    near = KeyFilter(placed, F.col("id")).mark(rows, F.col("id"), "maybe").filter("maybe").select("id", "text")
-    with_sets = near.join(placed, "id").mapInArrow(_with_sets(shingle), "id long, cluster long, blocks int, block int, sig binary, shingles binary")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = with_sets.select("*", F.explode(other).alias("o")).select(
-        "cluster", F.least("block", "o").alias("block_a"), F.greatest("block", "o").alias("block_b"), "id", (F.col("block") > F.col("o")).cast("int").alias("side"), "sig", "shingles"
-    )
+    weight = signed.filter("digest is not null").groupBy("id").agg(F.max("n_shingles").alias("n"))
+    star = materialize(stars(reps).join(weight, "id"), "stars")
+    ids = star.select("id").distinct()
+    near = KeyFilter(ids, F.col("id")).mark(rows, F.col("id"), "maybe").filter("maybe").select("id", "text")
+    own = near.join(ids, "id", "left_semi").mapInArrow(_with_sets(shingle), "id long, digest binary, sig binary, shingles binary").filter("digest is not null")
+    # Rows of one id may have several texts; the same text once is enough.
+    sets = materialize((own.dropDuplicates(["id", "digest"]) if _repeated(rows) else own).drop("digest"), "sets")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(n, "cluster", "block_a", "block_b").sortWithinPartitions("cluster", "block_a", "block_b")
-    links = materialize(dealt.mapInArrow(_compare(num, den), "a long, b long"), "links")
-    label = components(links).select(F.col("node").alias("rep"), "label")
+
+    # Every member with its star, which stands first in each block of its members.
+    sizes = star.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    placed = star.join(sizes, "cluster").withColumn("own", F.col("id") == F.col("cluster"))
+    placed = placed.select("cluster", "id", "own", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block("blocks")))).alias("block"))
+    dealt = placed.join(sets, "id").repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", F.desc("own"))
+    links = materialize(dealt.select("cluster", "block", "id", "sig", "shingles").mapInArrow(_star(num, den), "a long, b long"), "star-links")
+    label = materialize(components(links).select(F.col("node").alias("id"), "label"), "star-labels")
+
+    # Members outside their star's component, with all members of other components.
+    named = star.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    heads = named.filter("id = cluster").select("cluster", F.col("label").alias("star_label"))
+    named = materialize(named.join(heads, "cluster").withColumn("odd", F.col("label") != F.col("star_label")).drop("star_label"), "members")
+    sizes = named.groupBy("cluster").agg(
+        F.count_if("odd").alias("odds"), _blocks(F.count_if("odd"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0))).alias("blocks_a"), _blocks(F.count("*"), F.sum("n")).alias("blocks_b"),
+    ).filter("odds > 0")
+    open_rows = named.join(sizes, "cluster")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    side_a = open_rows.filter("odd").select("cluster", "id", "label", F.lit(0).alias("side"), _block("blocks_a").alias("block_a"), every("blocks_b").alias("block_b"))
+    side_b = open_rows.select("cluster", "id", "label", F.lit(1).alias("side"), every("blocks_a").alias("block_a"), _block("blocks_b").alias("block_b"))
+    dealt = side_a.unionByName(side_b).join(sets, "id").repartition(n, "cluster", "block_a", "block_b").sortWithinPartitions("cluster", "block_a", "block_b")
+    more = materialize(dealt.mapInArrow(_compare(num, den), "a long, b long"), "links")
+    label = components(links.unionByName(more)).select(F.col("node").alias("rep"), "label")
 
     named = classes.join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
@@ -219,16 +268,18 @@ def _repeated(rows: DataFrame) -> bool:
     return not rows.groupBy("id").count().filter("count > 1 and id is not null").isEmpty()
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _with_sets(k: int):
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("id", "cluster", "blocks", "block")), pa.array([signature(minima(s)) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["id", "cluster", "blocks", "block", "sig", "shingles"],
-                )
+                sets = [shingle_set(t.as_py(), k) for t in part.column("text")]
+                columns = [pa.array([f(s) for s in sets], pa.binary()) for f in (_digest, lambda s: signature(minima(s)) if len(s) else None, lambda s: s.tobytes())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "digest", "sig", "shingles"])
 
     return with_sets
 
