@@ -72,11 +72,22 @@ def debug(graph: Graph, text: str, edge_limit: int = OVERVIEW_EDGES) -> tuple[Da
     return chosen, induced(graph.relationships, chosen).orderBy("id").limit(edge_limit)
 
 
+def subgraph(graph: Graph, start: str, text: str | None = None, max_depth: int | None = None, direction: str | None = None, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a client loads around a node: the traversal from it, the nodes that `text` (default: the id) names, and itself; each node and edge once."""
+    from codeloom.operators.traverse import traverse
+
+    reached, walked = traverse(graph.relationships, start, max_depth, direction, types)
+    named, among = debug(graph, text or start)
+    wanted = reached.select(F.col("node").alias("id")).unionByName(named.select("id")).unionByName(reached.sparkSession.createDataFrame([(start,)], "id string"))
+    chosen = nodes(graph).join(wanted.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return chosen, walked.unionByName(among.select(walked.columns)).dropDuplicates(["id"])
+
+
 def metadata(graph: Graph) -> DataFrame:
-    """(kind, value): distinct repositories, node types and relationship types that are not blank."""
+    """(kind, value) in order: distinct repositories, node types and relationship types that are not blank."""
     view = nodes(graph)
     parts = [view.select(F.lit("gitRepoUrl").alias("kind"), F.col("gitRepoUrl").alias("value")), view.select(F.lit("nodeType").alias("kind"), F.col("type").alias("value")), graph.relationships.select(F.lit("relationshipType").alias("kind"), F.col("relationshipType").alias("value"))]
-    return reduce(DataFrame.unionByName, parts).filter(has_text(F.col("value"))).distinct()
+    return reduce(DataFrame.unionByName, parts).filter(has_text(F.col("value"))).distinct().orderBy("kind", "value")
 
 
 def project_counts(graph: Graph, project: str) -> DataFrame:

@@ -201,7 +201,7 @@ def node_debug(s, d):
     return view.debug(pr.graph(s, d), "use")[0].select(_VIEW_COLS)
 
 
-def _walk(way: str) -> str:
+def walk_sql(way: str) -> str:
     step = {"forward": "SELECT f AS a, t AS b FROM re", "backward": "SELECT t AS a, f AS b FROM re", "both": "SELECT f AS a, t AS b FROM re UNION ALL SELECT t, f FROM re"}[way]
     return f"WITH st AS ({step}), w AS (SELECT '{START_OF[way]}' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN st ON a = node WHERE depth < {DEPTH_OF[way]}), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)"
 
@@ -214,11 +214,11 @@ _KEEP = {"forward": "f IN (SELECT node FROM i)", "backward": "t IN (SELECT node
 def _add_walk(way: str) -> None:
     depth = DEPTH_OF[way]
 
-    @Q.add(f"trace_{way}_nodes", f"{_walk(way)} SELECT node AS id, depth FROM m", recursive=True)
+    @Q.add(f"trace_{way}_nodes", f"{walk_sql(way)} SELECT node AS id, depth FROM m", recursive=True)
     def nodes(s, d):
         return traverse.traverse(pr.relationships(s, d), START_OF[way], depth, way)[0].select(F.col("node").alias("id"), F.col("depth").cast("long").alias("depth"))
 
-    @Q.add(f"trace_{way}_edges", f"{_walk(way)}, i AS (SELECT node FROM m WHERE depth < {depth}) SELECT {_EDGE} FROM re WHERE {_KEEP[way]}", recursive=True)
+    @Q.add(f"trace_{way}_edges", f"{walk_sql(way)}, i AS (SELECT node FROM m WHERE depth < {depth}) SELECT {_EDGE} FROM re WHERE {_KEEP[way]}", recursive=True)
     def edges(s, d):
         return traverse.traverse(pr.relationships(s, d), START_OF[way], depth, way)[1].select(_EDGE_COLS)
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import ids
-from codeloom.operators import changes, dedupe, delta, filters, matching
+from codeloom.operators import changes, dedupe, delta, filters, matching, view
 from codeloom.operators.store import delete_edges
 from codeloom.operators.traverse import written
 from codeloom.plans import projection as pr
 from codeloom.plans.sources import config_lines, java_sources, sources_sql
-from codeloom.queries import Queries
+from codeloom.queries import START, Queries, walk_sql
 from codeloom.schema import FUNCTION, RELATIONSHIP, TABLES, Graph, conform, with_defaults
 from codeloom.sources import config_scan, delta_json, endpoint_rules, java_source
 
@@ -271,6 +271,28 @@ def delete_edges_(s, d):
     return delete_edges(rel, P, rel.filter("relationshipType = 'TPCH_SUPPLIES'").select("id")).select("id")
 
 
+# -- what a client loads
+
+
+@Q.add("client_subgraph", f"{walk_sql('forward')} SELECT id, type FROM vi WHERE id IN (SELECT node FROM m) OR name = 'use' OR id = '{START}'", recursive=True)
+def client_subgraph(s, d):
+    return view.subgraph(pr.graph(s, d), START, "use", 3, "forward")[0].select("id", "type")
+
+
+@Q.add("client_subgraph_edges", f"{walk_sql('forward')}, i AS (SELECT node FROM m WHERE depth < 3) SELECT id, f AS fromNodeId, t AS toNodeId FROM re WHERE f IN (SELECT node FROM i)", recursive=True)
+def client_subgraph_edges(s, d):
+    return view.subgraph(pr.graph(s, d), START, "use", 3, "forward")[1].select("id", "fromNodeId", "toNodeId")
+
+
+@Q.add("endpoint_fields", "SELECT event_id AS pos, event_type AS topic, user_id % 2 = 0 AS isExternal, 'MQ' AS endpointType FROM events", base=False)
+def endpoint_fields(s, d):
+    """Values of rules put into endpoint rows by name; the name that no column has is ignored."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    fields = F.create_map(F.lit("topic"), F.col("event_type"), F.lit("isExternal"), (F.col("user_id") % 2 == 0).cast("string"), F.lit("noSuchField"), F.lit("x"))
+    rows = e.select(F.col("event_id").alias("pos"), F.lit("MQ").alias("endpointType"), F.lit("old").alias("topic"), fields.alias("fields"))
+    return endpoint_rules.with_fields(rows).select("pos", "topic", "isExternal", "endpointType")
+
+
 # -- texts
 
 

@@ -15,6 +15,26 @@ MAX_DEPTH = 8
 FILES = r"/src/main/resources/(?:[^/]+/)*(?:application|bootstrap)[^/]*\.(?:properties|ya?ml)$"
 
 
+#: What a project's root folder holds.
+MARKERS = ("pom.xml", "build.gradle", "settings.gradle", "src/main/resources")
+
+
+def project_root(spark: SparkSession, path: str, relative: str | None = None) -> str | None:
+    """The root of a file's project: as many folders up as its path in the project has parts, else the first with a marker; None without one."""
+    parts = path.rstrip("/").split("/")
+    if relative and relative.strip("/"):
+        up = parts[: -len(relative.strip("/").split("/"))]
+        return "/".join(up) or "/"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for n in range(len(parts) - 1, 0, -1):  # as many steps as the path has folders
+        folder = "/".join(parts[:n]) or "/"
+        for marker in MARKERS:
+            at = hadoop(f"{folder.rstrip('/')}/{marker}")
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                return folder
+    return None
+
+
 def _unquoted(v: Column) -> Column:
     v = F.trim(v)
     return F.when(v.rlike(r"^\".*\"$") | v.rlike(r"^'.*'$"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)

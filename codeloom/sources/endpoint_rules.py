@@ -79,3 +79,11 @@ def extract(sources: DataFrame, rules: list[Rule], config: DataFrame | None = No
     rows = rows.filter(~http | F.col("path").isNotNull()).withColumn("matchIdentity", ids.match_identity(F.col("endpointType")))
     rows = rows.withColumns({"id": ids.endpoint_id(F.col("direction"), F.col("endpointType"), F.col("matchIdentity")), "name": F.coalesce("path", "topic", "keyPattern", "tableName"), "qualifiedName": F.col("matchIdentity")})
     return conform(rows, ENDPOINT, "pos")
+
+
+def with_fields(endpoints: DataFrame, fields: str = "fields") -> DataFrame:
+    """Endpoint rows whose text and boolean columns take the values of a map column; other names in it are ignored."""
+    given = F.col(fields)
+    known = [f for f in ENDPOINT.fields if f.dataType.simpleString() in ("string", "boolean")]
+    value = lambda f: F.coalesce(F.element_at(given, f.name).cast(f.dataType), F.col(f.name) if f.name in endpoints.columns else F.lit(None).cast(f.dataType))
+    return endpoints.withColumns({f.name: value(f) for f in known}).drop(fields)
