@@ -136,7 +136,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salts = F.ceil(F.col("n") / limit).cast("int")
     hot = F.broadcast(shared.filter(F.col("n") > limit).select("digest", salts.alias("salts")))
     maybe = maybe.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    group = shared.select("digest", F.col("rank").alias("keep_rank"), salts.alias("salts")).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    group = shared.select("digest", F.col("rank").alias("keep_rank"), F.col("n").alias("copies"), salts.alias("salts")).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     maybe = materialize(maybe.join(group, ["digest", "salt"], "left"), "hits")
     # One row a digest needs no comparison: it is its own group.
     single = maybe.filter("keep_rank is null and salts is null").select("id", "text")
@@ -148,18 +148,21 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeper = keeper.select("digest", "keeper_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     checked = materialize(
         member.join(keeper, ["digest", "salt"]).select(
-            "id", "digest", "rank", "keep_rank", F.sha2("text", 256).alias("text_sha256"),
+            "id", "digest", "rank", "keep_rank", "copies", F.sha2("text", 256).alias("text_sha256"),
             (F.col("text") == F.col("keeper_text")).alias("same"),
             F.when(F.col("text") != F.col("keeper_text"), F.col("text")).alias("other"),
         ), "verified"
     )
-    size = checked.filter("same").groupBy("digest").agg(F.count("*").alias("group_size"), F.min("rank").alias("best"))
-    same = checked.filter("same").join(size, "digest").select("id", (F.col("best") * sign).alias("keep_id"), "group_size", "text_sha256")
     odd = checked.filter("not same")
-    odd_size = odd.groupBy("digest", "other").agg(F.count("*").alias("group_size"), F.min("rank").alias("best"))
-    other = odd.join(odd_size, ["digest", "other"]).select("id", (F.col("best") * sign).alias("keep_id"), "group_size", "text_sha256")
-
-    found = single.unionByName(same).unionByName(other)
+    if odd.isEmpty():
+        # What the index says of a digest holds for its text.
+        found = single.unionByName(checked.select("id", (F.col("keep_rank") * sign).alias("keep_id"), F.col("copies").alias("group_size"), "text_sha256"))
+    else:
+        size = checked.filter("same").groupBy("digest").agg(F.count("*").alias("group_size"), F.min("rank").alias("best"))
+        same = checked.filter("same").join(size, "digest").select("id", (F.col("best") * sign).alias("keep_id"), "group_size", "text_sha256")
+        odd_size = odd.groupBy("digest", "other").agg(F.count("*").alias("group_size"), F.min("rank").alias("best"))
+        other = odd.join(odd_size, ["digest", "other"]).select("id", (F.col("best") * sign).alias("keep_id"), "group_size", "text_sha256")
+        found = single.unionByName(same).unionByName(other)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
