@@ -24,15 +24,11 @@ def test_labels_are_recovered(spark):
 
 def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(quality, "TRAIN_BYTES", 64_000)
-    seen = []
-    monkeypatch.setattr(quality, "features", lambda text, m: seen.append(len(text)) or quality_features(text, m))
-    quality_features = quality_original
+    seen, measure = [], quality.measure
+    monkeypatch.setattr(quality, "measure", lambda text: seen.append(len(text)) or measure(text))
     good = "The river was calm in the morning, and people walked along it to the market. "
-    docs = spark.createDataFrame([(i, good * (1 + i % 9)) for i in range(300)] + [(i, "x 1 ? " * 200) for i in range(300, 400)] + [(500, good * 10_000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, good * (1 + i % 9)) for i in range(400)] + [(500, good * 10_000)], "doc_id long, text string")
     quality.train(docs)
-    assert 0 < sum(seen) <= 64_000 and max(seen) <= 4000
+    assert 50 < len(seen) < 400 and sum(seen) <= 64_000 and max(seen) <= 4000
     assert quality.train(docs.limit(0)).weights is None
     assert quality.train(docs.filter(F.length("text") > 10_000)).weights is None
-
-
-quality_original = quality.features
