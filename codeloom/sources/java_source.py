@@ -51,10 +51,10 @@ _FILE = ["projectName", "file"]
 
 
 def read(spark: SparkSession, path: str, project: str, root: str = "") -> DataFrame:
-    """(file, source, projectName) of all .java files below path."""
+    """(file, source, raw, projectName) of all .java files below path; raw is for rules over the text, and the same."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").text(path, wholetext=True)
     at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    return rows.select(ids.project_file_path(F.lit(None).cast("string"), F.lit(root), at).alias("file"), F.col("value").alias("source"), F.lit(project).alias("projectName"))
+    return rows.select(ids.project_file_path(F.lit(None).cast("string"), F.lit(root), at).alias("file"), F.col("value").alias("source"), F.col("value").alias("raw"), F.lit(project).alias("projectName"))
 
 
 def blanked(source: Column) -> Column:
