@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KeyFilter, materialize
+from codeloom.llm.common import KeyFilter, materialize, release
 from codeloom.llm.words import joined, run_hashes, word_hashes
 
 WINDOW = 35
@@ -201,6 +201,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, unique: bool = True) -
     limit = max(HOT_ROWS, pieces.count() // HOT_KEYS)
     seen = materialize(pieces.groupBy("mz").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-minimizers")
     again = materialize(_looked_up(pieces, seen, ["mz"], limit).drop("n"), "candidates")
+    release(pieces)  # the largest table; nothing below reads it
 
     # Any occurrence may stand for a piece: all firsts of one aggregate come from the same row.
     kinds = again.groupBy("mz", "a1", "a2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("key", "place", "head", "tail")))
@@ -215,6 +216,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, unique: bool = True) -
     edges = materialize(edges, "edges")
     twice = edges.groupBy("a1", "a2").agg(F.sum("n").alias("n")).filter("n > 1")
     parts = materialize(_looked_up(edges.filter("n = 1").drop("n"), materialize(twice, "repeated-edges"), ["a1", "a2"], limit), "repeated-parts")
+    release(edges)
 
     size = F.col("place").bitwiseAND((1 << _EDGES) - 1).alias("edges")
     whole = kinds.filter("n > 1").select("a1", "a2", "head", "tail", size, "n")
