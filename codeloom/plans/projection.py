@@ -14,6 +14,8 @@ from codeloom.schema import ENDPOINT, FUNCTION, PACKAGE, RELATIONSHIP, UNIT, Gra
 
 PROJECT = "tpch"
 P = F.lit
+#: Rows of a table that a task of a join takes, however large the table is.
+TASK_ROWS = 2**19
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,9 +105,17 @@ def edge(df: DataFrame, a: Column, kind: str, b: Column, line: Column | None = N
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for a stored table's rows; adaptive ones are told by compressed bytes, which are millions of rows as narrow as keys."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their orders' customers, hashed by order."""
     l, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    return l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = _tasks(l)
+    l = l.select("l_orderkey", "l_partkey", "l_linenumber").repartition(n, "l_orderkey")
+    return l.join(o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _call(lines: DataFrame, *extra: str) -> DataFrame:
