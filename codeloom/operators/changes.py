@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from codeloom.functions.ids import display_name, has_text, method_name, signature_of
 from codeloom.operators import store
 from codeloom.operators.delta import apply, split_by_kind
+from codeloom.operators.keys import within, without
 from codeloom.operators.lookup import FILE, callers_of_files, in_file, of_project
+from codeloom.operators.traverse import written
 from codeloom.schema import FUNCTION, RELATIONSHIP, Graph, conform
 
 CHANGES = ("SOURCE_ADDED", "SOURCE_MODIFIED", "SOURCE_DELETED", "CASCADE_UPDATE")
@@ -35,7 +37,7 @@ def rebuild_calls(graph: Graph, calls: DataFrame, project: str, pos: str | None
     """Adds missing placeholders, then upserts all calls: of repeated ones the last wins."""
     extra = placeholders(graph.functions, calls, project, with_project)
     have = graph.with_(functions=store.insert_missing(graph.functions, extra))
-    return have.with_(relationships=store.upsert(graph.relationships, conform(calls, RELATIONSHIP, *([pos] if pos else [])), pos))
+    return have.with_(relationships=store.upsert_edges(graph.relationships, conform(calls, RELATIONSHIP, *([pos] if pos else [])), pos))
 
 
 def dependents(graph: Graph, project: str, files: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def nodes_of_files(graph: Graph, project: str, files: DataFrame) -> DataFrame:
     """Ids of units, functions and endpoints in the files; packages survive their files."""
     own = [of_project(t, project).select("id", F.col("projectFilePath").alias("path")) for t in (graph.units, graph.functions, graph.endpoints)]
     both = own[0].unionByName(own[1]).unionByName(own[2])
-    return both.join(files.select("path").distinct(), "path", "left_semi").select("id").distinct()
+    return within(both, written(files.select("path").distinct()), ["path"]).select("id").distinct()
 
 
 def added(graph: Graph, delta: Graph, project: str) -> tuple[Graph, DataFrame]:
@@ -74,12 +76,14 @@ def modified(graph: Graph, delta: Graph, project: str, files: DataFrame) -> tupl
     Returns the cascade events too. Deleting before dependents are rebuilt keeps their edges.
     """
     cascade = cascade_events(graph, project, files)
-    old = nodes_of_files(graph, project, files)
-    incoming = graph.relationships.join(old.withColumnRenamed("id", "toNodeId"), "toNodeId", "left_semi").join(old.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_anti")
-    incoming = of_project(incoming.select(graph.relationships.columns), project).filter("relationshipKind = 'CALL'")
+    old = written(nodes_of_files(graph, project, files))
+    incoming = of_project(graph.relationships, project).filter("relationshipKind = 'CALL'")
+    incoming = written(within(incoming, old.withColumnRenamed("id", "toNodeId"), ["toNodeId"]))
+    incoming = without(incoming, (old.withColumnRenamed("id", "fromNodeId"), ["fromNodeId"]))
     out, events = added(store.delete_nodes(graph, project, old), delta, project)
-    back = incoming.join(out.functions.select(F.col("id").alias("toNodeId")), "toNodeId", "left_semi").select(incoming.columns)
-    return out.with_(relationships=store.insert_missing(out.relationships, back)), events, cascade
+    back = within(incoming, out.functions.select(F.col("id").alias("toNodeId")), ["toNodeId"])
+    back = without(written(back), (out.relationships, ["id"]))
+    return out.with_(relationships=out.relationships.unionByName(back.select(out.relationships.columns))), events, cascade
 
 
 def removed(graph: Graph, project: str, files: DataFrame) -> tuple[Graph, DataFrame]:

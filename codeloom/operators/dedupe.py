@@ -30,6 +30,23 @@ def edges(df: DataFrame, pos: str = "pos") -> DataFrame:
     type, and drop what shares either with them, until no edge is left; the number of rounds
     is that of the longest chain of edges that each await the one before.
     """
+    from codeloom.operators.keys import marked, repeated
+    from codeloom.operators.traverse import stored, written
+
+    # Rows that share neither id nor ends and type with another stay; only the others are compared.
+    df = df if stored(df) else written(df)
+    by_key = F.xxhash64(F.lit("key"), *(F.coalesce(F.col(c), F.lit("")) for c in ("fromNodeId", "toNodeId", "relationshipType")))
+    by_id = F.when(has_text(F.col("id")), F.xxhash64(F.lit("id"), F.col("id")))
+    again, n = repeated(df, by_key, by_id)
+    if n == 0:
+        return df
+    both = marked(marked(df, by_key, again, n, "_key_again"), F.coalesce(by_id, by_key), again, n, "_id_again")
+    alone = both.filter("NOT (_key_again OR _id_again)").select(df.columns)
+    return alone.unionByName(written(_compared(both.filter("_key_again OR _id_again").select(df.columns), pos)))
+
+
+def _compared(df: DataFrame, pos: str) -> DataFrame:
+    """edges() of rows that are compared each with each."""
     names, key = df.columns, ["_from", "_to", "_type"]
     blank_as_empty = {k: F.coalesce(F.col(c), F.lit("")) for k, c in zip(key, ["fromNodeId", "toNodeId", "relationshipType"], strict=True)}
     keyed = df.withColumns(blank_as_empty).withColumn("_id", F.when(has_text(F.col("id")), F.col("id")))

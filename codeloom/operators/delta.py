@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.ids import is_blank, scoped
 from codeloom.operators import dedupe, matching, store
+from codeloom.operators.keys import FEW, possible, repeated, without
 from codeloom.operators.lookup import EDGE_KEY, of_project
-from codeloom.operators.traverse import written
+from codeloom.operators.traverse import stored, written
 from codeloom.schema import ENDPOINT, NODE_TYPES, RELATIONSHIP, TABLES, Graph, conform, with_defaults
 
 _KIND = {"packages": "package", "units": "unit", "functions": "function", "endpoints": "endpoint"}
@@ -49,17 +50,32 @@ def diagnostics(delta: Graph, deleted_nodes: DataFrame | None = None, deleted_ed
         parts.append(df.filter(bad).select(F.lit(code).alias("code"), text.alias("message"), where(df).alias("projectFilePath"), at(df).alias("lineNumber")))
 
     types = reduce(DataFrame.unionByName, [getattr(delta, t).select("id", F.lit(NODE_TYPES[t]).alias("type"), F.lit(i).alias("ord")) for i, t in enumerate(NODE_TYPES)]).filter(~is_blank(F.col("id")))
-    first = types.groupBy("id").agg(F.min_by("type", "ord").alias("type"), F.min("ord").alias("ord"))
+    # Tables that use an id, by the id's hash; names meet only where these differ.
+    used = written(types.groupBy(F.xxhash64("id").alias("_h")).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")))
+    n_used, hashed = used.count(), F.xxhash64("id")
+    shared = written(used.filter("lo < hi").select("_h"))
+    n_shared = shared.count()
+
+    def first(found: DataFrame, n: int) -> DataFrame:
+        """(id, type, ord) of the first table for ids whose hash may be among the found ones."""
+        return possible(types, hashed, found, n).groupBy("id").agg(F.min_by("type", "ord").alias("type"), F.min("ord").alias("ord"))
+
+    def again(frame: DataFrame, by: str) -> DataFrame | None:
+        """Rows whose text in `by` an earlier one has; None if there are surely none."""
+        found, n = repeated(frame, F.xxhash64(by))
+        if n == 0:
+            return None
+        return possible(frame, F.xxhash64(by), found, n).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("pos"))).filter("_n > 1")
+
     for i, (table, kind) in enumerate(_KIND.items()):
         df = getattr(delta, table)
         report(df, is_blank(F.col("id")), f"{kind}.id.required", F.lit(f"{kind} id must not be blank"))
-        again = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
         named = df.filter(~is_blank(F.col("id")))
-        counts = named.groupBy("id").count().filter("count > 1").select("id")
-        repeated = named.join(counts, "id", "left_semi").withColumn("_n", again).filter("_n > 1")
-        report(repeated, F.lit(True), f"{kind}.id.duplicate", F.concat(F.lit(f"{kind} id is duplicated in delta: "), F.col("id")))
-        other = named.join(first.filter(F.col("ord") < i), "id")
-        report(other, F.lit(True), "node.id.type.conflict", F.concat(F.lit("node id is used by multiple node types: "), F.col("id"), F.lit(" ("), F.col("type"), F.lit(f", {NODE_TYPES[table]})")))
+        if (later := again(named, "id")) is not None:
+            report(later, F.lit(True), f"{kind}.id.duplicate", F.concat(F.lit(f"{kind} id is duplicated in delta: "), F.col("id")))
+        if n_shared:
+            other = possible(named, hashed, shared, n_shared).join(first(shared, n_shared).filter(F.col("ord") < i), "id")
+            report(other, F.lit(True), "node.id.type.conflict", F.concat(F.lit("node id is used by multiple node types: "), F.col("id"), F.lit(" ("), F.col("type"), F.lit(f", {NODE_TYPES[table]})")))
         needed = ["language", "projectName", "projectFilePath"] + (["qualifiedName"] if kind != "endpoint" else [])
         for c in needed:
             report(df, is_blank(F.col(c)), f"{kind}.{c}.required", F.lit(f"{kind} {c} must not be blank"))
@@ -78,13 +94,18 @@ def diagnostics(delta: Graph, deleted_nodes: DataFrame | None = None, deleted_ed
         report(typed, is_blank(F.col(c)), f"relationship.{c}.required", F.lit(f"relationship {c} must not be blank"))
     key = F.concat_ws(":", *(F.coalesce(c, F.lit("null")) for c in EDGE_KEY))
     for name, frame, by in (("id.duplicate", typed.filter(~is_blank(F.col("id"))), F.col("id")), ("duplicate", typed, key)):
-        frame = frame.withColumn("_key", by)
-        counts = frame.groupBy("_key").count().filter("count > 1").select("_key")
-        repeated = frame.join(counts, "_key", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("pos"))).filter("_n > 1")
-        report(repeated, F.lit(True), f"relationship.{name}", F.concat(F.lit("relationship is duplicated in delta: " if name == "duplicate" else "relationship id is duplicated in delta: "), F.col("_key")))
+        if (later := again(frame.withColumn("_key", by), "_key")) is None:
+            continue
+        report(later, F.lit(True), f"relationship.{name}", F.concat(F.lit("relationship is duplicated in delta: " if name == "duplicate" else "relationship id is duplicated in delta: "), F.col("_key")))
     for side in ("from", "to"):
         ends = typed.select(F.col(f"{side}NodeId").alias("id"), F.col(f"{side}NodeType").alias("expected")).filter(~is_blank(F.col("expected")))
-        wrong = ends.join(first.select("id", "type"), "id").filter("type <> expected")
+        told = used.select("_h", *(F.element_at(F.array(*map(F.lit, NODE_TYPES.values())), F.col(c) + 1).alias(c) for c in ("lo", "hi")))
+        near = (possible(ends, hashed, used, n_used) if n_used <= FEW else ends).select(hashed.alias("_h"), "expected")
+        bad = written(near.join(told, "_h").filter("lo <> expected OR hi <> expected").select("_h").distinct())
+        n_bad = bad.count()
+        if n_bad == 0:
+            continue
+        wrong = possible(ends, hashed, bad, n_bad).join(first(bad, n_bad).select("id", "type"), "id").filter("type <> expected")
         report(wrong, F.lit(True), f"relationship.{side}.type.invalid", F.concat(F.lit(f"relationship {side} node type must be "), F.col("expected"), F.lit(" but was "), F.col("type"), F.lit(": "), F.col("id")))
     for name, gone in (("deletedNodeIds", deleted_nodes), ("deletedRelationshipIds", deleted_edges)):
         if gone is not None:
@@ -108,7 +129,7 @@ def node_actions(stored: DataFrame, rows: DataFrame) -> DataFrame:
 
 def missing_edges(stored: DataFrame, rows: DataFrame, project: str) -> DataFrame:
     """Edges whose ends and type the project does not have."""
-    return rows.join(of_project(stored, project).select(*EDGE_KEY), EDGE_KEY, "left_anti").select(rows.columns)
+    return without(rows, (of_project(stored, project), EDGE_KEY))
 
 
 def split_by_kind(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,11 +144,11 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
 
     Scope, deduplicate, validate; then deletions, packages, units, functions, endpoints
     (only new ones), match edges, missing structure edges, missing calls. The delta's tables
-    and the edges are written to the shared folder between steps; the caller commits once.
+    and new edges are written to the shared folder between steps; the caller commits once.
     """
     d = rescoped(delta, project)
-    d = d.with_(endpoints=dedupe.first_by_id(d.endpoints), relationships=dedupe.edges(d.relationships))
-    d = Graph(**{name: written(df) for name, df in d.tables().items()})  # read many times below
+    d = d.with_(endpoints=dedupe.first_by_id(d.endpoints))
+    d = Graph(**{name: dedupe.edges(df) if name == "relationships" else written(df) for name, df in d.tables().items()})  # read many times below
     p = F.lit(project)
     gone = deleted_nodes.select(scoped(p, F.col("id")).alias("id")) if deleted_nodes is not None else None
     cut = deleted_edges.select(scoped(p, F.col("id")).alias("id")) if deleted_edges is not None else None
@@ -154,7 +175,12 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
     event(fresh, "INSERT", "CodeEndpoint")
     out["endpoints"] = store.upsert(graph.endpoints, conform(fresh, ENDPOINT, "pos"), "pos")
     match = conform(matching.match_edges(d.endpoints, out["endpoints"], project), RELATIONSHIP)
-    edges = written(store.upsert(graph.relationships, match))
+    edges = graph.relationships if stored(graph.relationships) else written(graph.relationships)
+    # Steps add the rows that they write; the edges before them are read, not written again.
+    fresh = written(match)
+    edges = edges if fresh.isEmpty() else store.upsert_edges(edges, fresh)
     for part in split_by_kind(d.relationships):
-        edges = written(store.upsert(edges, written(conform(missing_edges(edges, part, project), RELATIONSHIP))))
+        if not part.isEmpty():
+            fresh = written(conform(missing_edges(edges, part, project), RELATIONSHIP))
+            edges = store.upsert_edges(edges, fresh)
     return graph.with_(**out, relationships=edges), reduce(DataFrame.unionByName, events)

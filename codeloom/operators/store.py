@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.dedupe import first_by
+from codeloom.operators.keys import within, without
 from codeloom.operators.lookup import of_project
+from codeloom.operators.traverse import written
 from codeloom.schema import TABLES, Graph, conform
 
 
@@ -24,6 +26,13 @@ def upsert(stored: DataFrame, rows: DataFrame, pos: str | None = None) -> DataFr
     return stored.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(stored.columns))
 
 
+def upsert_edges(stored: DataFrame, rows: DataFrame, pos: str | None = None) -> DataFrame:
+    """As upsert, for edges: stored rows are shuffled only where their id may be among those of rows."""
+    if pos:
+        rows = first_by(rows.withColumn("_pos", -F.col(pos)), ["id"], "_pos")
+    return without(stored, (rows, ["id"])).unionByName(rows.select(stored.columns))
+
+
 def update(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """As upsert for rows that are stored in the same project; others are not inserted."""
     known = rows.join(stored.select("id", "projectName"), ["id", "projectName"], "left_semi")
@@ -47,27 +56,27 @@ def delete_nodes(graph: Graph, project: str, gone: DataFrame) -> Graph:
 
     Packages stay, and so do other projects' rows and edges.
     """
-    g = gone.select("id").distinct().withColumn("projectName", F.lit(project))
-    own = ("units", "functions", "endpoints")
-    out = {t: getattr(graph, t).join(g, ["id", "projectName"], "left_anti") for t in own}
-    held = [getattr(graph, t).select("id", "projectName").join(g, ["id", "projectName"], "left_semi") for t in own]
-    lost = held[0].unionByName(held[1]).unionByName(held[2]).distinct()  # only nodes that go take their edges along
-    rel = graph.relationships.join(g, ["id", "projectName"], "left_anti")
-    rel = rel.join(lost.withColumnRenamed("id", "fromNodeId"), ["fromNodeId", "projectName"], "left_anti")
-    rel = rel.join(lost.withColumnRenamed("id", "toNodeId"), ["toNodeId", "projectName"], "left_anti")
+    g = written(gone.select("id").distinct()).withColumn("projectName", F.lit(project))
+    own, key = ("units", "functions", "endpoints"), ["id", "projectName"]
+    out = {t: without(getattr(graph, t), (g, key)) for t in own}
+    held = [getattr(graph, t).select(key) for t in own]
+    lost = written(within(held[0].unionByName(held[1]).unionByName(held[2]), g, key).distinct())  # only nodes that go take their edges along
+    ends = [(lost.withColumnRenamed("id", c), [c, "projectName"]) for c in ("fromNodeId", "toNodeId")]
+    rel = without(graph.relationships, (g, key), *ends)
     return graph.with_(**{t: conform(df, TABLES[t]) for t, df in out.items()}, relationships=conform(rel, TABLES["relationships"]))
 
 
 def delete_edges(relationships: DataFrame, project: str, gone: DataFrame) -> DataFrame:
     g = gone.select("id").distinct().withColumn("projectName", F.lit(project))
-    return relationships.join(g, ["id", "projectName"], "left_anti").select(relationships.columns)
+    return without(relationships, (g, ["id", "projectName"]))
 
 
 def delete_file_calls(relationships: DataFrame, functions: DataFrame, project: str, files: DataFrame) -> DataFrame:
     """Removes the calls made by functions of the files in the column `path`."""
-    caller = of_project(functions, project).select(F.col("id").alias("fromNodeId"), F.col("projectFilePath").alias("path")).join(files.select("path").distinct(), "path", "left_semi")
+    caller = of_project(functions, project).select(F.col("id").alias("fromNodeId"), F.col("projectFilePath").alias("path"))
+    caller = written(within(caller, files.select("path").distinct(), ["path"]).select("fromNodeId"))
     caller = caller.select("fromNodeId", F.lit(project).alias("projectName"), F.lit("CALL").alias("relationshipKind"))
-    return relationships.join(caller, ["fromNodeId", "projectName", "relationshipKind"], "left_anti").select(relationships.columns)
+    return without(relationships, (caller, ["fromNodeId", "projectName", "relationshipKind"]))
 
 
 class Conflict(RuntimeError):

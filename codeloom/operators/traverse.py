@@ -30,10 +30,15 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back; cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> bool:
+    """Whether df is files as they are, which cost no more to read again than a copy."""
+    return df._jdf.queryExecution().optimizedPlan().children().isEmpty() and bool(df.inputFiles())
+
+
 def direction_of(name: str | None) -> str:
     n = (name or "").strip().upper()
     return "FORWARD" if n in ("FORWARD", "OUT", "OUTGOING") else "BACKWARD" if n in ("BACKWARD", "IN", "INCOMING") else "BOTH"
