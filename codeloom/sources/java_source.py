@@ -21,8 +21,7 @@ the file's end and have no end line; repeated declarations are kept once by late
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,13 +67,12 @@ def _newlines(text: Column) -> Column:
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """(project, file, i, token, line, level, opens, owner, close, end_line, bare) of each header, call, bracket and comma.
+    """Of files with a blanked source: (project, file, i, token, line, level, owner, close, end_line, bare) of each header, call, bracket and comma.
 
     level: open brackets before it; owner: i of the bracket it lies in; close and end_line:
     where the bracket that it opens closes; bare: nothing stands between it and the token before.
     """
-    text = rows.select(*_FILE, blanked(F.col("source")).alias("source"))
-    text = text.select(*_FILE, F.regexp_extract_all("source", F.lit(_TOKEN), F.lit(0)).alias("t"), F.split("source", _TOKEN, -1).alias("g"))
+    text = rows.select(*_FILE, F.regexp_extract_all("source", F.lit(_TOKEN), F.lit(0)).alias("t"), F.split("source", _TOKEN, -1).alias("g"))
     each = text.select(*_FILE, F.posexplode(F.arrays_zip("t", F.slice("g", 1, F.greatest(F.size("t"), F.lit(1))).alias("g"))).alias("i", "x")).select(*_FILE, "i", F.col("x.t").alias("token"), F.col("x.g").alias("gap"))
     each = each.filter("token IS NOT NULL")
     last = F.right("token", F.lit(1))
@@ -94,14 +92,27 @@ def tokens(rows: DataFrame) -> DataFrame:
     return both.filter("NOT bracket").drop("bracket", "open", "end").withColumn("bare", ids.is_blank(F.col("gap"))).join(ends, [*_FILE, "i"], "left")
 
 
-@dataclass(frozen=True)
 class Scan:
-    """types, methods, calls and imports of the scanned files."""
+    """types, methods, calls and imports of the scanned files, each made when it is first asked for."""
 
-    types: DataFrame
-    methods: DataFrame
-    calls: DataFrame
-    imports: DataFrame
+    def __init__(self, tokens: DataFrame, heads: DataFrame):
+        self._tokens, self._heads = tokens, heads
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return _types(self._tokens, self._heads)
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        return _methods(self._tokens, self.types)
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return _calls(self._tokens, self.methods)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return self._heads.select(*_FILE, "package", F.explode("imports").alias("import"))
 
 
 def _words(text: Column) -> Column:
@@ -123,14 +134,22 @@ def _arguments(parameters: Column) -> Column:
 
 def scan(rows: DataFrame) -> Scan:
     """Declarations and calls of (projectName, file, source)."""
-    rows = rows.select(*_FILE, F.coalesce("source", F.lit("")).alias("source"))
-    every = written(tokens(rows))
-    plain = rows.select(*_FILE, blanked(F.col("source")).alias("source"))
+    # Blanked once; read by the tokens and by the heads.
+    rows = rows.select(*_FILE, blanked(F.coalesce("source", F.lit(""))).alias("source"))
+    plain = written(rows)
+    every = written(tokens(plain))
     heads = plain.select(*_FILE, F.regexp_extract("source", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all("source", F.lit(r"(?m)^\s*import\s+([\w.]+)\s*;"), F.lit(1)).alias("imports"))
-    heads = written(heads)
+    return Scan(every, written(heads))
+
 
-    part = lambda pattern, n: F.regexp_extract("token", f"^{pattern}$", n)
-    t = every.filter(F.col("token").rlike(f"^{TYPE}$"))
+def _part(pattern: str, n: int) -> Column:
+    return F.regexp_extract("token", f"^{pattern}$", n)
+
+
+def _types(every: DataFrame, heads: DataFrame) -> DataFrame:
+    part = _part
+    # A header ends with its brace: other tokens need not be matched again.
+    t = every.filter("right(token, 1) = '{'").filter(F.col("token").rlike(f"^{TYPE}$"))
     t = t.select(*_FILE, "i", "level", "owner", "close", F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), _words(part(TYPE, 1)).alias("modifiers"), part(TYPE, 2).alias("word"), part(TYPE, 3).alias("name"), part(TYPE, 4).alias("bases"))
     t = written(t.join(heads.select(*_FILE, "package"), _FILE))
     deepest = t.agg(F.max("level")).first()[0] or 0
@@ -144,10 +163,13 @@ def scan(rows: DataFrame) -> Scan:
         named = named.unionByName(around)
     unit = F.when(F.col("word") == "enum", "enum").when(F.col("word") == "@interface", "annotation").when(F.col("word") == "interface", "interface").otherwise("class")
     after = lambda word: F.regexp_extract("bases", rf"\b{word}\s+((?:(?!\b(?:extends|implements|permits)\b)[\s\S])*)", 1)
-    types = written(named.select(*_FILE, "i", "close", "package", "name", "qualified", unit.alias("unitType"), "modifiers", _listed(after("extends")).alias("extends"), _listed(after("implements")).alias("implements"), F.col("startLine").cast("int").alias("startLine"), F.col("endLine").cast("int").alias("endLine")))
+    return written(named.select(*_FILE, "i", "close", "package", "name", "qualified", unit.alias("unitType"), "modifiers", _listed(after("extends")).alias("extends"), _listed(after("implements")).alias("implements"), F.col("startLine").cast("int").alias("startLine"), F.col("endLine").cast("int").alias("endLine")))
 
+
+def _methods(every: DataFrame, types: DataFrame) -> DataFrame:
+    part = _part
     owner = types.select(*_FILE, F.col("i").alias("owner"), "qualified", F.col("name").alias("unit"), "unitType")
-    m = every.join(owner, [*_FILE, "owner"])
+    m = every.filter("right(token, 1) IN ('{', ';')").join(owner, [*_FILE, "owner"])
     is_ctor = F.col("token").rlike(f"^{CONSTRUCTOR}$") & (part(CONSTRUCTOR, 2) == F.col("unit"))
     is_method = F.col("token").rlike(f"^{METHOD}$") & ~is_ctor
     m = m.withColumn("isConstructor", is_ctor).filter(is_ctor | is_method)
@@ -158,8 +180,11 @@ def scan(rows: DataFrame) -> Scan:
     # The text of a body without brackets or calls: what stands before the next token, if that closes it.
     bodies = every.filter("step = -1").select(*_FILE, F.col("i").alias("close"), F.col("gap").alias("body"))
     m = m.join(bodies, [*_FILE, "close"], "left").withColumn("body", F.when(F.col("close") == F.col("i") + 1, F.trim("body")))
-    methods = written(m.withColumn("signature", signature).withColumn("full", F.concat_ws(".", "qualified", "signature")).withColumn("n_args", F.size("args")))
+    return written(m.withColumn("signature", signature).withColumn("full", F.concat_ws(".", "qualified", "signature")).withColumn("n_args", F.size("args")))
+
 
+def _calls(every: DataFrame, methods: DataFrame) -> DataFrame:
+    part = _part
     # A call's arguments: one more than the commas right inside its bracket, none if that is empty.
     content = F.max(~F.col("bare") | ~F.col("token").isin(")", "]", "}"))
     held = every.filter("owner IS NOT NULL").groupBy(*_FILE, F.col("owner").alias("i")).agg(F.count_if(F.col("token") == ",").alias("commas"), content.alias("content"))
@@ -168,9 +193,7 @@ def scan(rows: DataFrame) -> Scan:
     c = c.unionByName(body, allowMissingColumns=True)
     c = c.withColumn("method", F.last("method", True).over(Window.partitionBy(*_FILE).orderBy("i"))).filter("token IS NOT NULL AND method.close > i")
     c = c.join(held, [*_FILE, "i"], "left").select(*_FILE, F.col("method.full").alias("full"), F.col("method.qualified").alias("qualified"), F.col("line").cast("int").alias("line"), part(CALL, 1).alias("name"), F.col("token").rlike(r"^new\s").alias("creates"), F.when(F.coalesce("content", F.lit(False)), F.col("commas") + 1).otherwise(0).cast("int").alias("n_args"))
-    calls = written(c.filter(~F.col("name").isin(CONTROL) & (F.col("name") != "")))
-    imports = heads.select(*_FILE, "package", F.explode("imports").alias("import"))
-    return Scan(types, methods, calls, imports)
+    return written(c.filter(~F.col("name").isin(CONTROL) & (F.col("name") != "")))
 
 
 def resolved(found: Scan, wanted: DataFrame) -> DataFrame:
