@@ -47,6 +47,8 @@ CONSTRUCTOR = rf"(?<![\w.])(?<!new\s){_MODS}(?!(?:{'|'.join(NO_TYPES)}|super|thi
 CALL = rf"(?<!\w)(?:new\s+)?(?:[\w.]+\.)?(\w+)\s*{_GENERIC}\s*\("
 _TOKEN = "|".join((TYPE, METHOD, CONSTRUCTOR, CALL, r"[(){}\[\],]"))
 _FILE = ["projectName", "file"]
+#: Files that a task matches; by bytes there would be a few tasks only, as matching costs far more than reading.
+TASK_FILES = 2**12
 
 
 def read(spark: SparkSession, path: str, project: str, root: str = "") -> DataFrame:
@@ -77,6 +79,7 @@ def tokens(rows: DataFrame) -> DataFrame:
     each = each.filter("token IS NOT NULL")
     last = F.right("token", F.lit(1))
     each = each.withColumn("step", F.when(last.isin("(", "{", "["), 1).when(last.isin(")", "}", "]"), -1).otherwise(0))
+    each = written(each)  # the windows and joins below read it several times, and matching is dear
     file = Window.partitionBy(*_FILE).orderBy("i")
     before = file.rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("level", F.coalesce(F.sum("step").over(before), F.lit(0)))
@@ -137,7 +140,8 @@ def scan(rows: DataFrame) -> Scan:
     # Blanked once; read by the tokens and by the heads.
     rows = rows.select(*_FILE, blanked(F.coalesce("source", F.lit(""))).alias("source"))
     plain = written(rows)
-    every = written(tokens(plain))
+    tasks = max(plain.sparkSession.sparkContext.defaultParallelism, -(-plain.count() // TASK_FILES))
+    every = written(tokens(plain.repartition(tasks, *_FILE)))
     heads = plain.select(*_FILE, F.regexp_extract("source", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all("source", F.lit(r"(?m)^\s*import\s+([\w.]+)\s*;"), F.lit(1)).alias("imports"))
     return Scan(every, written(heads))
 
