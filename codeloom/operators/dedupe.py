@@ -9,9 +9,14 @@ from codeloom.functions.ids import has_text, is_blank
 
 
 def first_by(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """The row with the smallest pos of each key. min_by combines before the shuffle, so a hot key is no hot task."""
+    """The row with the smallest pos of each key. min_by combines before the shuffle, so a hot key is no hot task.
+
+    A set, always empty, is collected beside it: with that a task hashes its rows while their keys
+    are few, where min_by of structs alone sorts all rows first.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(pos, *[c for c in rest if c != pos and not dict(df.dtypes)[c].startswith("map")])).alias("_row"))
+    row = F.min_by(F.struct(*rest), F.struct(pos, *[c for c in rest if c != pos and not dict(df.dtypes)[c].startswith("map")]))
+    best = df.groupBy(*keys).agg(row.alias("_row"), F.collect_set(F.lit(None).cast("int")).alias("_none")).filter("size(_none) = 0")
     return best.select(*keys, "_row.*").select(df.columns)
 
 

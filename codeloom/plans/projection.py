@@ -118,6 +118,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct suppliers and parts of line items; dealt before they are reduced, since pairs repeat too seldom for a partial reduction of a split."""
+    l = _read(spark, sf_dir, "lineitem")
+    return l.select("l_suppkey", "l_partkey").repartition(_tasks(l), "l_suppkey", "l_partkey").distinct()
+
+
 def _call(lines: DataFrame, *extra: str) -> DataFrame:
     out = edge(lines, order_function(F.col("o_custkey"), F.col("o_orderkey")), "CALLS", part_function(F.col("l_partkey")), F.col("l_linenumber"), relationshipKind=P("CALL"), callType=P("direct"), **{c: F.col("l_linenumber") for c in extra})
     return conform(out, RELATIONSHIP, *extra)
@@ -135,7 +141,7 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders")
     fn = edge(orders, F.concat(P("unit:cust.C"), _text("o_custkey")), "UNIT_TO_FUNCTION", order_function(F.col("o_custkey"), F.col("o_orderkey")))
     contains = pkg.unionByName(edge(u, F.col("p"), "PACKAGE_TO_UNIT", F.col("u"))).unionByName(fn)
-    sup = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    sup = _pairs(spark, sf_dir)
     sup = edge(sup, F.concat(P("unit:supp.S"), _text("l_suppkey")), "TPCH_SUPPLIES", part_function(F.col("l_partkey")), relationshipKind=P("OTHER"), fromNodeType=P("CodeUnit"), toNodeType=P("CodeFunction"))
     return conform(contains, RELATIONSHIP).unionByName(conform(sup, RELATIONSHIP))
 

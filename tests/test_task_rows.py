@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import dedupe
 from codeloom.plans import projection as pr
 
 DIR = "/root/testdata/sf0.01"
@@ -14,3 +15,18 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     held = lines.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.sum("count")).first()
     assert held[1] == total
     assert held[0] < 3000
+
+
+def test_pairs_are_dealt_before_they_are_reduced(spark, monkeypatch):
+    monkeypatch.setattr(pr, "TASK_ROWS", 1000)
+    pairs = pr._pairs(spark, DIR)
+    held = pairs.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.sum("count")).first()
+    assert held[1] == spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
+    assert held[0] < 3000
+
+
+def test_few_keys_are_not_sorted(spark):
+    rows = spark.range(1000).selectExpr("'k' || id % 3 AS id", "id AS pos", "'v' || id AS v")
+    out = dedupe.first_by(rows, ["id"])
+    assert "ObjectHashAggregate" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(out.collect()) == [("k0", 0, "v0"), ("k1", 1, "v1"), ("k2", 2, "v2")]
