@@ -11,8 +11,9 @@ before the graph is built:
 2. Pieces seen twice repeat whole. Where a minimizer has pieces that were seen once, the
    edges of one occurrence of each of its pieces are digested from the source and counted.
    Repeated pieces and repeated single edges are the graph's edges, each once.
-3. Degrees: a node with one edge in and one out joins them. Pointer doubling over these
-   joins compacts every nonbranching path: each edge gets its path and its place there.
+3. Degrees: a node with one edge in and one out joins them. Edges that one text has in a row
+   become runs; pointer doubling over the runs compacts every nonbranching path: each edge
+   gets its path and its place there.
 4. Occurrences of edges are put together to spans by document, path and diagonal; their
    source coordinates say which words go. An edge that repeats covers its k words, so the
    union of spans is the union of repeated windows.
@@ -30,14 +31,13 @@ rows; other columns are ignored. Paths that close to a circle stay single edges.
 from __future__ import annotations
 
 import hashlib
-import math
-import struct
 from collections.abc import Iterator
 from functools import reduce
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import KeyFilter, materialize, release
@@ -48,6 +48,7 @@ SEED = 10
 HOT_KEYS, HOT_ROWS = 50_000, 1000
 #: A piece's place: its first word and its number of edges in one long.
 _EDGES = 16  # low bits for the number of edges
+_FIRST = 24  # low bits for the first word where a place orders atoms
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,16 +60,18 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def _digest(words: bytes) -> tuple[int, int]:
-    return struct.unpack("<qq", hashlib.blake2b(words, digest_size=16).digest())
+def _digests(norm: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Both halves of the digest of each norm[lo:hi], a row for each."""
+    each = [hashlib.blake2b(norm[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
 
 
-def paths(text: bytes | None, window: int = WINDOW) -> list[list]:
+def paths(text: bytes | None, window: int = WINDOW) -> list[np.ndarray]:
     """Pieces of a text's path: minimizers, both halves of digests, first and last nodes, places."""
     norm, start, end = joined(text or b"")
     n = len(start)
     if n < window:
-        return [[], [], [], [], [], []]
+        return [np.zeros(0, np.int64)] * 6
     seed = min(SEED, window)
     words = word_hashes(norm, start, end)
     h = run_hashes(words, seed)
@@ -76,34 +79,34 @@ def paths(text: bytes | None, window: int = WINDOW) -> list[list]:
     rank = np.empty(len(h), np.int64)
     rank[order] = np.arange(len(h))
     at = order[_sliding_min(rank, window - seed + 1)]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    edges = np.diff(np.append(first, n - window + 1))
+    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+    edges = np.append(first[1:], n - window + 1) - first
     nodes = run_hashes(words, window - 1).view(np.int64)
-    lo, hi = start[first].tolist(), end[first + edges + window - 2].tolist()
-    digest = [_digest(norm[a:b]) for a, b in zip(lo, hi, strict=True)]
-    return [h[at[first]].view(np.int64).tolist(), [d[0] for d in digest], [d[1] for d in digest], nodes[first].tolist(), nodes[first + edges].tolist(), ((first << _EDGES) | edges).tolist()]
+    digest = _digests(norm, start[first], end[first + edges + window - 2])
+    return [h[at[first]].view(np.int64), digest[:, 0], digest[:, 1], nodes[first], nodes[first + edges], (first << _EDGES) | edges]
 
 
 _PIECE = ["mz", "a1", "a2", "head", "tail", "place", "key"]
 
 
-def _pieces(window: int):
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, held = [[] for _ in _PIECE], 0
+def _batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """One batch of the arrays of many texts."""
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-        def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=_PIECE)
 
+def _pieces(window: int):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
                 got = paths(text.as_py(), window)
-                for c, x in zip(cols, [*got, [key.as_py()] * len(got[0])], strict=True):
-                    c += x
+                parts.append([*got, np.full(len(got[0]), key.as_py(), np.int64)])
                 held += len(got[0])
                 if held > 50_000:
-                    yield batch_of()
-                    cols, held = [[] for _ in _PIECE], 0
-        yield batch_of()
+                    yield _batch(parts, _PIECE)
+                    parts, held = [], 0
+        yield _batch(parts, _PIECE)
 
     return pieces
 
@@ -114,20 +117,21 @@ _EDGE = ["a1", "a2", "head", "tail", "place", "key", "n"]
 def _edges(window: int):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every edge of the wanted pieces (place, n) of a text, digested from its words."""
-        rows = []
+        parts, held = [], 0
         for batch in batches:
             for key, text, wanted in zip(*(batch.column(c) for c in ("key", "text", "wanted")), strict=True):
                 norm, start, end = joined(text.as_py() or b"")
-                nodes = run_hashes(word_hashes(norm, start, end), window - 1).view(np.int64).tolist()
-                for w in wanted.as_py():
-                    first = w["place"] >> _EDGES
-                    for i in range(first, first + (w["place"] & ((1 << _EDGES) - 1))):
-                        rows.append((*_digest(norm[start[i] : end[i + window - 1]]), nodes[i], nodes[i + 1], (i << _EDGES) | 1, key.as_py(), w["n"]))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=_EDGE)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=_EDGE)
+                nodes = run_hashes(word_hashes(norm, start, end), window - 1).view(np.int64)
+                place, n = (wanted.values.field(c).to_numpy() for c in ("place", "n"))
+                first, count = place >> _EDGES, place & ((1 << _EDGES) - 1)
+                i = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                digest = _digests(norm, start[i], end[i + window - 1])
+                parts.append([digest[:, 0], digest[:, 1], nodes[i], nodes[i + 1], (i << _EDGES) | 1, np.full(len(i), key.as_py(), np.int64), np.repeat(n, count)])
+                held += len(i)
+                if held > 50_000:
+                    yield _batch(parts, _EDGE)
+                    parts, held = [], 0
+        yield _batch(parts, _EDGE)
 
     return edges
 
@@ -138,16 +142,13 @@ def _kept(window: int):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 total, gone, texts = [], [], []
-                spans = part.column("spans").to_pylist() if "spans" in part.schema.names else [None] * part.num_rows
+                spans = part.column("spans") if "spans" in part.schema.names else [None] * part.num_rows
                 for text, found in zip(part.column("text"), spans, strict=True):
                     words = (text.as_py() or b"").split()
-                    if found:
-                        first, count = np.array([(x["first"], x["edges"]) for x in found], np.int64).T
-                        step = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(step, first, 1)
-                        np.add.at(step, first + count + window - 1, -1)
-                        covered = np.cumsum(step[:-1]) > 0
-                        left = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+                    if found is not None and found.is_valid and len(found):
+                        first, count = (found.values.field(c).to_numpy() for c in ("first", "edges"))
+                        step = np.bincount(first, minlength=len(words) + 1) - np.bincount(first + count + window - 1, minlength=len(words) + 1)
+                        left = list(compress(words, (np.cumsum(step[:-1]) <= 0).tolist()))
                     else:
                         left = words
                     total.append(len(words))
@@ -167,32 +168,59 @@ def _looked_up(rows: DataFrame, known: DataFrame, on: list[str], limit: int) ->
     return rows.join(hot, on).unionByName(maybe.join(cold, on))
 
 
+def _runs(joints: DataFrame) -> DataFrame:
+    """joints with the atom (h1, h2) that starts each one's run in its text, its distance (off) from there, and whether it is that atom (open).
+
+    In the order of `at` a joint whose predecessor is the row before it is in that one's run.
+    Without `at` every joint is a run. Where texts place atoms otherwise runs are shorter, not wrong.
+    """
+    if "at" not in joints.columns:
+        return joints.select("*", F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("open"))
+    doc = Window.partitionBy(F.shiftright("at", _FIRST)).orderBy("at", "a1", "a2")
+    upto = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = (F.lag("a1").over(doc) == F.col("u1")) & (F.lag("a2").over(doc) == F.col("u2"))
+    rows = joints.withColumn("open", ~F.coalesce(before, F.lit(False)))
+    rows = rows.withColumn("sum", F.sum(F.when(F.col("open"), 0).otherwise(F.col("pos"))).over(upto))
+    last = lambda c: F.last(F.when(F.col("open"), F.col(c)), True).over(upto)
+    return rows.select("a1", "a2", "u1", "u2", "pos", last("a1").alias("h1"), last("a2").alias("h2"), (F.col("sum") - last("sum")).alias("off"), "open")
+
+
 def compacted(atoms: DataFrame) -> DataFrame:
     """(a1, a2, u1, u2, pos) for atoms (a1, a2, head, tail, edges): the nonbranching path of each and its place there.
 
     An atom follows the one before it if no other ends and no other starts at the node
-    between them. Pointers to predecessors double their reach in every round, and each
-    round is written; atoms whose pointer arrives at a path's start leave the work. What
-    is left after log2 of the atoms' number goes round in circles.
+    between them. Atoms that follow each other in one text (told by `at`, which may be missing)
+    are put together to runs first. Pointers of runs to predecessors double their reach in every
+    round, and each round is written; runs whose pointer arrives at a path's start leave the work.
+    A path that is not at its end loses runs in every round, so what is left after a round that
+    takes none goes round in circles.
     """
-    atom = F.struct("a1", "a2")
+    at = ["at"] if "at" in atoms.columns else []
+    atom = F.struct("a1", "a2", *at)
     ends = atoms.select(F.col("head").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"), atom.alias("next"), F.lit(None).alias("last"))
     ends = ends.unionByName(atoms.select(F.col("tail").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"), F.lit(None).alias("next"), F.struct("a1", "a2", "edges").alias("last")))
     joints = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.first("next", True).alias("next"), F.first("last", True).alias("last"))
-    joints = joints.filter("out = 1 AND in = 1").select(F.col("next.a1").alias("a1"), F.col("next.a2").alias("a2"), F.col("last.a1").alias("u1"), F.col("last.a2").alias("u2"), F.col("last.edges").cast("long").alias("pos"))
-    moving = materialize(joints.filter("NOT (a1 = u1 AND a2 = u2)"), "joints")
-    rounds, fixed, n = 0, [], moving.count()
-    starts = materialize(atoms.select("a1", "a2").join(moving.select("a1", "a2"), ["a1", "a2"], "left_anti"), "path-starts")
-    while n and rounds <= math.log2(n) + 1:
+    joints = joints.filter("out = 1 AND in = 1").select(F.col("next.a1").alias("a1"), F.col("next.a2").alias("a2"), F.col("last.a1").alias("u1"), F.col("last.a2").alias("u2"), F.col("last.edges").cast("long").alias("pos"), *(f"next.{c}" for c in at))
+    runs = materialize(_runs(joints.filter("NOT (a1 = u1 AND a2 = u2)")), "runs")
+    starts = materialize(atoms.select("a1", "a2").join(runs.select("a1", "a2"), ["a1", "a2"], "left_anti"), "path-starts")
+    of = runs.select(F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("off").alias("more"))
+    moving = runs.filter("open").select("a1", "a2", "u1", "u2", "pos").join(of, ["u1", "u2"], "left")
+    moving = materialize(moving.select("a1", "a2", F.coalesce("g1", "u1").alias("u1"), F.coalesce("g2", "u2").alias("u2"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos")), "run-starts")
+    fixed, n = [], moving.count()
+    while n:
         every = reduce(DataFrame.unionByName, [moving, *fixed]).select(F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.col("u1").alias("v1"), F.col("u2").alias("v2"), F.col("pos").alias("more"))
         step = materialize(moving.join(every, ["u1", "u2"], "left"), "pointers")
         fixed.append(step.filter("v1 IS NULL").select("a1", "a2", "u1", "u2", "pos"))
         moving = step.filter("v1 IS NOT NULL").select("a1", "a2", F.col("v1").alias("u1"), F.col("v2").alias("u2"), (F.col("pos") + F.col("more")).alias("pos"))
-        rounds, left = rounds + 1, moving.count()
-        if not left:
+        before, n = n, moving.count()
+        if n == before:
             break
+    none = F.lit(None).cast("long")
     own = lambda df: df.select("a1", "a2", F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.lit(0).cast("long").alias("pos"))
-    return reduce(DataFrame.unionByName, [own(starts), own(moving), *fixed])
+    known = reduce(DataFrame.unionByName, [moving.select("a1", "a2", none.alias("u1"), none.alias("u2"), none.alias("pos")), *fixed])
+    known = known.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("u1").alias("v1"), F.col("u2").alias("v2"), F.col("pos").alias("more"))
+    placed = runs.join(known, ["h1", "h2"]).select("a1", "a2", F.coalesce("v1", "a1").alias("u1"), F.coalesce("v2", "a2").alias("u2"), F.coalesce(F.col("more") + F.col("off"), F.lit(0)).alias("pos"))
+    return own(starts).unionByName(placed)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, unique: bool = True) -> DataFrame:
@@ -204,7 +232,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, unique: bool = True) -
     release(pieces)  # the largest table; nothing below reads it
 
     # Any occurrence may stand for a piece: all firsts of one aggregate come from the same row.
-    kinds = again.groupBy("mz", "a1", "a2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("key", "place", "head", "tail")))
+    at = F.shiftleft(F.shiftrightunsigned(F.xxhash64("key"), _FIRST + 1), _FIRST).bitwiseOR(F.least(F.shiftright("place", _EDGES), F.lit((1 << _FIRST) - 1))).alias("at")
+    kinds = again.select("*", at).groupBy("mz", "a1", "a2").agg(F.count("*").alias("n"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("key", "place", "head", "tail")))
     kinds = materialize(kinds, "kinds")
     least = materialize(kinds.groupBy("mz").agg(F.count("*").alias("n"), F.min("n").alias("least")).filter("n > 1 AND least = 1").drop("least"), "open-minimizers")
     opened = _looked_up(kinds.withColumnRenamed("n", "seen"), least, ["mz"], limit)
@@ -219,18 +248,19 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, unique: bool = True) -
     release(edges)
 
     size = F.col("place").bitwiseAND((1 << _EDGES) - 1).alias("edges")
-    whole = kinds.filter("n > 1").select("a1", "a2", "head", "tail", size, "n")
-    single = parts.groupBy("a1", "a2").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.lit(1).cast("long").alias("edges"), F.count("*").alias("n"))
-    atoms = materialize(whole.unionByName(single).groupBy("a1", "a2").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.max("edges").alias("edges"), F.sum("n").alias("n")), "atoms")
+    whole = kinds.filter("n > 1").select("a1", "a2", "head", "tail", size, "n", "at")
+    single = parts.select("*", at).groupBy("a1", "a2").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.lit(1).cast("long").alias("edges"), F.count("*").alias("n"), F.min("at").alias("at"))
+    atoms = materialize(whole.unionByName(single).groupBy("a1", "a2").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.max("edges").alias("edges"), F.sum("n").alias("n"), F.min("at").alias("at")), "atoms")
     units = materialize(compacted(atoms).join(atoms.select("a1", "a2", "n"), ["a1", "a2"]), "paths")
 
     found = again.select("a1", "a2", "key", "place").unionByName(parts.select("a1", "a2", "key", "place"))
-    placed = _looked_up(found, units, ["a1", "a2"], limit).select("key", "u1", "u2", "pos", F.shiftright("place", _EDGES).alias("first"), size)
+    placed = _looked_up(found, units, ["a1", "a2"], limit).select("key", "u1", "u2", "pos", "place", F.shiftright("place", _EDGES).alias("first"), size)
     line = placed.groupBy("key", "u1", "u2", (F.col("first") - F.col("pos")).alias("diagonal"))
-    line = line.agg(F.min("first").alias("from"), F.max(F.col("first") + F.col("edges")).alias("to"), F.sum("edges").alias("total"), F.collect_set(F.struct("first", "edges")).alias("parts"))
+    line = line.agg(F.min("first").alias("from"), F.max(F.col("first") + F.col("edges")).alias("to"), F.sum("edges").alias("total"), F.collect_set("place").alias("parts"))
     # A line without gaps is one span; otherwise its edges stay apart.
     one = F.array(F.struct(F.col("from").alias("first"), (F.col("to") - F.col("from")).alias("edges")))
-    return line.select("key", "u1", "u2", F.inline(F.when(F.col("total") == F.col("to") - F.col("from"), one).otherwise(F.col("parts"))))
+    apart = F.transform("parts", lambda x: F.struct(F.shiftright(x, _EDGES).alias("first"), x.bitwiseAND((1 << _EDGES) - 1).alias("edges")))
+    return line.select("key", "u1", "u2", F.inline(F.when(F.col("total") == F.col("to") - F.col("from"), one).otherwise(apart)))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -59,3 +59,20 @@ def test_windows_equal_brute_force(spark, monkeypatch, hot):
     for k, _, f, n in spans(spark, texts):
         covered[k].update(range(f, f + n + WINDOW - 1))
     assert covered == brute_windows(texts, WINDOW)
+
+
+def test_runs_of_one_text_leave_few_pointers(spark, monkeypatch):
+    """A text's chain is one run, circles end the rounds at once, and places out of order change no result."""
+    chain = [(i, i, 100 + i, 101 + i, 2) for i in range(37)]
+    circle = [(50 + i, 50 + i, 200 + i, 200 + (i + 1) % 5, 1) for i in range(5)]
+    rows = [(*x, (1 << 30) + x[0]) for x in chain + circle]
+    schema, made = "a1 long, a2 long, head long, tail long, edges long, at long", []
+    keep = substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    expected = {**{i: (0, 2 * i) for i in range(37)}, **{50 + i: (50 + i, 0) for i in range(5)}}
+    assert {r["a1"]: (r["u1"], r["pos"]) for r in substring.compacted(spark.createDataFrame(rows, schema)).collect()} == expected
+    assert [df.count() for name, df in made if name == "run-starts"] == [2]
+    assert len([1 for name, _ in made if name == "pointers"]) == 2
+    random.Random(5).shuffle(rows)
+    mixed = [(*x[:5], (x[5] % 3 << 30) + i) for i, x in enumerate(rows)]
+    assert {r["a1"]: (r["u1"], r["pos"]) for r in substring.compacted(spark.createDataFrame(mixed, schema)).collect()} == expected
