@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.ids import is_blank, scoped
 from codeloom.operators import dedupe, matching, store
-from codeloom.operators.keys import FEW, possible, repeated, without
+from codeloom.operators.keys import FEW, possible, repeated, within, without
 from codeloom.operators.lookup import EDGE_KEY, of_project
 from codeloom.operators.traverse import stored, written
 from codeloom.schema import ENDPOINT, NODE_TYPES, RELATIONSHIP, TABLES, Graph, conform, with_defaults
@@ -36,10 +36,10 @@ def rescoped(delta: Graph, project: str) -> Graph:
     return Graph(**out)
 
 
-def diagnostics(delta: Graph, deleted_nodes: DataFrame | None = None, deleted_edges: DataFrame | None = None) -> DataFrame:
+def diagnostics(delta: Graph, deleted_nodes: DataFrame | None = None, deleted_edges: DataFrame | None = None, deduplicated: bool = False) -> DataFrame:
     """(code, message, projectFilePath, lineNumber): one row for each error of a delta with `pos` in its tables.
 
-    Repeats are told by aggregates over ids and keys, types by one map of ids to the
+    deduplicated: its edges come from dedupe.edges, which leaves no id twice. Repeats are told by aggregates over ids and keys, types by one map of ids to the
     first table that uses them. Codes and messages are fixed values that callers match.
     """
     parts: list[DataFrame] = []
@@ -94,7 +94,7 @@ def diagnostics(delta: Graph, deleted_nodes: DataFrame | None = None, deleted_ed
         report(typed, is_blank(F.col(c)), f"relationship.{c}.required", F.lit(f"relationship {c} must not be blank"))
     key = F.concat_ws(":", *(F.coalesce(c, F.lit("null")) for c in EDGE_KEY))
     for name, frame, by in (("id.duplicate", typed.filter(~is_blank(F.col("id"))), F.col("id")), ("duplicate", typed, key)):
-        if (later := again(frame.withColumn("_key", by), "_key")) is None:
+        if (deduplicated and name == "id.duplicate") or (later := again(frame.withColumn("_key", by), "_key")) is None:
             continue
         report(later, F.lit(True), f"relationship.{name}", F.concat(F.lit("relationship is duplicated in delta: " if name == "duplicate" else "relationship id is duplicated in delta: "), F.col("_key")))
     for side in ("from", "to"):
@@ -153,7 +153,7 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
     gone = deleted_nodes.select(scoped(p, F.col("id")).alias("id")) if deleted_nodes is not None else None
     cut = deleted_edges.select(scoped(p, F.col("id")).alias("id")) if deleted_edges is not None else None
     if validate:
-        errors = diagnostics(d, gone, cut)
+        errors = diagnostics(d, gone, cut, deduplicated=True)
         if not errors.isEmpty():
             raise Invalid(errors)
     events: list[DataFrame] = []
@@ -163,14 +163,16 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
     if gone is not None:
         graph = store.delete_nodes(graph, project, gone)
         event(gone, "DELETE", None)
+    # A delta's nodes are few beside the stored ones, of which only these ids are looked at.
+    known = {t: written(within(of_project(getattr(graph, t), project).select("id"), getattr(d, t), ["id"])) for t in ("packages", "units", "functions")}
     out = {}
     for table in ("packages", "units"):
-        rows = node_actions(of_project(getattr(graph, table), project), getattr(d, table))
+        rows = node_actions(known[table], getattr(d, table))
         event(rows, F.upper("action"), NODE_TYPES[table])
-        out[table] = store.upsert(getattr(graph, table), conform(rows, TABLES[table], "pos"), "pos")
-    plan = save_plan(of_project(graph.functions, project), d.functions).filter("action <> 'skip'")
+        out[table] = store.upsert_edges(getattr(graph, table), conform(rows, TABLES[table], "pos"), "pos")
+    plan = save_plan(known["functions"], d.functions).filter("action <> 'skip'")
     event(plan, F.upper("action"), "CodeFunction")
-    out["functions"] = store.upsert(graph.functions, conform(plan, TABLES["functions"], "pos"), "pos")
+    out["functions"] = store.upsert_edges(graph.functions, conform(plan, TABLES["functions"], "pos"), "pos")
     fresh = d.endpoints.join(of_project(graph.endpoints, project).select("id"), "id", "left_anti")
     event(fresh, "INSERT", "CodeEndpoint")
     out["endpoints"] = store.upsert(graph.endpoints, conform(fresh, ENDPOINT, "pos"), "pos")
@@ -181,6 +183,8 @@ def apply(graph: Graph, delta: Graph, project: str, deleted_nodes: DataFrame | N
     edges = edges if fresh.isEmpty() else store.upsert_edges(edges, fresh)
     for part in split_by_kind(d.relationships):
         if not part.isEmpty():
-            fresh = written(conform(missing_edges(edges, part, project), RELATIONSHIP))
+            fresh = missing_edges(edges, part, project)
+            # All of them are missing: they are rows of the delta, which is written.
+            fresh = conform(fresh, RELATIONSHIP) if fresh is part else written(conform(fresh, RELATIONSHIP))
             edges = store.upsert_edges(edges, fresh)
     return graph.with_(**out, relationships=edges), reduce(DataFrame.unionByName, events)

@@ -8,14 +8,17 @@ A bitmap only saves shuffles: with too many keys for it all rows pass, and the r
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.traverse import written
+from codeloom.operators.traverse import release, written
 
 #: Most keys that a bitmap pays for, and its most bits (words of 64 bits are broadcast: 2**20 rows).
 FEW, MAX_BITS = 2**23, 26
+#: Keys that are not worth a bitmap of the rows that they meet.
+THIN = 2**16
 
 
 def digest(on: list[str]) -> Column:
@@ -25,7 +28,7 @@ def digest(on: list[str]) -> Column:
 
 def marked(df: DataFrame, hashed: Column, keys: DataFrame, count: int, name: str = "_may") -> DataFrame:
     """df with a boolean column: false where the 64-bit hash is surely none of those in _h of keys, about `count` of them."""
-    bits = min(MAX_BITS, max(16, math.ceil(math.log2(16 * (count + 1)))))
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(64 * (count + 1)))))
     slot = lambda h: F.shiftrightunsigned(h, 64 - bits)
     words = keys.select(slot(F.col("_h")).alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
     out = df.withColumn("_p", slot(hashed)).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), "_w", "left")
@@ -37,53 +40,121 @@ def possible(df: DataFrame, hashed: Column, keys: DataFrame, count: int) -> Data
     return marked(df, hashed, keys, count).filter("_may").drop("_may")
 
 
-def hits(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
-    """(_h, _d): hash and digest of the columns `on` of df's rows that are also in keys, and the number of these rows."""
-    own, h = [F.xxhash64(*on).alias("_h"), digest(on).alias("_d")], F.xxhash64(*on)
-    keys, df = keys.select(on), df.select(on)
+def _pairs(df: DataFrame, on: list[str]) -> DataFrame:
+    """(_h, _d): hash and digest of the columns `on`, of rows without a null in them."""
+    return df.select(F.xxhash64(*on).alias("_h"), digest(on).alias("_d")).filter("_d IS NOT NULL")
+
+
+def thinned(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """keys without most of those that no row of df has, and what was written for that, which goes once nothing reads it.
+
+    Where df is small, its bitmap thins out the keys. Where both are large, their hashes alone meet first.
+    """
+    h, keys, df = F.xxhash64(*on), keys.select(on), df.select(on)
     n_keys = keys.count()
-    if n_keys == 0:
-        return df.select(own).limit(0), 0
-    if n_keys > FEW and (n := df.count()) <= FEW:
-        keys = possible(keys, h, written(df.select(h.alias("_h"))), n)
-    keys = written(keys.select(own).filter("_d IS NOT NULL"))
-    n = keys.count()
-    if n <= FEW:
-        df = possible(df, h, keys, n)
-    found = written(df.select(own).join(keys.select("_d"), "_d", "left_semi"))
-    return found, found.count()
+    if n_keys <= min(FEW, THIN):
+        return (keys if n_keys else keys.limit(0)), None
+    n = df.count()
+    if n < n_keys and n <= FEW:
+        spent = written(df.select(h.alias("_h")))
+    elif n_keys > FEW:
+        spent = written(df.select(h.alias("_h")).join(keys.select(h.alias("_h")), "_h", "left_semi").distinct())
+        n = spent.count()
+    else:
+        return keys, None
+    return (possible(keys, h, spent, n) if 0 < n <= FEW else keys if n else keys.limit(0)), spent
+
+
+class _Met(NamedTuple):
+    """What is known of rows and keys: those with a hash in `may` may be in keys; of these, those with none in `odd` surely are. If odd is None, only the digests of `hit` tell."""
+
+    on: list[str]
+    may: DataFrame
+    n_may: int
+    odd: DataFrame | None
+    n_odd: int
+    hit: DataFrame
+
+    def marks(self, rows: DataFrame, tag: str) -> tuple[DataFrame, Column, Column]:
+        """rows with marks, and whether a row is surely in keys, or only digests tell; rows with a null are in none."""
+        h, named = F.xxhash64(*self.on), F.concat(*self.on).isNotNull()
+        rows = marked(rows, h, self.may, self.n_may, f"_may{tag}")
+        may = F.col(f"_may{tag}") & named
+        if self.odd is None:
+            return rows, F.lit(False), may
+        if self.n_odd == 0:
+            return rows, may, F.lit(False)
+        rows = marked(rows, h, self.odd, self.n_odd, f"_odd{tag}")
+        return rows, may & ~F.col(f"_odd{tag}"), may & F.col(f"_odd{tag}")
+
+
+def _met(df: DataFrame, keys: DataFrame, on: list[str]) -> _Met | None:
+    """None if no row of df is in keys.
+
+    Each value that the keys' bitmap lets through meets their digests once, apart from its rows;
+    values that are no keys make the second bitmap, so rows in the first alone need no join.
+    """
+    keys, spent = thinned(df, keys, on)
+    h = F.xxhash64(*on)
+    hashes = written(keys.filter(F.concat(*on).isNotNull()).select(h.alias("_h")))
+    n, out = hashes.count(), None
+    if n > FEW:
+        release(hashes)
+        hit = written(_pairs(df, on).join(_pairs(keys, on).select("_d"), "_d", "left_semi"))
+        if n := hit.count():
+            out = _Met(on, hit, n, None, 0, hit)
+    elif n:
+        each = written(possible(_pairs(df, on), F.col("_h"), hashes, n).groupBy("_d").agg(F.min("_h").alias("_h")))
+        if n_each := each.count():
+            # Of the keys only those that these values may be are digested.
+            same = _pairs(possible(keys, h, each, n_each) if n_each <= FEW else keys, on).select("_d", F.lit(True).alias("_hit")).distinct()
+            told = written(each.join(same, "_d", "left").select("_h", "_d", F.coalesce("_hit", F.lit(False)).alias("_hit")))
+            count = {r["_hit"]: r["count"] for r in told.groupBy("_hit").count().collect()}
+            if count.get(True):
+                out = _Met(on, hashes, n, told.filter("NOT _hit").select("_h"), count.get(False, 0), told.filter("_hit").select("_h", "_d"))
+        release(each)
+    if spent is not None:
+        release(spent)
+    return out
 
 
 def without(df: DataFrame, *conditions: tuple[DataFrame, list[str]]) -> DataFrame:
-    """df without the rows that any of the conditions (keys, columns) names: left anti joins."""
-    found = [(*hits(df, keys, on), on) for keys, on in conditions]
-    found = [x for x in found if x[1]]
+    """df without the rows that any of the conditions (keys, columns) names: left anti joins. It is df itself if they name none."""
+    found = [m for keys, on in conditions if (m := _met(df, keys, on))]
     if not found:
         return df
-    rows, may = df, F.lit(False)
-    if len(found) == 1 and found[0][1] > FEW:
+    if len(found) == 1 and found[0].odd is None:
         # Many rows go: those that stay may be fewer. Rows with a null key stay too.
-        hit, n, on = found[0]
+        on, hit, n = found[0].on, found[0].hit, found[0].n_may
         named = df.filter(F.concat(*on).isNotNull())
         if named.count() - n <= n:
-            left = written(named.select(F.xxhash64(*on).alias("_h"), digest(on).alias("_d")).join(hit.select("_d"), "_d", "left_anti"))
+            left = written(_pairs(named, on).join(hit.select("_d"), "_d", "left_anti"))
             stay = possible(named, F.xxhash64(*on), left, left.count()).withColumn("_d", digest(on)).join(left.select("_d"), "_d", "left_semi")
             return stay.select(df.columns).unionByName(df.filter(F.concat(*on).isNull()))
-    for i, (hit, n, on) in enumerate(found):
-        rows, may = marked(rows, F.xxhash64(*on), hit, n, f"_may{i}"), may | F.col(f"_may{i}")
-    out = rows.filter(may)
-    for hit, _, on in found:
-        out = out.withColumn("_d", digest(on)).join(hit.select("_d"), "_d", "left_anti")
-    return rows.filter(~may).select(df.columns).unionByName(out.select(df.columns))
+    rows, surely, unsure, closed = df, F.lit(False), F.lit(False), True
+    for i, m in enumerate(found):
+        rows, gone, open_ = m.marks(rows, str(i))
+        surely, unsure, closed = surely | gone, unsure | open_, closed and m.odd is not None and m.n_odd == 0
+    rows = rows.filter(~surely)
+    if closed:
+        return rows.select(df.columns)
+    out = rows.filter(unsure)
+    for m in found:
+        out = out.withColumn("_d", digest(m.on)).join(m.hit.select("_d"), "_d", "left_anti")
+    return rows.filter(~unsure).select(df.columns).unionByName(out.select(df.columns))
 
 
 def within(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """df's rows whose columns `on` equal those of a row of keys: a left semi join."""
-    hit, n = hits(df, keys, on)
-    if n == 0:
+    m = _met(df, keys, on)
+    if m is None:
         return df.limit(0)
-    rows = possible(df, F.xxhash64(*on), hit, n).withColumn("_d", digest(on))
-    return rows.join(hit.select("_d"), "_d", "left_semi").select(df.columns)
+    rows, surely, unsure = m.marks(df, "")
+    out = rows.filter(unsure).withColumn("_d", digest(on)).join(m.hit.select("_d"), "_d", "left_semi").select(df.columns)
+    if m.odd is None:
+        return out
+    sure = rows.filter(surely).select(df.columns)
+    return sure if m.n_odd == 0 else sure.unionByName(out)
 
 
 def repeated(df: DataFrame, *hashes: Column) -> tuple[DataFrame, int]:
