@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.ids import display_name, has_text, method_name, signature_of
 from codeloom.operators import store
 from codeloom.operators.delta import apply, split_by_kind
-from codeloom.operators.keys import within, without
+from codeloom.operators.keys import FEW, within, without
 from codeloom.operators.lookup import FILE, callers_of_files, in_file, of_project
 from codeloom.operators.traverse import written
 from codeloom.schema import FUNCTION, RELATIONSHIP, Graph, conform
@@ -23,7 +23,9 @@ def placeholders(functions: DataFrame, calls: DataFrame, project: str, with_proj
     language is that of the first call (smallest id) that needs them.
     """
     ends = calls.select("id", "language", F.explode(F.array("fromNodeId", "toNodeId")).alias("node")).filter(has_text(F.col("node")))
-    lacking = ends.join(of_project(functions, project).select(F.col("id").alias("node")), "node", "left_anti")
+    have = of_project(functions, project).select(F.col("id").alias("node"))
+    # Beside few ends no function is shuffled; many meet them as they are.
+    lacking = without(ends, (have, ["node"])) if calls.count() <= FEW // 2 else ends.join(have, "node", "left_anti")
     one = lacking.groupBy("node").agg(F.min_by("language", "id").alias("language"))
     q = display_name(F.col("node"))
     out = one.select(
@@ -35,7 +37,7 @@ def placeholders(functions: DataFrame, calls: DataFrame, project: str, with_proj
 
 def rebuild_calls(graph: Graph, calls: DataFrame, project: str, pos: str | None = None, with_project: bool = False) -> Graph:
     """Adds missing placeholders, then upserts all calls: of repeated ones the last wins."""
-    extra = placeholders(graph.functions, calls, project, with_project)
+    extra = written(placeholders(graph.functions, calls, project, with_project))
     have = graph.with_(functions=store.insert_missing(graph.functions, extra))
     return have.with_(relationships=store.upsert_edges(graph.relationships, conform(calls, RELATIONSHIP, *([pos] if pos else [])), pos))
 

@@ -27,7 +27,7 @@ def upsert(stored: DataFrame, rows: DataFrame, pos: str | None = None) -> DataFr
 
 
 def upsert_edges(stored: DataFrame, rows: DataFrame, pos: str | None = None) -> DataFrame:
-    """As upsert, for edges: stored rows are shuffled only where their id may be among those of rows."""
+    """As upsert, for edges and other tables much larger than rows: stored rows are shuffled only where their id may be among those of rows."""
     if pos:
         rows = first_by(rows.withColumn("_pos", -F.col(pos)), ["id"], "_pos")
     return without(stored, (rows, ["id"])).unionByName(rows.select(stored.columns))
@@ -41,7 +41,7 @@ def update(stored: DataFrame, rows: DataFrame) -> DataFrame:
 
 def insert_missing(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds rows whose id is not stored; stored rows stay as they are."""
-    return stored.unionByName(rows.join(stored.select("id"), "id", "left_anti").select(stored.columns))
+    return stored.unionByName(without(rows, (stored, ["id"])).select(stored.columns))
 
 
 def insert_edges(stored: DataFrame, rows: DataFrame, node_ids: DataFrame) -> DataFrame:
