@@ -19,6 +19,8 @@ from codeloom.operators.traverse import release, written
 FEW, MAX_BITS = 2**23, 26
 #: Keys that are not worth a bitmap of the rows that they meet.
 THIN = 2**16
+#: Keys of a bitmap of most bits beyond which several bits a key fill it more than they tell.
+CROWDED = 2**24
 
 
 def digest(on: list[str]) -> Column:
@@ -27,12 +29,18 @@ def digest(on: list[str]) -> Column:
 
 
 def marked(df: DataFrame, hashed: Column, keys: DataFrame, count: int, name: str = "_may") -> DataFrame:
-    """df with a boolean column: false where the 64-bit hash is surely none of those in _h of keys, about `count` of them."""
+    """df with a boolean column: false where the 64-bit hash is surely none of those in _h of keys, about `count` of them.
+
+    The hash's first bits name a word, its last ones bits of the word: three, which let far fewer other
+    hashes pass than one does while words are not crowded.
+    """
     bits = min(MAX_BITS, max(16, math.ceil(math.log2(64 * (count + 1)))))
-    slot = lambda h: F.shiftrightunsigned(h, 64 - bits)
-    words = keys.select(slot(F.col("_h")).alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
-    out = df.withColumn("_p", slot(hashed)).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), "_w", "left")
-    return out.withColumn(name, F.coalesce(F.expr("getbit(_bits, cast(_p & 63 as int))"), F.lit(0)) == 1).drop("_w", "_p", "_bits")
+    per_key = 3 if count <= CROWDED else 1
+    word = lambda h: F.shiftrightunsigned(h, 70 - bits)
+    mask = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(_p, {6 * i}) & 63 as int))" for i in range(per_key))
+    words = keys.select(F.col("_h").alias("_p")).groupBy(word(F.col("_p")).alias("_w")).agg(F.bit_or(F.expr(mask)).alias("_bits"))
+    out = df.withColumn("_p", hashed).withColumn("_w", word(F.col("_p"))).join(F.broadcast(words), "_w", "left")
+    return out.withColumn(name, F.coalesce(F.expr(f"(_bits & ({mask})) = ({mask})"), F.lit(False))).drop("_w", "_p", "_bits")
 
 
 def possible(df: DataFrame, hashed: Column, keys: DataFrame, count: int) -> DataFrame:
