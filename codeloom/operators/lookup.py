@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import is_blank
+from codeloom.operators.keys import possible
+from codeloom.operators.traverse import stored
+
+#: Rows of a table that a task of a join takes, however large the table is.
+TASK_ROWS = 2**19
 
 
 def of_project(df: DataFrame, project: str | None) -> DataFrame:
@@ -79,15 +84,23 @@ def callers_of_files(functions: DataFrame, relationships: DataFrame, project: st
 
     Callees are the project's, callers are found by id alone. paths: the files asked for,
     in a column `path`; all files if None. Only columns of the join are read, and calls
-    are reduced to distinct pairs of caller and file before callers are looked up.
+    are reduced to distinct pairs of caller and file before callers are looked up. With
+    paths, calls of other functions stay out of the shuffle, and callers are dealt by rows:
+    adaptive tasks are told by compressed bytes, which are millions of rows that repeat so much.
     """
     callee = of_project(functions, project).select(F.col("id").alias("toNodeId"), F.col("projectFilePath").alias("callee_file")).filter("callee_file is not null")
+    call = of_project(relationships, project).filter(F.col("relationshipKind").eqNullSafe("CALL") | (is_blank(F.col("relationshipKind")) & (F.col("relationshipType") == "CALLS"))).select("fromNodeId", "toNodeId")
+    caller = functions.select(F.col("id").alias("fromNodeId"), *FILE)
     if paths is not None:
         callee = callee.join(paths.select(F.col("path").alias("callee_file")), "callee_file", "left_semi")
-    call = of_project(relationships, project).filter(F.col("relationshipKind").eqNullSafe("CALL") | (is_blank(F.col("relationshipKind")) & (F.col("relationshipType") == "CALLS")))
-    pair = call.select("fromNodeId", "toNodeId").join(callee, "toNodeId").select("fromNodeId", "callee_file").distinct()
-    caller = functions.select(F.col("id").alias("fromNodeId"), *FILE)
-    return pair.join(caller, "fromNodeId").select("callee_file", *FILE).distinct()
+        n = functions.count()
+        call = possible(call, F.xxhash64("toNodeId"), callee.select(F.xxhash64("toNodeId").alias("_h")), n)
+        rows = max(n, relationships.count()) if stored(relationships) else n
+        tasks = max(functions.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    pair = call.join(callee, "toNodeId").select("fromNodeId", "callee_file")
+    if paths is not None:
+        pair, caller = pair.repartition(tasks, "fromNodeId"), caller.repartition(tasks, "fromNodeId")
+    return pair.distinct().join(caller, "fromNodeId").select("callee_file", *FILE).distinct()
 
 
 def calling_files(functions: DataFrame, relationships: DataFrame, project: str, paths: DataFrame | None = None) -> DataFrame:
