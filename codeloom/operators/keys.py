@@ -21,6 +21,8 @@ FEW, MAX_BITS = 2**23, 26
 THIN = 2**16
 #: Keys of a bitmap of most bits beyond which several bits a key fill it more than they tell.
 CROWDED = 2**24
+#: Keys that a task of a join of two large sides takes, however many there are.
+TASK_KEYS = 2**19
 
 
 def digest(on: list[str]) -> Column:
@@ -96,13 +98,13 @@ class _Met(NamedTuple):
         return rows, may & ~F.col(f"_odd{tag}"), may & F.col(f"_odd{tag}")
 
 
-def _met(df: DataFrame, keys: DataFrame, on: list[str]) -> _Met | None:
+def _met(df: DataFrame, keys: DataFrame, on: list[str], known: bool = False) -> _Met | None:
     """None if no row of df is in keys.
 
     Each value that the keys' bitmap lets through meets their digests once, apart from its rows;
     values that are no keys make the second bitmap, so rows in the first alone need no join.
     """
-    keys, spent = thinned(df, keys, on)
+    keys, spent = (keys, None) if known else thinned(df, keys, on)
     h = F.xxhash64(*on)
     hashes = written(keys.filter(F.concat(*on).isNotNull()).select(h.alias("_h")))
     n, out = hashes.count(), None
@@ -126,9 +128,43 @@ def _met(df: DataFrame, keys: DataFrame, on: list[str]) -> _Met | None:
     return out
 
 
-def without(df: DataFrame, *conditions: tuple[DataFrame, list[str]]) -> DataFrame:
-    """df without the rows that any of the conditions (keys, columns) names: left anti joins. It is df itself if they name none."""
-    found = [m for keys, on in conditions if (m := _met(df, keys, on))]
+def _packed(df: DataFrame, on: list[str]) -> DataFrame:
+    """df with its first column of `on` as _head and _tail: without the SHA-1 in hex that ends it, and that as 20 bytes, or as a whole and no bytes; _rest tells the others, null if a value is null."""
+    c = F.col(on[0])
+    last = F.right(c, F.lit(40))
+    hexed = last.rlike(r"^[0-9a-f]{40}\z")
+    out = df.withColumns({"_head": F.when(hexed, F.substring(c, F.lit(1), F.length(c) - 40)).otherwise(c), "_tail": F.when(hexed, F.unhex(last)).otherwise(F.lit(b""))})
+    # An empty part of the id keeps Spark from dropping a constant _rest from the join, which would then shuffle again.
+    return out.withColumn("_rest", F.concat(F.substring("_head", 1, 0), *(x for k in on[1:] for x in (F.length(k).cast("string"), F.lit(":"), F.col(k))))).drop(on[0])
+
+
+def apart(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int) -> DataFrame:
+    """df without the rows of about n_keys keys: both meet by the columns themselves, and each is shuffled once.
+
+    The first column, an id, travels packed. Tasks are told by the number of keys, which are hashed; rows are not sorted.
+    The join is an outer one, as Spark pushes anti joins below unions and repartitions, which shuffles again.
+    """
+    by = ["_head", "_tail", "_rest"]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_keys // TASK_KEYS))
+    # A key with a null gets a tail that no row has: so none is null, and Spark makes no filter of its own, which would build ids twice.
+    tail = F.when(F.col("_rest").isNull(), F.lit(b"-")).otherwise(F.coalesce("_tail", F.lit(b"")))
+    gone = _packed(keys.select(on), on).select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("_head", "_rest")), tail.alias("_tail"), F.lit(True).alias("_gone"))
+    met = _packed(df, on).repartition(tasks, *by).join(gone.repartition(tasks, *by).hint("shuffle_hash"), by, "left")
+    return met.filter("_gone IS NULL").withColumn(on[0], F.concat("_head", F.lower(F.hex("_tail")))).select(df.columns)
+
+
+def less(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """As without, for keys of which most name a row, so that nothing is gained by looking first whether they do."""
+    n = keys.count()
+    return apart(df, keys, on, n) if n > FEW else without(df, (keys, on), known=True) if n else df
+
+
+def without(df: DataFrame, *conditions: tuple[DataFrame, list[str]], known: bool = False) -> DataFrame:
+    """df without the rows that any of the conditions (keys, columns) names: left anti joins. It is df itself if they name none.
+
+    known: the keys are at most FEW, and thinning them out is not worth while.
+    """
+    found = [m for keys, on in conditions if (m := _met(df, keys, on, known))]
     if not found:
         return df
     if len(found) == 1 and found[0].odd is None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.dedupe import first_by
-from codeloom.operators.keys import within, without
+from codeloom.operators.keys import less, within, without
 from codeloom.operators.lookup import of_project
 from codeloom.operators.traverse import written
 from codeloom.schema import TABLES, Graph, conform
@@ -67,8 +67,8 @@ def delete_nodes(graph: Graph, project: str, gone: DataFrame) -> Graph:
 
 
 def delete_edges(relationships: DataFrame, project: str, gone: DataFrame) -> DataFrame:
-    g = gone.select("id").distinct().withColumn("projectName", F.lit(project))
-    return without(relationships, (g, ["id", "projectName"]))
+    """Ids to delete are ids of edges as a rule. gone is read two times or more."""
+    return less(relationships, gone.select("id").withColumn("projectName", F.lit(project)), ["id", "projectName"])
 
 
 def delete_file_calls(relationships: DataFrame, functions: DataFrame, project: str, files: DataFrame) -> DataFrame:
