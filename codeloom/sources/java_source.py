@@ -1,9 +1,9 @@
 """A set-based scan of Java sources: packages, types, methods, calls and their edges.
 
-Sources are read whole, one row a file. Comments and literals are blanked in one pass,
-then a file becomes a table of its headers, calls and brackets in order; windows over a
-file give each its line, its bracket depth, the bracket it lies in and where that closes.
-All further steps are joins.
+Sources are read whole, one row a file. What a file tells by itself is told by one pass over
+it (java_file): its declarations, its calls, the supertypes that it declares itself, and the
+callees in the types around a call. What remains are joins between files, of the rows that
+another file may answer.
 
 It covers package and import declarations; classes, interfaces, enums, records and
 annotation types, nested ones included; methods and constructors with modifiers,
@@ -15,7 +15,7 @@ and anonymous classes are no units; calls inside them belong to the method aroun
 resolves no overloads by type: for bindings of that kind, import deltas from a compiler
 front end (sources.process).
 
-Defined results: a null or empty source gives no rows; brackets that do not close reach to
+Defined results: a null or empty source gives no rows, nor does a file without a path or project; brackets that do not close reach to
 the file's end and have no end line; repeated declarations are kept once by later keep-first.
 """
 
@@ -23,29 +23,16 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import ids
 from codeloom.operators.dedupe import first_by
-from codeloom.operators.traverse import written
+from codeloom.operators.keys import FEW, possible, repeated
+from codeloom.operators.traverse import release, written
 from codeloom.schema import ENDPOINT, FUNCTION, PACKAGE, RELATIONSHIP, UNIT, Graph, conform
+from codeloom.sources import java_file
 
-#: Fixed values of the language: modifiers, and words before a parenthesis or a name that declare nothing.
-MODIFIERS = "public protected private static final abstract default synchronized native strictfp sealed transient volatile".split()
-CONTROL = "if for while switch catch synchronized try super this return assert".split()
-NO_TYPES = "return new throw else case assert yield instanceof do if for while switch catch try synchronized import package extends implements".split()
-_LITERAL = r'"""(?s:.*?)"""|"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\'|/\*(?s:.*?)\*/|//[^\n]*+'
-_MODS = rf"((?:(?:{'|'.join(MODIFIERS)}|non-sealed)\s+)*+)"
-# Type arguments, three deep.
-_ARGUMENTS = reduce(lambda inside, _: rf"<(?:[^<>(){{}};=]++|{inside})*+>", range(2), r"<[^<>(){};=]*+>")
-_GENERIC = rf"(?:{_ARGUMENTS})?"
-_PARAMS = r"((?:[^(){};]|\([^(){};]*\))*)"
-TYPE = rf"(?<![\w.]){_MODS}(@interface|interface|class|enum|record)\s+(\w+)\s*{_GENERIC}\s*(?:\([^){{}};]*\)\s*)?([^{{}};()]*)\{{"
-METHOD = rf"(?<![\w.]){_MODS}(?:{_ARGUMENTS}\s*)?(?!(?:{'|'.join(NO_TYPES)})\b)([\w.]+{_GENERIC}(?:\s*\[\])*)\s+(\w+)\s*\({_PARAMS}\)\s*(?:throws\s+[\w.,\s]+?|default\s[^;{{}}]*)?\s*([{{;])"
-CONSTRUCTOR = rf"(?<![\w.])(?<!new\s){_MODS}(?!(?:{'|'.join(NO_TYPES)}|super|this)\b)(\w+)\s*\({_PARAMS}\)\s*(?:throws\s+[\w.,\s]+?)?\s*\{{"
-CALL = rf"(?<!\w)(?:new\s+)?(?:[\w.]+\.)?(\w+)\s*{_GENERIC}\s*\("
-_TOKEN = "|".join((TYPE, METHOD, CONSTRUCTOR, CALL, r"[(){}\[\],]"))
 _FILE = ["projectName", "file"]
 #: Files that a task matches; by bytes there would be a few tasks only, as matching costs far more than reading.
 TASK_FILES = 2**12
@@ -58,194 +45,150 @@ def read(spark: SparkSession, path: str, project: str, root: str = "") -> DataFr
     return rows.select(ids.project_file_path(F.lit(None).cast("string"), F.lit(root), at).alias("file"), F.col("value").alias("source"), F.col("value").alias("raw"), F.lit(project).alias("projectName"))
 
 
-def blanked(source: Column) -> Column:
-    """The source with comments as a space and literals as two quotes; line ends stay."""
-    found = F.transform(F.regexp_extract_all(source, F.lit(_LITERAL), F.lit(0)), lambda m: F.concat(F.when(F.startswith(m, F.lit("/")), " ").otherwise('""'), F.regexp_replace(m, r"[^\n]+", "")))
-    return F.array_join(F.zip_with(F.split(source, _LITERAL, -1), found, lambda between, m: F.concat(between, F.coalesce(m, F.lit("")))), "")
-
-
-def _newlines(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\n]+", ""))
-
-
-def tokens(rows: DataFrame) -> DataFrame:
-    """Of files with a blanked source: (project, file, i, token, line, level, owner, close, end_line, bare) of each header, call, bracket and comma.
-
-    level: open brackets before it; owner: i of the bracket it lies in; close and end_line:
-    where the bracket that it opens closes; bare: nothing stands between it and the token before.
-    """
-    text = rows.select(*_FILE, F.regexp_extract_all("source", F.lit(_TOKEN), F.lit(0)).alias("t"), F.split("source", _TOKEN, -1).alias("g"))
-    each = text.select(*_FILE, F.posexplode(F.arrays_zip("t", F.slice("g", 1, F.greatest(F.size("t"), F.lit(1))).alias("g"))).alias("i", "x")).select(*_FILE, "i", F.col("x.t").alias("token"), F.col("x.g").alias("gap"))
-    each = each.filter("token IS NOT NULL")
-    last = F.right("token", F.lit(1))
-    each = each.withColumn("step", F.when(last.isin("(", "{", "["), 1).when(last.isin(")", "}", "]"), -1).otherwise(0))
-    each = written(each)  # the windows and joins below read it several times, and matching is dear
-    file = Window.partitionBy(*_FILE).orderBy("i")
-    before = file.rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("level", F.coalesce(F.sum("step").over(before), F.lit(0)))
-    each = each.withColumn("line", 1 + F.coalesce(F.sum(_newlines(F.col("gap")) + _newlines(F.col("token"))).over(before), F.lit(0)) + _newlines(F.col("gap")))
-    # Each bracket stands once more inside itself, where it meets what it holds and its end.
-    inside = each.filter("step = 1").select(*_FILE, "i", (F.col("level") + 1).alias("level"), F.lit(True).alias("bracket"), F.col("i").alias("open"))
-    both = each.withColumns({"bracket": F.lit(False), "open": F.lit(None).cast("int")}).unionByName(inside, allowMissingColumns=True)
-    level = Window.partitionBy(*_FILE, "level").orderBy("i")
-    closes = F.when(F.col("step") == -1, F.struct("i", "line"))
-    both = both.withColumn("owner", F.last("open", True).over(level.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("end", F.first(closes, True).over(level.rowsBetween(1, Window.unboundedFollowing)))
-    ends = both.filter("bracket").select(*_FILE, "i", F.col("end.i").alias("close"), F.col("end.line").alias("end_line"))
-    return both.filter("NOT bracket").drop("bracket", "open", "end").withColumn("bare", ids.is_blank(F.col("gap"))).join(ends, [*_FILE, "i"], "left")
-
-
 class Scan:
-    """types, methods, calls and imports of the scanned files, each made when it is first asked for."""
+    """types, methods and calls of the scanned files, and the files themselves."""
+
+    def __init__(self, files: DataFrame):
+        self.files = files
 
-    def __init__(self, tokens: DataFrame, heads: DataFrame):
-        self._tokens, self._heads = tokens, heads
+    def _each(self, column: str, *more: str) -> DataFrame:
+        return self.files.select(*_FILE, *more, F.explode(column).alias("x")).select(*_FILE, *more, "x.*")
 
     @cached_property
     def types(self) -> DataFrame:
-        return _types(self._tokens, self._heads)
+        return self._each("types", "package")
 
     @cached_property
     def methods(self) -> DataFrame:
-        return _methods(self._tokens, self.types)
+        return self._each("methods")
 
     @cached_property
     def calls(self) -> DataFrame:
-        return _calls(self._tokens, self.methods)
+        """The first of each method by name, number of arguments and `new`."""
+        return self._each("calls")
 
     @cached_property
-    def imports(self) -> DataFrame:
-        return self._heads.select(*_FILE, "package", F.explode("imports").alias("import"))
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
-
-
-def _listed(text: Column) -> Column:
-    """The simple names of a list of types, without type arguments."""
-    flat = reduce(lambda t, _: F.regexp_replace(t, r"<[^<>]*>", ""), range(4), text)
-    return F.filter(F.transform(F.split(flat, ","), lambda x: F.element_at(F.split(F.trim(x), r"\."), -1)), lambda x: x != "")
-
-
-def _arguments(parameters: Column) -> Column:
-    """Parameter types, without annotations, modifiers, names and type arguments."""
-    flat = reduce(lambda t, _: F.regexp_replace(t, r"<[^<>]*>", ""), range(4), parameters)
-    one = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(p), r"^(?:final\s+|@[\w.]+(?:\([^)]*\))?\s+)+", ""), r"\s+(\w+)((?:\[\])*)$", "$2"), r"\s", "")
-    return F.transform(F.filter(F.split(flat, ","), lambda x: F.trim(x) != ""), one)
+    def bases(self) -> DataFrame:
+        return self._each("bases", "package")
 
 
 def scan(rows: DataFrame) -> Scan:
     """Declarations and calls of (projectName, file, source)."""
-    # Blanked once; read by the tokens and by the heads.
-    rows = rows.select(*_FILE, blanked(F.coalesce("source", F.lit(""))).alias("source"))
-    plain = written(rows)
+    plain = written(rows.filter("projectName IS NOT NULL AND file IS NOT NULL").select(*_FILE, "source"))  # counted and dealt
     tasks = max(plain.sparkSession.sparkContext.defaultParallelism, -(-plain.count() // TASK_FILES))
-    every = written(tokens(plain.repartition(tasks, *_FILE)))
-    heads = plain.select(*_FILE, F.regexp_extract("source", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all("source", F.lit(r"(?m)^\s*import\s+([\w.]+)\s*;"), F.lit(1)).alias("imports"))
-    return Scan(every, written(heads))
-
-
-def _part(pattern: str, n: int) -> Column:
-    return F.regexp_extract("token", f"^{pattern}$", n)
-
-
-def _types(every: DataFrame, heads: DataFrame) -> DataFrame:
-    part = _part
-    # A header ends with its brace: other tokens need not be matched again.
-    t = every.filter("right(token, 1) = '{'").filter(F.col("token").rlike(f"^{TYPE}$"))
-    t = t.select(*_FILE, "i", "level", "owner", "close", F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), _words(part(TYPE, 1)).alias("modifiers"), part(TYPE, 2).alias("word"), part(TYPE, 3).alias("name"), part(TYPE, 4).alias("bases"))
-    t = written(t.join(heads.select(*_FILE, "package"), _FILE))
-    deepest = t.agg(F.max("level")).first()[0] or 0
-    named = t.filter("owner IS NULL").withColumn("qualified", F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "name"))
-    around = named
-    for _ in range(deepest):  # nesting of types, a few levels
-        outer = around.select(*_FILE, F.col("i").alias("owner"), F.col("qualified").alias("outer"))
-        around = written(t.join(outer, [*_FILE, "owner"]).withColumn("qualified", F.concat_ws(".", "outer", "name")).select(named.columns))
-        if around.isEmpty():
-            break
-        named = named.unionByName(around)
-    unit = F.when(F.col("word") == "enum", "enum").when(F.col("word") == "@interface", "annotation").when(F.col("word") == "interface", "interface").otherwise("class")
-    after = lambda word: F.regexp_extract("bases", rf"\b{word}\s+((?:(?!\b(?:extends|implements|permits)\b)[\s\S])*)", 1)
-    return written(named.select(*_FILE, "i", "close", "package", "name", "qualified", unit.alias("unitType"), "modifiers", _listed(after("extends")).alias("extends"), _listed(after("implements")).alias("implements"), F.col("startLine").cast("int").alias("startLine"), F.col("endLine").cast("int").alias("endLine")))
-
-
-def _methods(every: DataFrame, types: DataFrame) -> DataFrame:
-    part = _part
-    owner = types.select(*_FILE, F.col("i").alias("owner"), "qualified", F.col("name").alias("unit"), "unitType")
-    m = every.filter("right(token, 1) IN ('{', ';')").join(owner, [*_FILE, "owner"])
-    is_ctor = F.col("token").rlike(f"^{CONSTRUCTOR}$") & (part(CONSTRUCTOR, 2) == F.col("unit"))
-    is_method = F.col("token").rlike(f"^{METHOD}$") & ~is_ctor
-    m = m.withColumn("isConstructor", is_ctor).filter(is_ctor | is_method)
-    pick = lambda method, ctor: F.when(F.col("isConstructor"), part(CONSTRUCTOR, ctor)).otherwise(part(METHOD, method))
-    args = _arguments(pick(4, 3))
-    m = m.select(*_FILE, "i", "close", "qualified", "unitType", "isConstructor", pick(3, 2).alias("name"), F.when(~F.col("isConstructor"), F.regexp_replace(part(METHOD, 2), r"\s", "")).alias("returnType"), _words(pick(1, 1)).alias("modifiers"), args.alias("args"), F.regexp_extract(pick(4, 3), r"(\w+)\s*$", 1).alias("last_parameter"), F.col("line").cast("int").alias("startLine"), F.when(F.endswith("token", F.lit(";")), F.col("line")).otherwise(F.col("end_line")).cast("int").alias("endLine"))
-    signature = F.concat("name", F.lit("("), F.array_join("args", ","), F.lit(")"))
-    # The text of a body without brackets or calls: what stands before the next token, if that closes it.
-    bodies = every.filter("step = -1").select(*_FILE, F.col("i").alias("close"), F.col("gap").alias("body"))
-    m = m.join(bodies, [*_FILE, "close"], "left").withColumn("body", F.when(F.col("close") == F.col("i") + 1, F.trim("body")))
-    return written(m.withColumn("signature", signature).withColumn("full", F.concat_ws(".", "qualified", "signature")).withColumn("n_args", F.size("args")))
-
-
-def _calls(every: DataFrame, methods: DataFrame) -> DataFrame:
-    part = _part
-    # A call's arguments: one more than the commas right inside its bracket, none if that is empty.
-    content = F.max(~F.col("bare") | ~F.col("token").isin(")", "]", "}"))
-    held = every.filter("owner IS NOT NULL").groupBy(*_FILE, F.col("owner").alias("i")).agg(F.count_if(F.col("token") == ",").alias("commas"), content.alias("content"))
-    body = methods.filter("close IS NOT NULL").select(*_FILE, "i", F.struct("full", "qualified", "close").alias("method"))
-    c = every.filter("step = 1 AND right(token, 1) = '('").filter(F.col("token") != "(").select(*_FILE, "i", "line", "token")
-    c = c.unionByName(body, allowMissingColumns=True)
-    c = c.withColumn("method", F.last("method", True).over(Window.partitionBy(*_FILE).orderBy("i"))).filter("token IS NOT NULL AND method.close > i")
-    c = c.join(held, [*_FILE, "i"], "left").select(*_FILE, F.col("method.full").alias("full"), F.col("method.qualified").alias("qualified"), F.col("line").cast("int").alias("line"), part(CALL, 1).alias("name"), F.col("token").rlike(r"^new\s").alias("creates"), F.when(F.coalesce("content", F.lit(False)), F.col("commas") + 1).otherwise(0).cast("int").alias("n_args"))
-    return written(c.filter(~F.col("name").isin(CONTROL) & (F.col("name") != "")))
-
-
-def resolved(found: Scan, wanted: DataFrame) -> DataFrame:
-    """wanted (project, file, package, x: a simple type name) with target: the qualified name it means; others go."""
-    t = found.types.select("projectName", F.col("file").alias("in_file"), F.col("package").alias("in_package"), F.col("name").alias("x"), F.col("qualified").alias("target"))
-    imported = found.imports.select("projectName", "file", F.col("import").alias("target"), F.lit(True).alias("imported")).distinct()
-    near = wanted.join(t, ["projectName", "x"]).join(imported, ["projectName", "file", "target"], "left")
-    rank = F.when(F.col("in_file") == F.col("file"), 0).when(F.col("in_package") == F.col("package"), 1).when(F.col("imported"), 2)
-    near = near.withColumn("_rank", rank).filter("_rank IS NOT NULL")
-    return near.groupBy(*wanted.columns).agg(F.min_by("target", F.struct("_rank", "target")).alias("target"))
+    found = written(plain.repartition(tasks, *_FILE).mapInArrow(java_file.scanned, java_file.SCHEMA))
+    release(plain)
+    return Scan(found)
+
+
+def _asked(df: DataFrame, on: list[str], asked: DataFrame) -> DataFrame:
+    """df's rows whose columns `on` may be those of a row of asked: joins of these need no other rows."""
+    h = F.xxhash64(*on)
+    wanted = written(asked.select(h.alias("_h")).distinct())
+    n = wanted.count()
+    return df.limit(0) if n == 0 else possible(df, h, wanted, n) if n <= FEW else df
+
+
+def resolved(found: Scan, up: bool) -> DataFrame:
+    """(project, qualified, target) of the types that extend (up) or implement a type of the scan: one of the file, else of its package, else an imported one."""
+    wanted = found.bases.filter(F.col("up") == up).drop("up")
+    columns = ["projectName", "qualified", "target"]
+    far = wanted.filter("target IS NULL").drop("target")
+    here = ["projectName", "package", "x"]
+    near = found.types.select("projectName", "package", F.col("name").alias("x"), F.col("qualified").alias("target"))
+    near = written(_asked(near, here, far).groupBy(*here).agg(F.min("target").alias("target")))
+    far = far.join(near, here, "left")
+    named = far.filter("target IS NULL").select(*_FILE, "qualified", "x", F.explode("imports").alias("target"))
+    known = found.types.select("projectName", F.col("qualified").alias("target"))
+    known = written(_asked(known, ["projectName", "target"], named).distinct())
+    imported = named.join(known, ["projectName", "target"]).groupBy(*_FILE, "qualified", "x").agg(F.min("target").alias("target"))
+    every = wanted.filter("target IS NOT NULL").select(columns).unionByName(far.filter("target IS NOT NULL").select(columns)).unionByName(imported.select(columns))
+    return every.filter("qualified <> target").distinct()
 
 
 def supertypes(found: Scan) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(extends, implements, all): edges (project, qualified, target) between types of the scan; all is transitive."""
-    def edges(column: str) -> DataFrame:
-        wanted = found.types.select("projectName", "file", "package", "qualified", F.explode(column).alias("x"))
-        return written(resolved(found, wanted).select("projectName", "qualified", "target").filter("qualified <> target").distinct())
-
-    up, like = edges("extends"), edges("implements")
+    up, like = written(resolved(found, True)), written(resolved(found, False))
     direct = written(up.unionByName(like).distinct())
     every = step = direct
+    on = ["projectName", "target"]
     while True:
-        ahead = step.join(direct.select("projectName", F.col("qualified").alias("target"), F.col("target").alias("next")), ["projectName", "target"]).select("projectName", "qualified", F.col("next").alias("target")).distinct()
+        further = written(_asked(direct.select("projectName", F.col("qualified").alias("target"), F.col("target").alias("next")), on, step))
+        ahead = step.join(further, on).select("projectName", "qualified", F.col("next").alias("target")).distinct()
         step = written(ahead.join(every, ["projectName", "qualified", "target"], "left_anti"))
         if step.isEmpty():
             return up, like, every
         every = every.unionByName(step)
 
 
-def call_targets(found: Scan) -> DataFrame:
-    """(project, full, callee, line) of the calls whose target is told by name and number of arguments; first line of each pair."""
-    m = found.methods.filter("NOT isConstructor").select("projectName", "name", "n_args", F.col("qualified").alias("of"), F.col("full").alias("callee"))
-    made = found.methods.filter("isConstructor").select("projectName", "name", "n_args", F.col("qualified").alias("of"), F.col("full").alias("callee"))
+def overrides(found: Scan, every: DataFrame) -> DataFrame:
+    """(full, up) of methods with the signature of one of a supertype; every: all supertypes (project, qualified, target)."""
+    named = found.methods.filter("NOT isConstructor AND NOT array_contains(modifiers, 'static') AND NOT array_contains(modifiers, 'private')").select("projectName", "qualified", "signature", "full")
+    # Methods of supertypes are few as a rule, and so are others with the signature of one.
+    above = named.select("projectName", F.col("qualified").alias("target"), "signature", F.col("full").alias("up"))
+    above = written(_asked(above, ["projectName", "target"], every).distinct())
+    own = _asked(named, ["projectName", "signature"], above).distinct()
+    return every.join(own, ["projectName", "qualified"]).join(above, ["projectName", "target", "signature"])
+
+
+def _shared(found: Scan) -> DataFrame | None:
+    """Files with a call whose type, or a type around it, has methods in another file too; None if there is none."""
+    h = F.xxhash64("projectName", "of").alias("_h")
+    of = lambda column: found.files.select(*_FILE, F.explode(column).alias("of"))
+    owners = of("owners").select("projectName", "of")
+    again, _ = repeated(owners, h)
+    outside = written(of("outside").select(h).distinct())
+    n = outside.count()
+    hit = (possible(owners, h, outside, n) if 0 < n <= FEW else owners if n else owners.limit(0)).select(h).join(outside, "_h", "left_semi")
+    hashes = written(again.unionByName(hit).distinct())
+    n = hashes.count()
+    if n == 0:
+        return None
+    touched = of(F.concat("owners", "outside")).withColumn("_h", h)
+    touched = possible(touched, F.col("_h"), hashes, n) if n <= FEW else touched
+    return written(touched.join(hashes, "_h", "left_semi").select(_FILE).distinct())
+
+
+def _around(calls: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """calls with `callee`, the one method that fits in the first type around that has such, and calls for which no type around has one."""
     key = ["projectName", "name", "n_args"]
-    only = lambda df, by: df.groupBy(*by).agg(F.min("callee").alias("callee"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    plain = found.calls.filter("NOT creates")
+    m = _asked(methods.select(*key, "of", "callee"), key, calls).groupBy(*key, "of").agg(F.min("callee").alias("callee"), F.count("*").alias("n"))
     # The caller's own type and those around it, innermost first.
     parts = F.split("qualified", r"\.")
     around = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    near = plain.select("*", F.posexplode(around).alias("far", "of")).join(m.groupBy(*key, "of").agg(F.min("callee").alias("callee"), F.count("*").alias("n")), [*key, "of"])
-    near = near.groupBy(*plain.columns).agg(F.min_by(F.struct("callee", "n"), "far").alias("best"))
-    own = near.filter("best.n = 1").withColumn("callee", F.col("best.callee"))
-    rest = plain.join(near.select(*key, "qualified").distinct(), [*key, "qualified"], "left_anti")
-    other = rest.join(only(m, key), key)
-    new = found.calls.filter("creates").join(only(made, key), key)
-    columns = ["projectName", "file", "full", "callee", "line"]
-    every = own.select(columns).unionByName(other.select(columns)).unionByName(new.select(columns))
-    return every.groupBy("projectName", "file", "full", "callee").agg(F.min("line").alias("line"))
+    near = calls.select("*", F.posexplode(around).alias("far", "of")).join(m, [*key, "of"])
+    near = near.groupBy(*calls.columns).agg(F.min_by(F.struct("callee", "n"), "far").alias("best"))
+    own = near.filter("best.n = 1").withColumn("callee", F.col("best.callee")).drop("best")
+    return own, calls.join(near.select(*key, "qualified").distinct(), [*key, "qualified"], "left_anti")
+
+
+def call_targets(found: Scan) -> DataFrame:
+    """(project, file, full, callee, line) of the calls whose target is told by name and number of arguments; first line of each pair."""
+    key = ["projectName", "name", "n_args"]
+    every = found.methods.select(*key, F.col("qualified").alias("of"), F.col("full").alias("callee"), "isConstructor")
+    m, made = every.filter("NOT isConstructor"), every.filter("isConstructor")
+
+    def only(methods: DataFrame, calls: DataFrame) -> DataFrame:
+        """calls with the one method that fits."""
+        one = _asked(methods, key, calls).groupBy(*key).agg(F.min("callee").alias("callee"), F.count("*").alias("n")).filter("n = 1").drop("n")
+        return calls.join(written(one), key)
+
+    columns = [*_FILE, "full", "callee", "line", "name"]
+    rows = [*_FILE, "full", "qualified", "line", "name", "n_args"]
+    plain, shared = found.calls.filter("NOT creates"), _shared(found)
+    local = plain if shared is None else plain.join(shared, _FILE, "left_anti")
+    # What is around a call is known to its file, unless another one declares the same type.
+    own, rest = local.filter("callee IS NOT NULL").select(columns), local.filter("NOT near").select(rows)
+    if shared is not None:
+        others, further = _around(plain.join(shared, _FILE, "left_semi").select(rows), m)
+        own, rest = own.unionByName(others.select(columns)), rest.unionByName(further)
+    plain = own.unionByName(only(m, rest).select(columns))
+    new = only(made, found.calls.filter("creates").select(rows)).select(columns)
+    # A file's calls differ by name or arguments, so they have different targets, but a method may be named like a constructor.
+    parts = F.split(F.substring_index("callee", "(", 1), r"\.")
+    like = F.element_at(parts, -2) == F.col("name")
+    again = plain.filter(like).unionByName(new).groupBy(*_FILE, "full", "callee").agg(F.min("line").alias("line"))
+    return plain.filter(~like).drop("name").unionByName(again)
 
 
 def graph(rows: DataFrame, git_url: str | None = None, branch: str | None = None) -> Graph:
@@ -279,8 +222,7 @@ def graph(rows: DataFrame, git_url: str | None = None, branch: str | None = None
     unit, fn = ids.unit_id(F.col("qualified")), ids.function_id(F.col("full"))
     both, whole = ("CodeFunction", "CodeFunction"), ("CodeUnit", "CodeUnit")
     up, like, every = supertypes(found)
-    named = m.filter("NOT isConstructor AND NOT array_contains(modifiers, 'static') AND NOT array_contains(modifiers, 'private')").select("projectName", "qualified", "signature", "full").distinct()
-    over = every.join(named, ["projectName", "qualified"]).join(named.select("projectName", F.col("qualified").alias("target"), "signature", F.col("full").alias("up")), ["projectName", "target", "signature"])
+    over = overrides(found, every)
     faces = found.types.filter("unitType = 'interface'").select("projectName", "qualified")
     parts = [
         edges(t.filter("package <> ''"), ids.package_id(F.col("package")), "PACKAGE_TO_UNIT", unit, "CONTAINS", ("CodePackage", "CodeUnit")),
